@@ -9,9 +9,9 @@ p = the ratio's fraction, documents are ordered by the Pareto variable
     (u / (1 - u)) / (p / (1 - p)),    u uniform, from a hash of seed and id,
 
 and taken from the least on until the words that are still due are reached: a
-sample of fixed size in words. The document at the border is taken if that
-brings the sum nearer, and one document more is added if its size fills the
-remaining gap best.
+sample of fixed size in words. It stops before the first document that would
+pass them; then the one further document whose size fits the remaining gap best
+is added, if that brings the sum nearer.
 
 The order within a source is never sorted as a whole: sums over buckets of
 ``u`` find the bucket that holds the border, and only that bucket is ordered,
@@ -112,8 +112,8 @@ def plan_mix(sized: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS,
     near = ranked.join(borders, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     order = _before("source").orderBy("u", "id", "size")
     reach = near.withColumn("at", F.col("passed") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    # Take a document while its middle lies before the words due.
-    reach = reach.withColumn("inside", F.col("at") + F.col("size") / 2.0 <= F.col("due"))
+    # Take documents as long as they do not pass the words due.
+    reach = reach.withColumn("inside", F.col("at") + F.col("size") <= F.col("due"))
     border = reach.groupBy("source").agg(
         F.min(F.when(~F.col("inside"), _key())).alias("outer"),
         F.min(F.when(~F.col("inside"), F.col("at"))).alias("stop"),
