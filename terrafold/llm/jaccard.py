@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, free_name, partitions, slices
 from .components import components
+from .links import FOUND, Forest, classes
 
 N, THRESHOLD = 5, 0.8
 RECALL, MAX_HASHES = 0.999, 192
@@ -179,20 +180,10 @@ def _compare(units: Iterator[tuple], n: int, threshold: float, out: dict) -> Non
             if links:
                 out["id"].append(row[0]), out["links"].append(int(links)), out["to"].append(None)
     # A spanning forest says as much about components as all links do.
-    root = list(range(len(rows)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
+    forest = Forest(len(rows))
     for i in range(a):
-        for j in np.flatnonzero(linked[i]):
-            p, q = find(i), find(int(j) if same else a + int(j))
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                out["id"].append(left[i][0]), out["links"].append(0), out["to"].append(right[j][0])
+        for j in forest.link(i, np.flatnonzero(linked[i]) + (0 if same else a)):
+            out["id"].append(rows[i][0]), out["links"].append(0), out["to"].append(rows[j][0])
 
 
 def _verified(units: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -218,7 +209,7 @@ def _verified(units: DataFrame, n: int, threshold: float) -> DataFrame:
             _compare(held, n, threshold, out)
         yield pa.RecordBatch.from_pydict(out, schema)
 
-    return units.mapInArrow(work, "id long, links long, to long")
+    return units.mapInArrow(work, FOUND)
 
 
 def jaccard_classes(
@@ -262,18 +253,8 @@ def jaccard_classes(
     )
     units = pairs.repartition(partitions(spark), "component", "p", "q").sortWithinPartitions("component", "p", "q", "side", "id")
     found = cut(_verified(units, n, threshold))
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    classes = components(found.filter("to is not null"), "id", "to")
     ids = docs.select("id")
-    per_id = (
-        members.join(links.select(F.col("id").alias("rep"), "links"), "rep", "left")
-        .join(classes.select(F.col("id").alias("rep"), "component"), "rep", "left")
-        .groupBy("id")
-        .agg(
-            F.min(F.coalesce("component", "rep")).alias("class_id"),
-            F.max(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        )
-    )
+    per_id = classes(found, members).withColumnRenamed("component", "class_id")
     return ids.join(per_id, "id", "left").select(
         F.col("id").alias("doc_id"),
         F.coalesce("class_id", "id").alias("class_id"),
@@ -285,6 +266,6 @@ def jaccard_classes(
 def representatives(docs: DataFrame, id_column="doc_id", text_column="text", **options) -> DataFrame:
     """``docs`` without those that a smaller id of their class stands for."""
     (gone,) = free_name(docs, "_gone")
-    classes = jaccard_classes(docs, id_column, text_column, **options)
-    dropped = classes.filter(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
+    found = jaccard_classes(docs, id_column, text_column, **options)
+    dropped = found.filter(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
     return docs.join(dropped, F.col(id_column) == F.col(gone), "left_anti")

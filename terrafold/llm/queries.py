@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard, mixing, packing, spans, sstable, toxicity
+from . import chat, ego, jaccard, kmtree, mixing, packing, spans, sstable, toxicity, warc
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -15,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "conversations")
+    return chat.render(table, chat.fit(table))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     slim = docs.select("doc_id", "text")
@@ -30,6 +36,14 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.dedup_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmtree.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_table(_table(spark, sf_dir, "pages"))
+
+
 def op7_sorted_string_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_table(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), end_id=2)
 
@@ -38,6 +52,10 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(_table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ego.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -46,11 +64,15 @@ def queries() -> dict:
     import corpus_pipeline
 
     return {
+        "op1_chat_formatting": op1_chat_formatting,
         "op2_toxicity": op2_toxicity,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_substring_dedup": op4_substring_dedup,
+        "op5_kmeans_tree": op5_kmeans_tree,
+        "op6_warc": op6_warc,
         "op7_sorted_string_table": op7_sorted_string_table,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+        "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_mixing": op10_mixing,
         "pipeline": corpus_pipeline.run,
     }
