@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, partitions, slices
-from .tokens import Encoder
+from .tokens import encoder
 
 CAPACITY = 4096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -42,12 +42,12 @@ def token_pieces(
     width = 4 * capacity
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, "word")
+        encode_all = encoder(tokenizer, "word").encode_all
         for batch in slices(batches):
             rows = []
             ids = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc, coded in zip(ids, encoder.encode_all(texts)):
+            for doc, coded in zip(ids, encode_all(texts)):
                 coded += end
                 for k, at in enumerate(range(0, len(coded), width)):
                     part = coded[at : at + width]

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, new_folder, partitions, slices
 from .storage import create, open_for_ranges
-from .tokens import Encoder
+from .tokens import encoder
 
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
@@ -227,11 +227,11 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_b
             return
         shard = first.column(2)[0].as_py()
         path = f"{folder}/shard-{shard:06d}.sst"
-        encoder = Encoder(tokenizer, "byte")
+        encode_all = encoder(tokenizer, "byte").encode_all
         with create(path) as out:
             writer = ShardWriter(out, id_bytes)
             while first is not None:
-                coded = encoder.encode_all(first.column(1).to_pylist())
+                coded = encode_all(first.column(1).to_pylist())
                 for doc, ids in zip(first.column(0).to_pylist(), coded):
                     writer.add(key_of(doc), ids + end)
                 first = next(batches, None)

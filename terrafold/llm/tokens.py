@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import cache
 
 import numpy as np
 
@@ -23,7 +24,7 @@ BYTE_PIECES = re.compile(
 )
 WORD_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+")
 
-ENTRIES = 300_000
+ENTRIES = 500_000
 
 
 class Encoder:
@@ -64,16 +65,22 @@ class Encoder:
                 cut.append(None)
                 continue
             pieces = self.pieces.findall(text.lower() if self.kind == "word" else text)
-            new.update(p for p in set(pieces) if p not in self.known)
+            new |= set(pieces).difference(self.known)
             cut.append(pieces)
         fresh = self.learn(new) if new else {}
-        known, out = self.known, []
+        get, out = self.known.get, []
         for text, pieces in zip(texts, cut):
             if pieces is None:
                 out.append(self.whole(text))
             else:
-                out.append(b"".join([known[p] if p in known else fresh[p] for p in pieces]))
+                out.append(b"".join([get(p) or fresh[p] for p in pieces]))
         return out
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
+
+
+@cache
+def encoder(path: str, kind: str) -> Encoder:
+    """The process's own encoder: tasks that follow each other share what it learnt."""
+    return Encoder(path, kind)
