@@ -1,0 +1 @@
+"""Property-market analytics as DataFrame-to-DataFrame functions on Spark."""
