@@ -42,7 +42,7 @@ BLOOM_BITS, BLOOM_HASHES = 10, 7
 MAGIC = b"TFSST001"
 FOOTER = struct.Struct("<QQQQQB8s")
 STATS = "shard int, path string, docs long, tokens long"
-ROWS = "shard int, doc_id long, before long, n_tokens long, ids_crc32 long"
+ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -252,12 +252,12 @@ def read_shards(shards: DataFrame) -> DataFrame:
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("shard", pa.int32()), *[(n, pa.int64()) for n in ("doc_id", "before", "n_tokens", "ids_crc32")]])
+        schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "n_tokens", "ids_crc32")])
         for batch in batches:
-            for shard, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 reader, rows = ShardReader(path), []
                 for doc, before, ids in reader.scan():
-                    rows.append((shard, doc, before, len(ids) // 4, zlib.crc32(ids)))
+                    rows.append((doc, base + before, len(ids) // 4, zlib.crc32(ids)))
                     if len(rows) == 10_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
                         rows = []
@@ -267,11 +267,8 @@ def read_shards(shards: DataFrame) -> DataFrame:
 
     # A row per shard, summed before it: as many rows as files.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = shards.select("shard", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
-    documents = shards.select("shard", "path").repartition(partitions(shards.sparkSession), "shard").mapInArrow(work, ROWS)
-    return documents.join(bases, "shard").select(
-        "doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32"
-    )
+    based = shards.select("path", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
+    return based.repartition(partitions(shards.sparkSession), "path").mapInArrow(work, ROWS)
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int, id_bytes: int = 2, folder: str | None = None) -> DataFrame:
