@@ -44,6 +44,8 @@ from .common import cut, partitions, slices
 ROLES = ("system", "user", "assistant")
 STATES = 2 * len(ROLES)  # 2 * role: first line of a turn; 2 * role + 1: inside
 TRAIN_ROWS = 20_000
+#: Least probability that the first line of a turn stands inside a row.
+INNER_TURN = 0.02
 #: Fixed: words that mark a speaker, by role.
 NAMES = {
     "system": ("system", "sys", "instruction", "instructions"),
@@ -90,7 +92,7 @@ class Model:
         out = np.zeros((len(seen), STATES))
         for k, table in enumerate(self.emit):
             out += table[:, seen[:, k]].T
-        # A row's first line starts a turn; so does, as of its own, a marked line.
+        # A row's first line starts a turn.
         out[np.ix_(seen[:, 1] == 1, np.arange(1, STATES, 2))] = -np.inf
         return out
 
@@ -99,6 +101,7 @@ def estimate(sequences: list[tuple[np.ndarray, list[int]]]) -> Model:
     """Count start, moves and emissions of labelled sequences (one each added)."""
     start, move = np.ones(STATES), np.ones((STATES, STATES))
     emit = [np.ones((STATES, n)) for n in SIZES]
+    emit[0][1::2, 1:] = 0.01  # a marker seldom stands inside a turn
     for role in range(len(ROLES)):  # markers mean what they say, whatever the sample
         emit[0][2 * role, role + 1] += 20
         for other in range(STATES):
@@ -112,7 +115,13 @@ def estimate(sequences: list[tuple[np.ndarray, list[int]]]) -> Model:
         for k in range(len(SIZES)):
             np.add.at(emit[k], (states, seen[:, k]), 1)
     log = lambda x: np.log(x / x.sum(axis=-1, keepdims=True))
-    return Model(log(start), log(move), [log(e) for e in emit])
+    model = Model(log(start), log(move), [log(e) for e in emit])
+    # Samples have one turn a row. A turn may yet begin inside a row, mostly at
+    # a marker; the row's length says something at the row's first line only.
+    begins = np.arange(0, STATES, 2)
+    model.emit[1][begins, 0] = np.maximum(model.emit[1][begins, 0], np.log(INNER_TURN))
+    model.emit[2][:, 15] = 0.0
+    return model
 
 
 def fit(table: DataFrame, rows: int = TRAIN_ROWS) -> Model:
