@@ -155,7 +155,7 @@ def _merge(found: DataFrame, k: int) -> DataFrame:
     scored = found.withColumn(
         "hits", F.transform(F.arrays_zip("ids", "scores"), lambda h: F.struct((-h["scores"]).alias("less"), h["ids"].alias("vec_id")))
     )
-    merged = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))), 1, k)
+    merged = F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, k)
     return scored.groupBy("query_id").agg(merged.alias("hits"))
 
 
