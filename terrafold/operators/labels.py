@@ -22,11 +22,19 @@ def label_cascade(df: DataFrame, area_names: Column | None = None, blocked: Colu
     canonical, no authority and no holding, else id; legal name EN, AR; id;
     missing id.
     """
-    en, ar = _filled(text.legal_label(F.col("name_en"))), _filled(text.legal_label(F.col("name_ar"), arabic=True))
-    candidate, by_id = F.coalesce(en, ar), F.concat(F.lit("DEVELOPER_ID_"), _filled(F.col("developer_id")))
-    authority = text.is_authority(F.col("name_en")) | text.is_authority(F.col("name_ar")) | text.is_authority(candidate)
-    place, umbrella = text.is_place(candidate, area_names, blocked), _filled(F.col("umbrella"))
-    safe = umbrella.isNotNull() & F.coalesce(F.col("umbrella_is_canonical"), F.lit(False)) & ~text.is_authority(umbrella) & ~text.has_holding(umbrella)
+    # Each step is a column of its own, so that no expression is repeated within another.
+    kept = df.columns
+    df = df.withColumns({"_en": _filled(text.legal_label(F.col("name_en"))), "_ar": _filled(text.legal_label(F.col("name_ar"), arabic=True)), "_umb": _filled(F.col("umbrella"))})
+    df = df.withColumn("_candidate", F.coalesce("_en", "_ar"))
+    df = df.withColumns(
+        {
+            "_authority": text.is_authority(F.col("name_en")) | text.is_authority(F.col("name_ar")) | text.is_authority(F.col("_candidate")),
+            "_place": text.is_place(F.col("_candidate"), area_names, blocked),
+            "_safe": F.col("_umb").isNotNull() & F.coalesce("umbrella_is_canonical", F.lit(False)) & ~text.is_authority(F.col("_umb")) & ~text.has_holding(F.col("_umb")),
+        }
+    )
+    en, ar, umbrella, by_id = F.col("_en"), F.col("_ar"), F.col("_umb"), F.concat(F.lit("DEVELOPER_ID_"), _filled(F.col("developer_id")))
+    authority, place, safe = F.col("_authority"), F.col("_place"), F.col("_safe")
     steps = [
         (_filled(F.col("brand_public")), F.lit(True), "PUBLIC_BRAND"),
         (_filled(F.col("id_override")), F.lit(True), "ID_BRAND_OVERRIDE"),
@@ -40,7 +48,7 @@ def label_cascade(df: DataFrame, area_names: Column | None = None, blocked: Colu
     ]
     pair = lambda v, s: F.struct(v.alias("label"), F.lit(s).alias("source"))
     chosen = F.coalesce(*[F.when(v.isNotNull() & on, pair(v, s)) for v, on, s in steps], pair(F.lit("DEVELOPER_ID_MISSING"), "MISSING_ID_FALLBACK"))
-    return df.withColumn("_l", chosen).select(*df.columns, F.col("_l.label").alias("developer_brand_label"), F.col("_l.source").alias("developer_brand_label_source"))
+    return df.withColumn("_l", chosen).select(*kept, F.col("_l.label").alias("developer_brand_label"), F.col("_l.source").alias("developer_brand_label_source"))
 
 
 def resolve_brands(facts: DataFrame, aliases: DataFrame, legal: DataFrame, project_overrides: DataFrame, master_overrides: DataFrame) -> DataFrame:
@@ -142,9 +150,9 @@ def area_aliases(reference: DataFrame) -> DataFrame:
 
 def spelling_conflicts(df: DataFrame, name: str) -> DataFrame:
     """Normalised keys with several spellings, and the commonest one."""
-    counts = df.filter(F.col(name).isNotNull()).groupBy(text.norm_entity(F.col(name)).alias("key"), name).agg(F.count("*").alias("n"))
-    best = F.min(F.struct((-F.col("n")).alias("less"), F.col(name).alias("v"))).alias("b")
-    return counts.groupBy("key").agg(F.count("*").alias("spellings"), F.sum("n").alias("rows"), best).filter("spellings > 1").select(
+    counts = df.filter(F.col(name).isNotNull()).groupBy(text.norm_entity(F.col(name)).alias("key"), name).agg(F.count("*").alias("_n"))
+    best = F.min(F.struct((-F.col("_n")).alias("less"), F.col(name).alias("v"))).alias("b")
+    return counts.groupBy("key").agg(F.count("*").alias("spellings"), F.sum("_n").alias("rows"), best).filter("spellings > 1").select(
         "key", "spellings", "rows", F.col("b.v").alias("canonical")
     )
 

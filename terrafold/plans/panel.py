@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bedrooms, dates, measures, text
 from ..operators import aggregates, clean, gates, impute, joins, labels, windows
+from ..sources.writers import Run
 
 
 @dataclass(frozen=True)
@@ -70,15 +71,16 @@ PHASES = ["months_to_handover_signed", "months_to_handover", "months_since_hando
 def build(enriched: DataFrame, rents: DataFrame, projects: DataFrame, config: PanelConfig = PanelConfig()) -> DataFrame:
     """Labelled panel (VA7 to VA12): aggregate, context joins, time columns, imputation.
 
-    ``enriched`` carries ``developer_brand_label``; ``rents``: year_month,
-    area_id, bedroom, rent, rent_sqft.
+    ``enriched`` carries ``developer_brand_label`` and is read several times,
+    so pass a written table; ``rents``: year_month, area_id, bedroom, rent,
+    rent_sqft.
     """
     keys = ["year_month", *config.series, "developer_brand_label"]
     seg = aggregates.segment_month(enriched, keys, ["price", *PHASES], "transaction_id", ["near_handover", "offplan_after_handover"])
     active = projects.filter(F.col("project_status").isin("ACTIVE", "NOT_STARTED", "PENDING"))
     supply = joins.active_by_month(
         active.select("area_id", F.col("handover_date").alias("end_date"), *[F.col(c).cast("long").alias(f"supply_{c[6:]}") for c in ("no_of_units", "no_of_buildings", "no_of_villas")]),
-        seg.select(F.col("year_month").alias("month")), ["area_id"], ["supply_units", "supply_buildings", "supply_villas"],
+        enriched.select(F.col("year_month").alias("month")), ["area_id"], ["supply_units", "supply_buildings", "supply_villas"],
     ).withColumnsRenamed({"month": "year_month", "projects": "active_projects"})
     due = joins.schedule(projects.filter("cancellation_date is null"), "", "handover_date", ["area_id"], F.col("no_of_units"), "units_completing").withColumnRenamed("month", "year_month")
     counts = ["rent_count", "supply_units", "supply_buildings", "supply_villas", "active_projects", "units_completing"]
@@ -89,6 +91,24 @@ def build(enriched: DataFrame, rents: DataFrame, projects: DataFrame, config: Pa
     return impute.impute_rents(panel, ["group_id"], "time_idx", "area_id", config.rent_strategy, config.min_rent_count)
 
 
+def run(
+    spark: SparkSession, folder: str, raw: DataFrame, projects: DataFrame, developers: DataFrame, groups: DataFrame, brands: DataFrame, rents: DataFrame,
+    config: PanelConfig = PanelConfig(),
+) -> str:
+    """The whole build: each stage is written once and read by the next; published if all gates hold."""
+    out = Run(spark, folder)
+
+    def stage(name: str, df: DataFrame) -> DataFrame:
+        out.write(name, df)
+        return spark.read.parquet(f"{out.path}/{name}")
+
+    enriched = stage("enriched", enrich(raw, projects, developers, groups, config))
+    labelled = stage("labelled", label(enriched, developers, brands))
+    built = stage("panel", build(labelled, rents, projects, config))
+    out.publish(check(built, labelled, config))
+    return out.path
+
+
 def check(panel: DataFrame, enriched: DataFrame, config: PanelConfig = PanelConfig()) -> dict[str, int]:
     """Violations of each gate on labels and panel (VA13); all must be 0 to publish."""
     return {
@@ -100,16 +120,14 @@ def check(panel: DataFrame, enriched: DataFrame, config: PanelConfig = PanelConf
     }
 
 
-def label(enriched: DataFrame, brands: DataFrame) -> DataFrame:
+def label(enriched: DataFrame, developers: DataFrame, brands: DataFrame) -> DataFrame:
     """Add the label cascade (E5); ``brands``: brand, aliases, registered_entities."""
     aliases = labels.alias_dictionary(brands)
-    names = enriched.select("developer_id", "developer_name_en", "developer_name_ar").distinct()
-    legal = labels.compile_developers(names, brands, aliases)
-    empty = legal.limit(0)
-    resolved = labels.resolve_brands(
-        enriched.withColumnsRenamed({"project_name_en": "project_name", "building_name_en": "building_name", "master_project_en": "master_project"}),
-        aliases, legal, empty.withColumnRenamed("developer_id", "project_number"), empty.withColumnRenamed("developer_id", "master_project"),
-    )
+    legal = labels.compile_developers(developers, brands, aliases)
+    spark = enriched.sparkSession
+    nothing = {k: spark.createDataFrame([], f"{k} string, brand string") for k in ("project_number", "master_project")}
+    renamed = enriched.withColumnsRenamed({"project_name_en": "project_name", "building_name_en": "building_name", "master_project_en": "master_project"})
+    resolved = labels.resolve_brands(renamed, aliases, legal, nothing["project_number"], nothing["master_project"])
     none = F.lit(None).cast("string")
     ready = resolved.withColumns(
         {"brand_public": F.col("brand"), "id_override": none, "owner_override": none, "name_en": F.col("developer_name_en"), "name_ar": F.col("developer_name_ar"), "umbrella": none, "umbrella_is_canonical": F.lit(False)}

@@ -52,10 +52,13 @@ def optional(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def tolerant(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(good rows, bad rows as text) of a damaged CSV (S3)."""
-    wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    raw = spark.read.csv(path, header=True, schema=wide, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
-    return raw.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), raw.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+    """(good rows, bad rows as text) of a damaged CSV with one row a line (S3)."""
+    first = spark.read.text(path).first()
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + f", {CORRUPT} string"
+    lines = spark.read.text(path).filter(F.col("value") != (first[0] if first else ""))
+    parsed = lines.withColumn("r", F.from_csv("value", shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
+    broken = F.col(f"r.{CORRUPT}").isNotNull()
+    return parsed.filter(~broken).select("r.*").drop(CORRUPT), parsed.filter(broken).select(F.col("value").alias("row"))
 
 
 def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+KINDS = {"string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType()}
+
+
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """``name type, name type``; needs no session, unlike DDL."""
+    pairs = (field.split() for field in text.split(","))
+    return T.StructType([T.StructField(name, KINDS[kind]) for name, kind in pairs])
 
 
 TRANSACTIONS = _schema(
