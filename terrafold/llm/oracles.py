@@ -2,9 +2,12 @@
 
 OP4 = r"""WITH p AS (SELECT doc_id, text, regexp_extract_all(text, '(?s).+?(?:[.!?]\s+|\n\s*|\z)') AS ps FROM documents),
   s AS (SELECT doc_id, i, ps[i] AS piece, trim(lower(regexp_replace(ps[i], '\s+', ' ', 'g'))) AS k FROM p, unnest(range(1, len(ps) + 1)) AS u(i)),
-  r AS (SELECT doc_id, i, k || chr(10) || lead(k) OVER w || chr(10) || lead(k, 2) OVER w AS run FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-  later AS (SELECT doc_id, i FROM r WHERE run IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, i) > 1),
-  gone AS (SELECT DISTINCT doc_id, i + k AS i FROM later, (VALUES (0), (1), (2)) AS v(k)),
+  x AS (SELECT doc_id, i, len(string_split(k, ' ')) AS wc, sum(len(string_split(k, ' '))) OVER (PARTITION BY doc_id ORDER BY i) AS pw FROM s),
+  j AS (SELECT a.doc_id, a.i, min(b.i) AS j FROM x AS a JOIN x AS b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 20
+    WHERE b.pw - a.pw + a.wc >= 50 OR (b.i > a.i AND b.pw - a.pw + a.wc >= 20) GROUP BY 1, 2),
+  l AS (SELECT doc_id, list(k ORDER BY i) AS ks FROM s GROUP BY 1),
+  later AS (SELECT doc_id, i, j FROM j JOIN l USING (doc_id) QUALIFY row_number() OVER (PARTITION BY array_to_string(ks[i:j], chr(10)) ORDER BY doc_id, i) > 1),
+  gone AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM later),
   made AS (SELECT s.doc_id, count(gone.i) AS n, coalesce(string_agg(piece, '' ORDER BY s.i) FILTER (gone.i IS NULL), '') AS kept FROM s LEFT JOIN gone ON s.doc_id = gone.doc_id AND s.i = gone.i GROUP BY 1)
   SELECT documents.doc_id, CASE WHEN n > 0 THEN regexp_replace(kept, '\s+$', '') ELSE text END AS text FROM documents LEFT JOIN made USING (doc_id)"""
 

@@ -1,17 +1,20 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences at ``.``, ``!`` or ``?`` before white space and at
-line ends. Every run of ``run`` consecutive sentences is hashed (white space
-and case made equal) and runs are joined on hash and length across the whole
-table. The first occurrence, by (document id, place), stays; every sentence
-that some later occurrence covers is removed, and the text closes over it.
+line ends. From every sentence on, the shortest run of consecutive sentences is
+hashed that has at least ``SENTENCES`` sentences and ``WORDS`` words (a run may
+end early, even after one sentence, once it has ``ENOUGH`` words). White space
+and case are made equal; runs are joined on hash and length across the whole
+table. The first occurrence, by (document id, place), stays; every sentence that
+some later occurrence covers is removed, and the text closes over it. The least
+number of words keeps pairs of short sentences, which meet by chance, whole.
 
 The least occurrence of each hash comes from a groupBy, combined before the
 shuffle; it is then joined back to the runs, so that a passage in a third of
 all documents is a skewed join, which Spark splits.
 
-Defined cases: null texts stay null; empty texts, and texts of fewer sentences
-than a run, stay as they are; a text that is removed wholly becomes empty; a
+Defined cases: null texts stay null; empty texts, and texts too short for a run,
+stay as they are; a text that is removed wholly becomes empty; a
 run that repeats within its own text is removed there too; rows with equal ids
 count as one place, so that none of them is a later copy of the other; null ids
 come after all others and count as one place; an empty table gives no rows;
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import free_name, slices
 
-RUN = 3
+SENTENCES, WORDS, ENOUGH = 2, 20, 50
 BREAK = re.compile(r"[.!?]\s+|\n\s*")
 LAST = 2**63 - 1
 
@@ -47,18 +50,25 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return spans
 
 
-def runs(text: str, run: int = RUN) -> tuple[list[int], list[int]]:
-    """Hash and length of each run of ``run`` sentences, in order."""
+def runs(text: str) -> list[tuple[int, int, str]]:
+    """(first sentence, sentence after the last, words) of each run, in order."""
     keys = [" ".join(text[a:b].split()).lower() for a, b in sentences(text)]
-    hashes, lengths = [], []
-    for at in range(len(keys) - run + 1):
-        joined = "\n".join(keys[at : at + run])
-        hashes.append(xxhash.xxh3_64_intdigest(joined) - 2**63)
-        lengths.append(len(joined))
-    return hashes, lengths
-
-
-def occurrences(docs: DataFrame, run: int = RUN) -> DataFrame:
+    words = [k.count(" ") + 1 for k in keys]
+    found, end, total = [], 0, 0
+    for at in range(len(keys)):
+        if end < at + 1:
+            end, total = at + 1, words[at]
+        # Runs of later starts never end earlier, but one sentence may be enough.
+        while end < len(keys) and total < ENOUGH and (end - at < SENTENCES or total < WORDS):
+            total += words[end]
+            end += 1
+        if total >= ENOUGH or end - at >= SENTENCES and total >= WORDS:
+            found.append((at, end, "\n".join(keys[at:end])))
+        total -= words[at]
+    return found
+
+
+def occurrences(docs: DataFrame) -> DataFrame:
     """All runs of ``docs`` (id, text): ``id, at, hash, chars``."""
     schema = pa.schema([("id", pa.int64()), ("at", pa.int32()), ("hash", pa.int64()), ("chars", pa.int32())])
 
@@ -66,19 +76,19 @@ def occurrences(docs: DataFrame, run: int = RUN) -> DataFrame:
         for batch in slices(batches):
             ids, ats, hashes, chars = [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found, lengths = runs(text, run)
-                ids.extend([doc] * len(found))
-                ats.extend(range(len(found)))
-                hashes.extend(found)
-                chars.extend(lengths)
+                for at, _, words in runs(text):
+                    ids.append(doc)
+                    ats.append(at)
+                    hashes.append(xxhash.xxh3_64_intdigest(words) - 2**63)
+                    chars.append(len(words))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids, ats, hashes, chars), schema.types)], schema=schema)
 
     return docs.filter("text is not null").mapInArrow(work, "id long, at int, hash long, chars int")
 
 
-def repeated(docs: DataFrame, run: int = RUN) -> DataFrame:
+def repeated(docs: DataFrame) -> DataFrame:
     """Per document with later occurrences: ``id`` and their places ``ats``."""
-    found = occurrences(docs, run)
+    found = occurrences(docs)
     place = F.struct("id", "at")
     first = (
         found.groupBy("hash", "chars")
@@ -90,12 +100,14 @@ def repeated(docs: DataFrame, run: int = RUN) -> DataFrame:
     return later.groupBy("id").agg(F.collect_set("at").alias("ats"))
 
 
-def cut_out(text: str, ats: list[int], run: int) -> str:
-    gone = {k for at in ats for k in range(at, at + run)}
+def cut_out(text: str, ats: list[int]) -> str:
+    """The text without the runs that start at ``ats``."""
+    starts = set(ats)
+    gone = {k for at, end, _ in runs(text) if at in starts for k in range(at, end)}
     return "".join(text[a:b] for k, (a, b) in enumerate(sentences(text)) if k not in gone)
 
 
-def dedup_spans(docs: DataFrame, id_column="doc_id", text_column="text", run: int = RUN) -> DataFrame:
+def dedup_spans(docs: DataFrame, id_column="doc_id", text_column="text") -> DataFrame:
     """``docs`` with later occurrences of repeated runs removed from the text.
 
     A text from which something was removed also loses white space at its end.
@@ -103,7 +115,7 @@ def dedup_spans(docs: DataFrame, id_column="doc_id", text_column="text", run: in
     key, ats = free_name(docs, "_key", "_ats")
     place = F.coalesce(F.col(id_column).cast("long"), F.lit(LAST))
     slim = docs.select(place.alias("id"), F.col(text_column).cast("string").alias("text"))
-    gone = repeated(slim, run).select(F.col("id").alias(key), F.col("ats").alias(ats))
+    gone = repeated(slim).select(F.col("id").alias(key), F.col("ats").alias(ats))
     joined = docs.join(gone, place == F.col(key), "left")
 
     names = [f.name for f in docs.schema]
@@ -114,7 +126,7 @@ def dedup_spans(docs: DataFrame, id_column="doc_id", text_column="text", run: in
             columns = batch.columns
             texts = columns[at_text].to_pylist()
             places = columns[-1].to_pylist()
-            done = [t if not p else cut_out(t, p, run).rstrip() for t, p in zip(texts, places)]
+            done = [t if not p else cut_out(t, p).rstrip() for t, p in zip(texts, places)]
             columns[at_text] = pa.array(done, pa.string())
             yield pa.RecordBatch.from_arrays(columns[:-1], names=names)
 

@@ -47,18 +47,22 @@ def groups_of(texts, n=5, least=0.8):
     return [find(i) for i in range(len(sets))], links
 
 
-def spans_removed(rows, run=spans.RUN):
+def spans_removed(rows):
     """(doc_id, text) in order of id -> texts without later occurrences."""
     seen, out = set(), []
     for _, text in rows:
         parts = [text[a:b] for a, b in spans.sentences(text)]
         keys = [" ".join(p.split()).lower() for p in parts]
         gone = set()
-        for k in range(len(keys) - run + 1):
-            key = tuple(keys[k : k + run])
-            if key in seen:
-                gone |= set(range(k, k + run))
-            seen.add(key)
+        for k in range(len(keys)):
+            for end in range(k + 1, len(keys) + 1):
+                words = len(" ".join(keys[k:end]).split())
+                if words >= 50 or end - k >= 2 and words >= 20:
+                    key = tuple(keys[k:end])
+                    if key in seen:
+                        gone |= set(range(k, end))
+                    seen.add(key)
+                    break
         out.append("".join(p for k, p in enumerate(parts) if k not in gone).rstrip() if gone else text)
     return out
 

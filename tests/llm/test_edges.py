@@ -13,9 +13,9 @@ WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, id long, rank int, hash string, component long"
 LONG = " ".join(f"word{i % 97}x{i}" for i in range(20_000))
 ROWS = [
-    (1, "The first text has a few words. It goes on here. And it ends so.", "en", "a", 1, 1, 1, 1, "x", 1),
-    (1, "The first text has a few words. It goes on here. And it ends so.", "en", "a", 1, 1, 1, 1, "x", 1),
-    (2, "The first text has a few words. It goes on here. And it ends so.", None, None, None, None, None, None, None, None),
+    (1, "The first text has quite a few words in it. It goes on here for a while yet. And then it ends so.", "en", "a", 1, 1, 1, 1, "x", 1),
+    (1, "The first text has quite a few words in it. It goes on here for a while yet. And then it ends so.", "en", "a", 1, 1, 1, 1, "x", 1),
+    (2, "The first text has quite a few words in it. It goes on here for a while yet. And then it ends so.", None, None, None, None, None, None, None, None),
     (3, None, "en", "b", 0, 0, 0, 0, None, 0),
     (4, "", "en", "b", 0, 0, 0, 0, "", 0),
     (5, "  \n\t ", None, "", 0, 0, 0, 0, "", 0),
