@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, slices
+from .common import cut, free_name, slices
 
 SENTENCES, WORDS, ENOUGH = 2, 20, 50
 BREAK = re.compile(r"[.!?]\s+|\n\s*")
@@ -96,7 +96,9 @@ def repeated(docs: DataFrame) -> DataFrame:
         .filter(F.col("least") < F.col("most"))
         .select("hash", "chars", "least")
     )
-    later = found.join(first, ["hash", "chars"]).filter(place > F.col("least"))
+    # Written first, so that both sides of the join are dealt out for it and
+    # Spark can split a hash that a third of all runs have.
+    later = found.join(cut(first), ["hash", "chars"]).filter(place > F.col("least"))
     return later.groupBy("id").agg(F.collect_set("at").alias("ats"))
 
 
