@@ -38,7 +38,7 @@ TRAIN_ROWS = 20_000
 CANDIDATES = 2_000
 MIN_TEXTS, MIN_Z = 5, 4.0
 PREFIXES = (4, 5)
-L1, ROUNDS = 2e-4, 400
+L1, ROUNDS = 5e-5, 400
 REJECT = 0.5
 WORD = re.compile(r"\w+")
 
