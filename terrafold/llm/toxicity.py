@@ -23,7 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -41,6 +41,8 @@ PREFIXES = (4, 5)
 L1, ROUNDS = 5e-5, 400
 REJECT = 0.5
 WORD = re.compile(r"\w+")
+#: Words that a ``Matcher`` remembers.
+ENTRIES = 500_000
 
 
 def features(text: str | None) -> Counter:
@@ -52,6 +54,32 @@ def features(text: str | None) -> Counter:
     return found
 
 
+class Matcher:
+    """Counts those of ``names`` that a text has, as ``features`` counts all.
+
+    What a word has is looked up once per task; at most ``ENTRIES`` words are
+    remembered, so memory is bounded.
+    """
+
+    def __init__(self, names: Container[str]):
+        self.names, self.known, self.blank = names, {}, set()
+
+    def __call__(self, text: str | None) -> dict[str, int]:
+        found: dict[str, int] = {}
+        for word in set(WORD.findall((text or "").lower())) - self.blank:
+            own = self.known.get(word)
+            if own is None:
+                own = [f for f in (word, *(word[:size] + "*" for size in PREFIXES if len(word) >= size)) if f in self.names]
+                if len(self.known) + len(self.blank) < ENTRIES:
+                    if own:
+                        self.known[word] = own
+                    else:
+                        self.blank.add(word)
+            for feature in own:
+                found[feature] = found.get(feature, 0) + 1
+        return found
+
+
 @dataclass
 class Ordinal:
     """Weights by feature and ascending thresholds; ``trained`` is False for none."""
@@ -65,15 +93,11 @@ class Ordinal:
 
     def probabilities(self, text: str | None) -> list[float]:
         """P(grade >= 1), P(grade >= 2), ..."""
-        eta = 0.0
-        words = set(WORD.findall((text or "").lower()))
-        hits = [self.weights[w] * math.log(2.0) for w in words & self.weights.keys()]
-        for size in PREFIXES:
-            starts = {w[:size] + "*" for w in words if len(w) >= size} & self.weights.keys()
-            for start in starts:
-                n = sum(len(w) >= size and w.startswith(start[:-1]) for w in words)
-                hits.append(self.weights[start] * math.log1p(n))
-        eta = math.fsum(hits)
+        return self.at(features(text))
+
+    def at(self, found: Mapping[str, int]) -> list[float]:
+        """The same for counted features; those without a weight do nothing."""
+        eta = math.fsum(self.weights[f] * math.log1p(n) for f, n in found.items() if f in self.weights)
         return [1.0 / (1.0 + math.exp(min(700.0, t - eta))) for t in self.thresholds]
 
 
@@ -167,10 +191,10 @@ def train(
     names = frozenset(seen_toxic)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen, matcher = Counter(), Matcher(names)
         for batch in slices(batches):
             for text in batch.column(1).to_pylist():
-                seen.update(features(text).keys() & names)
+                seen.update(matcher(text).keys())
                 seen[""] += 1
         yield pa.RecordBatch.from_pydict(
             {"feature": pa.array(list(seen), pa.string()), "toxic": pa.array(list(seen.values()), pa.int64())}
@@ -194,14 +218,14 @@ def train(
     number = {f: k for k, f in enumerate(chosen)}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(number)
         for batch in slices(batches):
             labels, cols, vals = [], [], []
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = features(text)
-                own = [f for f in found if f in number]
+                own = sorted((number[f], n) for f, n in matcher(text).items())
                 labels.append(label)
-                cols.append([number[f] for f in own])
-                vals.append([math.log1p(found[f]) for f in own])
+                cols.append([f for f, _ in own])
+                vals.append([math.log1p(n) for _, n in own])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(labels, pa.int32()), pa.array(cols, pa.list_(pa.int32())), pa.array(vals, pa.list_(pa.float64()))],
                 names=["label", "cols", "vals"],
@@ -237,8 +261,9 @@ def score(docs: DataFrame, model: Ordinal, text_column="text", reject: float = R
     at_text = names.index(text_column)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(model.weights)
         for batch in slices(batches):
-            found = [model.probabilities(t) for t in batch.column(at_text).to_pylist()]
+            found = [model.at(matcher(t)) for t in batch.column(at_text).to_pylist()]
             p = [x[0] if x else 0.0 for x in found]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -269,8 +294,9 @@ def acceptable(docs: DataFrame, labels: DataFrame, text_column="text", **options
     at_text = docs.columns.index(text_column)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(model.weights)
         for batch in slices(batches):
-            keep = [not p or p[0] < REJECT for p in map(model.probabilities, batch.column(at_text).to_pylist())]
+            keep = [not p or p[0] < REJECT for p in (model.at(matcher(t)) for t in batch.column(at_text).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)

@@ -180,6 +180,15 @@ def test_toxicity_accuracy(spark):
     assert model.thresholds == tuple(sorted(model.thresholds)) and toxic.expected_severity.mean() > 1
 
 
+def test_matcher_counts_as_features_do(monkeypatch):
+    texts = [*frame("documents").text, "", None, "One ones ONE oneself"]
+    names = {f for t in texts[:20] for f in toxicity.features(t)} | {"ones*", "one"}
+    want = [{f: n for f, n in toxicity.features(t).items() if f in names} for t in texts]
+    assert list(map(toxicity.Matcher(names), texts)) == want
+    monkeypatch.setattr(toxicity, "ENTRIES", 3)
+    assert list(map(toxicity.Matcher(names), texts)) == want
+
+
 def test_plan_never_loses_a_piece():
     rng = np.random.RandomState(1)
     for capacity in (1, 7, 64, 4096):
