@@ -148,6 +148,8 @@ def segment_match(requests: DataFrame, series: DataFrame) -> DataFrame:
     """
     parts = ["area", "property_type", "bedroom", "reg_type", "developer"]
     same = lambda c: F.coalesce(F.lower(F.col(f"r.{c}")) == F.lower(F.col(f"s.{c}")), F.lit(False))
+    # Requests of one shape have one answer, so shapes are matched, not requests.
+    asked, requests = requests.select("request_id", *parts), requests.select(*parts).distinct().withColumn("request_id", F.to_json(F.struct(*parts)))
     r = requests.select("request_id", *parts).alias("r")
     s = series.select("group_id", *parts).alias("s")
     score = F.lit(40) + sum((F.when(same(c), n).otherwise(0) for c, n in (("bedroom", 25), ("property_type", 15), ("reg_type", 10), ("developer", 10))), F.lit(0))
@@ -177,7 +179,8 @@ def segment_match(requests: DataFrame, series: DataFrame) -> DataFrame:
     )
     w = Window.partitionBy("request_id").orderBy("tier", F.col("score").desc(), "group_id")
     best = ranked.unionByName(last).withColumn("rn", F.row_number().over(w)).filter("rn = 1")
-    return requests.select("request_id").join(best, "request_id", "left").select(
+    shape = F.to_json(F.struct(*parts)).alias("shape")
+    return asked.select("request_id", shape).join(best.withColumnRenamed("request_id", "shape"), "shape", "left").select(
         "request_id", "group_id", F.coalesce("match_type", F.lit("no_match")).alias("match_type"), F.coalesce("confidence", F.lit(0.0)).alias("confidence")
     )
 
