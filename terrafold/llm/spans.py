@@ -6,7 +6,9 @@ hashed that has at least ``SENTENCES`` sentences and ``WORDS`` words (a run may
 end early, even after one sentence, once it has ``ENOUGH`` words). White space
 and case are made equal; runs are joined on hash and length across the whole
 table. The first occurrence, by (document id, place), stays; every sentence that
-some later occurrence covers is removed, and the text closes over it. The least
+some later occurrence covers is removed, and the text closes over it. Places go back to
+their rows by id and hash of the text, so rows that share an id or have none do
+not lose each other's sentences. The least
 number of words keeps pairs of short sentences, which meet by chance, whole.
 
 The least occurrence of each hash comes from a groupBy, combined before the
@@ -69,25 +71,26 @@ def runs(text: str) -> list[tuple[int, int, str]]:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """All runs of ``docs`` (id, text): ``id, at, hash, chars``."""
-    schema = pa.schema([("id", pa.int64()), ("at", pa.int32()), ("hash", pa.int64()), ("chars", pa.int32())])
+    """All runs of ``docs`` (id, text, key): ``id, key, at, hash, chars``."""
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("at", pa.int32()), ("hash", pa.int64()), ("chars", pa.int32())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids, ats, hashes, chars = [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids, own, ats, hashes, chars = [], [], [], [], []
+            for doc, text, key in zip(*[batch.column(k).to_pylist() for k in range(3)]):
                 for at, _, words in runs(text):
                     ids.append(doc)
+                    own.append(key)
                     ats.append(at)
                     hashes.append(xxhash.xxh3_64_intdigest(words) - 2**63)
                     chars.append(len(words))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids, ats, hashes, chars), schema.types)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids, own, ats, hashes, chars), schema.types)], schema=schema)
 
-    return docs.filter("text is not null").mapInArrow(work, "id long, at int, hash long, chars int")
+    return docs.filter("text is not null").mapInArrow(work, "id long, key long, at int, hash long, chars int")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """Per document with later occurrences: ``id`` and their places ``ats``."""
+    """Per document with later occurrences: ``id``, ``key`` and their places ``ats``."""
     found = occurrences(docs)
     place = F.struct("id", "at")
     first = (
@@ -99,7 +102,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     # Written first, so that both sides of the join are dealt out for it and
     # Spark can split a hash that a third of all runs have.
     later = found.join(cut(first), ["hash", "chars"]).filter(place > F.col("least"))
-    return later.groupBy("id").agg(F.collect_set("at").alias("ats"))
+    return later.groupBy("id", "key").agg(F.collect_set("at").alias("ats"))
 
 
 def cut_out(text: str, ats: list[int]) -> str:
@@ -114,11 +117,12 @@ def dedup_spans(docs: DataFrame, id_column="doc_id", text_column="text") -> Data
 
     A text from which something was removed also loses white space at its end.
     """
-    key, ats = free_name(docs, "_key", "_ats")
+    own, key, ats = free_name(docs, "_id", "_key", "_ats")
     place = F.coalesce(F.col(id_column).cast("long"), F.lit(LAST))
-    slim = docs.select(place.alias("id"), F.col(text_column).cast("string").alias("text"))
-    gone = repeated(slim).select(F.col("id").alias(key), F.col("ats").alias(ats))
-    joined = docs.join(gone, place == F.col(key), "left")
+    text = F.col(text_column).cast("string")
+    slim = docs.select(place.alias("id"), text.alias("text"), F.xxhash64(text).alias("key"))
+    gone = repeated(slim).select(F.col("id").alias(own), F.col("key").alias(key), F.col("ats").alias(ats))
+    joined = docs.join(gone, (place == F.col(own)) & (F.xxhash64(text) == F.col(key)), "left")
 
     names = [f.name for f in docs.schema]
     at_text = names.index(text_column)
