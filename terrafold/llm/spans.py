@@ -1,9 +1,11 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences at ``.``, ``!`` or ``?`` before white space and at
-line ends. From every sentence on, the shortest run of consecutive sentences is
-hashed that has at least ``SENTENCES`` sentences and ``WORDS`` words (a run may
-end early, even after one sentence, once it has ``ENOUGH`` words). White space
+line ends. A run is made of consecutive sentences, at least ``SENTENCES`` of them
+with ``WORDS`` words, or even one with ``ENOUGH`` words. From every sentence on
+the shortest run is hashed, and with ``every_run`` also the shortest one to the
+end of every sentence: any run is the union of those within it, so that what
+repeats as a longer run is removed as wholly as if all runs were hashed. White space
 and case are made equal; runs are joined on hash and length across the whole
 table. The first occurrence, by (document id, place), stays; every sentence that
 some later occurrence covers is removed, and the text closes over it. Places go back to
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -52,46 +55,52 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return spans
 
 
-def runs(text: str) -> list[tuple[int, int, str]]:
+def runs(text: str, every_run: bool = False) -> list[tuple[int, int, str]]:
     """(first sentence, sentence after the last, words) of each run, in order."""
     keys = [" ".join(text[a:b].split()).lower() for a, b in sentences(text)]
     words = [k.count(" ") + 1 for k in keys]
-    found, end, total = [], 0, 0
-    for at in range(len(keys)):
-        if end < at + 1:
-            end, total = at + 1, words[at]
-        # Runs of later starts never end earlier, but one sentence may be enough.
-        while end < len(keys) and total < ENOUGH and (end - at < SENTENCES or total < WORDS):
-            total += words[end]
-            end += 1
-        if total >= ENOUGH or end - at >= SENTENCES and total >= WORDS:
-            found.append((at, end, "\n".join(keys[at:end])))
-        total -= words[at]
-    return found
-
-
-def occurrences(docs: DataFrame) -> DataFrame:
-    """All runs of ``docs`` (id, text, key): ``id, key, at, hash, chars``."""
-    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("at", pa.int32()), ("hash", pa.int64()), ("chars", pa.int32())])
+    total = [0, *accumulate(words)]
+
+    def enough(at: int, end: int) -> bool:
+        n = total[end] - total[at]
+        return n >= ENOUGH or end - at >= SENTENCES and n >= WORDS
+
+    # A run stays one when it grows, so both borders only move forward.
+    found, at = set(), 0
+    for end in range(1, len(keys) + 1):
+        if enough(at, end):
+            while enough(at, end):
+                # The shortest run from ``at``: none that ends earlier was enough.
+                found.add((at, end))
+                at += 1
+        if every_run and at and enough(at - 1, end):
+            found.add((at - 1, end))
+    return [(at, end, "\n".join(keys[at:end])) for at, end in sorted(found)]
+
+
+def occurrences(docs: DataFrame, every_run: bool = False) -> DataFrame:
+    """All runs of ``docs`` (id, text, key): ``id, key, at, end, hash, chars``."""
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("at", pa.int32()), ("end", pa.int32()), ("hash", pa.int64()), ("chars", pa.int32())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids, own, ats, hashes, chars = [], [], [], [], []
+            ids, own, ats, ends, hashes, chars = [], [], [], [], [], []
             for doc, text, key in zip(*[batch.column(k).to_pylist() for k in range(3)]):
-                for at, _, words in runs(text):
+                for at, end, words in runs(text, every_run):
                     ids.append(doc)
                     own.append(key)
                     ats.append(at)
+                    ends.append(end)
                     hashes.append(xxhash.xxh3_64_intdigest(words) - 2**63)
                     chars.append(len(words))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids, own, ats, hashes, chars), schema.types)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids, own, ats, ends, hashes, chars), schema.types)], schema=schema)
 
-    return docs.filter("text is not null").mapInArrow(work, "id long, key long, at int, hash long, chars int")
+    return docs.filter("text is not null").mapInArrow(work, "id long, key long, at int, end int, hash long, chars int")
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """Per document with later occurrences: ``id``, ``key`` and their places ``ats``."""
-    found = occurrences(docs)
+def repeated(docs: DataFrame, every_run: bool = False) -> DataFrame:
+    """Per document with later occurrences: ``id``, ``key`` and their ``runs``, of at and end."""
+    found = occurrences(docs, every_run)
     place = F.struct("id", "at")
     first = (
         found.groupBy("hash", "chars")
@@ -102,26 +111,25 @@ def repeated(docs: DataFrame) -> DataFrame:
     # Written first, so that both sides of the join are dealt out for it and
     # Spark can split a hash that a third of all runs have.
     later = found.join(cut(first), ["hash", "chars"]).filter(place > F.col("least"))
-    return later.groupBy("id", "key").agg(F.collect_set("at").alias("ats"))
+    return later.groupBy("id", "key").agg(F.collect_set(F.struct("at", "end")).alias("runs"))
 
 
-def cut_out(text: str, ats: list[int]) -> str:
-    """The text without the runs that start at ``ats``."""
-    starts = set(ats)
-    gone = {k for at, end, _ in runs(text) if at in starts for k in range(at, end)}
+def cut_out(text: str, found: list[dict]) -> str:
+    """The text without the runs ``found``."""
+    gone = {k for run in found for k in range(run["at"], run["end"])}
     return "".join(text[a:b] for k, (a, b) in enumerate(sentences(text)) if k not in gone)
 
 
-def dedup_spans(docs: DataFrame, id_column="doc_id", text_column="text") -> DataFrame:
+def dedup_spans(docs: DataFrame, id_column="doc_id", text_column="text", every_run=False) -> DataFrame:
     """``docs`` with later occurrences of repeated runs removed from the text.
 
     A text from which something was removed also loses white space at its end.
     """
-    own, key, ats = free_name(docs, "_id", "_key", "_ats")
+    own, key, found = free_name(docs, "_id", "_key", "_runs")
     place = F.coalesce(F.col(id_column).cast("long"), F.lit(LAST))
     text = F.col(text_column).cast("string")
     slim = docs.select(place.alias("id"), text.alias("text"), F.xxhash64(text).alias("key"))
-    gone = repeated(slim).select(F.col("id").alias(own), F.col("key").alias(key), F.col("ats").alias(ats))
+    gone = repeated(slim, every_run).select(F.col("id").alias(own), F.col("key").alias(key), F.col("runs").alias(found))
     joined = docs.join(gone, (place == F.col(own)) & (F.xxhash64(text) == F.col(key)), "left")
 
     names = [f.name for f in docs.schema]
@@ -137,4 +145,4 @@ def dedup_spans(docs: DataFrame, id_column="doc_id", text_column="text") -> Data
             yield pa.RecordBatch.from_arrays(columns[:-1], names=names)
 
     schema = docs.withColumn(text_column, F.col(text_column).cast("string")).schema
-    return joined.select(*[F.col(f"`{c}`") for c in names], ats).mapInArrow(work, schema)
+    return joined.select(*[F.col(f"`{c}`") for c in names], found).mapInArrow(work, schema)

@@ -20,3 +20,30 @@ def test_rows_without_id_keep_their_own_text(spark):
         docs = spark.createDataFrame([(1, first), (key, copy), (key, other)], "doc_id long, text string")
         got = {r["text"] for r in spans.dedup_spans(docs).collect()}
         assert got == {first, said("b", 25) + said("c", 25) + said("d", 25).rstrip(), other}
+
+
+def test_removed_as_if_every_run_were_hashed(spark):
+    import random
+
+    rng = random.Random(3)
+    pool = [said(f"p{k}x", n) for k, n in enumerate([60, 40, 3, 15, 5, 10, 5, 10, 25, 1, 49, 55])]
+    texts = ["Start here. " + pool[0] + pool[1] + said("u", 7), said("v", 9) + pool[0] + pool[1] + said("w", 8)]
+    for k in range(60):
+        at = rng.randrange(len(pool))
+        texts.append(said(f"l{k}y", rng.randrange(1, 30)) + "".join(pool[at : at + rng.randrange(1, 5)]) + said(f"r{k}z", rng.randrange(1, 30)))
+    seen, want = set(), []
+    for text in texts:
+        parts = [text[a:b] for a, b in spans.sentences(text)]
+        keys, gone = [" ".join(p.split()).lower() for p in parts], set()
+        for k in range(len(keys)):
+            for end in range(k + 1, len(keys) + 1):
+                words = len(" ".join(keys[k:end]).split())
+                if words >= 50 or end - k >= 2 and words >= 20:
+                    key = tuple(keys[k:end])
+                    if key in seen:
+                        gone |= set(range(k, end))
+                    seen.add(key)
+        want.append("".join(p for k, p in enumerate(parts) if k not in gone).rstrip() if gone else text)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["text"] for r in spans.dedup_spans(docs, every_run=True).orderBy("doc_id").collect()]
+    assert got == want and "p1x" not in got[1]
