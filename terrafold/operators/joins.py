@@ -108,33 +108,66 @@ def contains_aliases(texts: DataFrame, text: str, aliases: DataFrame, condition:
     return texts.join(aliases, on if condition is None else on & condition)
 
 
+def _letters(names: DataFrame, text: Column) -> DataFrame:
+    """``names`` with ``size`` and the numbered letters of ``text`` (a1, b1, a2), rarest first, as ``letters``.
+
+    A common subsequence is no longer than the letters that two texts share, so
+    texts with ``n`` letters that need ``o`` in common share one of the first
+    ``n - o + 1`` of either, in any order that is the same for all.
+    """
+    chars = F.when(F.length("_t") > 0, F.transform(F.sequence(F.lit(1), F.length("_t")), lambda k: F.substring(F.col("_t"), k, F.lit(1)))).otherwise(F.array(F.lit("")))
+    number = lambda x, k: F.concat(x, F.size(F.filter(F.slice(F.col("_c"), F.lit(1), k + 1), lambda y: y == x)).cast("string"))
+    own = names.columns
+    each = names.withColumn("_t", text).withColumn("_c", chars).withColumns({"size": F.size("_c"), "letter": F.explode(F.transform("_c", number))}).drop("_t", "_c")
+    often = each.groupBy("letter").agg(F.count("*").alias("n"))
+    order = F.transform(F.array_sort(F.collect_list(F.struct("n", "letter"))), lambda x: x["letter"])
+    return each.join(often, "letter").groupBy(*own, "size").agg(order.alias("letters"))
+
+
 def fuzzy_best(left: DataFrame, name: str, right: DataFrame, candidate: str, least: float, scorer: str = "wratio") -> DataFrame:
-    """Best candidate per distinct name with score >= ``least``.
+    """Best candidate per distinct name with score >= ``least`` > 0.
 
-    Candidates share the first letter or a word of at least three letters with
-    the name, so pairs come from an equality join, not from all with all.
+    Every score is a ratio of parts of the two texts, of which the shorter is no
+    shorter than its distinct words, times at most 1. A ratio of ``least`` needs
+    ``least / (200 - least)`` of the shorter one's letters in common, so
+    candidates share one of its rarest letters; none is left out.
     """
-    def keys(c: Column) -> Column:
-        own = F.filter(tokens(F.upper(c)), lambda w: F.length(w) >= 3)
-        return F.array_distinct(F.concat(own, F.array(F.concat(F.lit("^"), F.upper(F.substring(c, 1, 1))))))
-
-    a = left.select(F.col(name).alias("_a")).filter("_a is not null").distinct().withColumn("_k", F.explode(keys(F.col("_a"))))
-    b = right.select(F.col(candidate).alias("_b")).filter("_b is not null").distinct().withColumn("_k", F.explode(keys(F.col("_b"))))
-    pairs = a.join(b, "_k").select("_a", "_b").distinct()
-    scored = pairs.withColumn("score", SCORERS[scorer](F.upper("_a"), F.upper("_b"))).filter(F.col("score") >= least)
+    def sides(df: DataFrame, column: str, out: str) -> DataFrame:
+        own = df.select(F.col(column).alias(out)).filter(F.col(out).isNotNull()).distinct()
+        flat = F.regexp_replace(F.upper(F.col(out)), r"(?U)\s", " ")
+        bare = F.length(F.array_join(F.array_distinct(F.filter(F.split(flat, " "), lambda w: w != "")), " "))
+        return own.withColumn("bare", bare).withColumn("flat", flat)
+
+    both = _letters(sides(left, name, "text").withColumn("side", F.lit(0)).unionByName(sides(right, candidate, "text").withColumn("side", F.lit(1))), F.col("flat"))
+    common = F.ceil(F.lit(least / (200.0 - least)) * F.col("bare") - 1e-9).cast("int")
+    first = F.slice("letters", F.lit(1), F.col("size") - common + 1)
+    pairs = None
+    for side in (0, 1):
+        short = both.filter(F.col("side") == side).select(F.col("text").alias("_s"), F.col("bare").alias("_n"), F.explode(first).alias("letter"))
+        long = both.filter(F.col("side") != side).select(F.col("text").alias("_l"), F.col("bare").alias("_m"), F.explode("letters").alias("letter"))
+        found = short.join(long, "letter").filter(F.col("_n") <= F.col("_m")).select(F.col("_l" if side else "_s").alias("_a"), F.col("_s" if side else "_l").alias("_b"))
+        pairs = found if pairs is None else pairs.unionByName(found)
+    scored = pairs.distinct().withColumn("score", SCORERS[scorer](F.upper("_a"), F.upper("_b"))).filter(F.col("score") >= least)
     best = F.min(F.struct((-F.col("score")).alias("less"), F.col("_b").alias("c"))).alias("b")
     return scored.groupBy(F.col("_a").alias(name)).agg(best).select(name, F.col("b.c").alias(candidate), (-F.col("b.less")).alias("score"))
 
 
 def similar_pairs(names: DataFrame, name: str, least: float = 85.0, apart: float = 0.3) -> DataFrame:
-    """Pairs of distinct names with least <= ratio < 100.
+    """Pairs of distinct names with 0 < least <= ratio < 100.
 
-    Pairs share a word; their lengths differ by at most ``apart`` of the longer.
+    Their lengths differ by at most ``apart`` of the longer. For each two
+    lengths the ratio says how many letters are common, so pairs are joined by
+    both lengths and one of the rarest letters; none is left out.
     """
-    own = names.select(F.col(name).alias("a")).filter("a is not null").distinct().withColumn("w", F.explode(F.array_distinct(tokens(F.upper("a")))))
-    other = own.select(F.col("a").alias("b"), "w")
+    own = _letters(names.select(F.col(name).alias("a")).filter("a is not null").distinct(), F.lower(F.col("a")))
+    far = (200.0 - least) / least
+    sizes = F.sequence(F.ceil(F.col("size") / far - 1e-9), F.floor(F.col("size") * far + 1e-9))
+    own = own.withColumn("other", F.explode(sizes))
+    common = F.ceil((F.col("size") + F.col("other")) * least / 200.0 - 1e-9).cast("int")
+    own = own.select("a", "size", "other", F.explode(F.slice("letters", F.lit(1), F.greatest(F.col("size") - common + 1, F.lit(0)))).alias("w"))
+    other = own.select(F.col("a").alias("b"), F.col("size").cast("long").alias("other"), F.col("other").cast("int").alias("size"), "w")
     near = F.abs(F.length("a") - F.length("b")) <= apart * F.greatest(F.length("a"), F.length("b"))
-    pairs = own.join(other, "w").filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    pairs = own.join(other, ["w", "size", "other"]).filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
     return pairs.withColumn("score", SCORERS["ratio"](F.lower("a"), F.lower("b"))).filter((F.col("score") >= least) & (F.col("score") < 100))
 
 

@@ -22,3 +22,47 @@ def test_whole_queries_take_no_part_of_a_table():
     whole = [name for name in SQL if name.endswith("_whole")]
     assert len(whole) == 8
     assert not any(part in SQL[name] for name in whole for part in ("o_orderkey % 3", "c_custkey <=", "l_suppkey % 3 = 0 GROUP", "area % 2", "<> 3", "<> 7"))
+
+
+def misspelt():
+    import random
+
+    rng = random.Random(4)
+    names = ["NAKHEEL", "NAKHEL", "EMAAR", "IMAAR", "DAMAC", "Sobha Realty", "SOBHA", "Realty of Sobha", "a", "", " ", "B B B"]
+    for base in ("ELLINGTON", "MERAAS HOLDING", "AZIZI", "BINGHATTI", "OMNIYAT", "PALM  MARINA"):
+        for _ in range(12):
+            x = list(base)
+            for _ in range(rng.randrange(1, 4)):
+                k = rng.randrange(len(x))
+                x[k : k + 1] = rng.choice([[], ["X"], [x[k], x[k]], ["e"]])
+            names.append("".join(x))
+    return sorted(set(names))
+
+
+def test_similar_pairs_are_those_of_all_pairs(spark):
+    from terrafold.functions import fuzzy
+    from terrafold.operators import joins
+
+    names = misspelt()
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    for least in (85.0, 60.0):
+        got = {(r["a"], r["b"]) for r in joins.similar_pairs(df, "n", least).collect()}
+        near = lambda a, b: abs(len(a) - len(b)) <= 0.3 * max(len(a), len(b))
+        assert got == {(a, b) for a in names for b in names if a < b and near(a, b) and least <= fuzzy.ratio(a.lower(), b.lower()) < 100}
+        assert ("NAKHEEL", "NAKHEL") in got
+
+
+def test_fuzzy_best_is_the_best_of_all_pairs(spark):
+    from terrafold.functions import fuzzy
+    from terrafold.operators import joins
+
+    names = misspelt()
+    typed, have = names[::2] + ["IMAAR"], names[1::2] + ["EMAAR"]
+    a, b = (spark.createDataFrame([(n,) for n in x], "n string") for x in (typed, have))
+    got = {r["n"]: (r["c"], r["score"]) for r in joins.fuzzy_best(a, "n", b.withColumnRenamed("n", "c"), "c", 70.0).collect()}
+    want = {}
+    for x in typed:
+        score, c = min((-fuzzy.wratio(x.upper(), y.upper()), y) for y in have)
+        if -score >= 70.0:
+            want[x] = (c, -score)
+    assert got == want and "IMAAR" in got
