@@ -81,17 +81,18 @@ def schedule(df: DataFrame, at: str, handover: str, keys: list[str], value: Colu
     return due.groupBy(F.trunc(handover, "month").alias("month"), *keys).agg(F.sum(value).cast("long").alias(out))
 
 
-def alias_hits(texts: DataFrame, text: str, aliases: DataFrame, most_words: int = 6) -> DataFrame:
+def alias_hits(texts: DataFrame, text: str, aliases: DataFrame) -> DataFrame:
     """Best alias per distinct text (J16): (text, alias, brand, score).
 
     A normalised alias is found at word borders exactly if it equals some run
     of words of the normalised text, so runs are exploded and joined by
-    equality; no pattern is tried row by row. ``aliases``: alias, brand,
+    equality; no pattern is tried row by row. Runs are as long as the aliases
+    are, whatever their numbers of words. ``aliases``: alias, brand,
     ``rank`` (less is preferred on equal scores).
     """
     distinct = texts.select(text).filter(F.col(text).isNotNull()).distinct().withColumn("_w", tokens(F.col(text)))
-    sizes = F.sequence(F.lit(1), F.lit(most_words))
-    runs = distinct.filter(F.size("_w") > 0).withColumn("_n", F.explode(sizes)).filter(F.col("_n") <= F.size("_w"))
+    sizes = aliases.filter("alias is not null").agg(F.collect_set(F.size(F.split("alias", " "))).alias("_sizes"))
+    runs = distinct.filter(F.size("_w") > 0).crossJoin(sizes).withColumn("_n", F.explode("_sizes")).filter(F.col("_n") <= F.size("_w"))
     runs = runs.withColumn("_at", F.explode(F.sequence(F.lit(1), F.size("_w") - F.col("_n") + 1)))
     runs = runs.select(text, F.array_join(F.slice("_w", F.col("_at"), F.col("_n")), " ").alias("alias")).distinct()
     hits = runs.join(aliases, "alias")

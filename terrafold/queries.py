@@ -522,7 +522,7 @@ WORDS = """w AS (SELECT doc_id, string_split(norm, ' ') AS ws FROM (SELECT doc_i
 def alias_match_best(spark, d):
     docs = table(spark, d, "documents").select("doc_id", text.norm_text(F.col("text")).alias("norm"))
     aliases = spark.createDataFrame([("IDIOT", "one word", 2), ("OF THE", "two words", 1), ("THE", "common", 3), ("TO THE", "two words too", 4)], "alias string, brand string, rank int")
-    return docs.join(joins.alias_hits(docs, "norm", aliases, 2), "norm").select("doc_id", "alias", "brand", "score", "conflict")
+    return docs.join(joins.alias_hits(docs, "norm", aliases), "norm").select("doc_id", "alias", "brand", "score", "conflict")
 
 
 @query("alias_ambiguity", """WITH a AS (SELECT lower(trim(unnest(string_split(p_type || ', ' || p_brand, ',')))) AS alias, p_size % 5 AS area_name, p_size AS units FROM part), u AS (SELECT alias, area_name, sum(units) AS units FROM a WHERE alias <> '' GROUP BY 1, 2)

@@ -66,3 +66,13 @@ def test_fuzzy_best_is_the_best_of_all_pairs(spark):
         if -score >= 70.0:
             want[x] = (c, -score)
     assert got == want and "IMAAR" in got
+
+
+def test_alias_of_eight_words(spark):
+    from terrafold.operators import joins
+
+    texts = spark.createDataFrame([("TOWER BY ONE TWO THREE FOUR L L C S ANNEX",), ("ONE TWO",)], "t string")
+    aliases = spark.createDataFrame([("ONE TWO THREE FOUR L L C S", "Long", 1), ("ONE", "Short", 2), (None, "None", 3)], "alias string, brand string, rank int")
+    got = {r["t"]: (r["brand"], r["conflict"]) for r in joins.alias_hits(texts, "t", aliases).collect()}
+    assert got == {"TOWER BY ONE TWO THREE FOUR L L C S ANNEX": ("Long", True), "ONE TWO": ("Short", False)}
+    assert joins.alias_hits(texts, "t", aliases.limit(0)).count() == 0
