@@ -166,17 +166,18 @@ def _boxes_apart(a: np.ndarray, b: np.ndarray) -> float:
     return float((gap * gap).sum())
 
 
-def _compare(held: list[tuple], kind: str, threshold: float, out: list[tuple]) -> None:
-    """One unit: rows (side, rep, copies, raw, projection), sorted by side."""
+def _compare(held: list[tuple], same: bool, kind: str, threshold: float, out: list[tuple]) -> None:
+    """One unit: rows (side, rep, copies, raw, projection), sorted by side; ``same`` if a block meets itself."""
     for width in {len(h[3]) for h in held}:
         rows = [h for h in held if len(h[3]) == width]
+        if not same and rows[0][0] == rows[-1][0]:
+            continue  # The length is missing on one side.
         reps = np.array([h[1] for h in rows])
         copies = np.array([h[2] for h in rows], dtype=np.int64)
         cells = np.array([h[4] for h in rows])
         exact = _units(np.frombuffer(b"".join(h[3] for h in rows), kind).reshape(len(rows), -1))
         quick = exact.astype(np.float32)
         split = sum(h[0] == 0 for h in rows)
-        same = split == len(rows)
         spans = [(a, min(a + STRIP, split)) for a in range(0, split, STRIP)]
         others = spans if same else [(a, min(a + STRIP, len(rows))) for a in range(split, len(rows), STRIP)]
         links, forest, eps2 = np.zeros(len(rows), dtype=np.int64), Forest(len(rows)), 2 - 2 * threshold
@@ -243,7 +244,7 @@ def near_duplicates(
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(held: list[tuple]) -> pa.RecordBatch:
             out: list[tuple] = []
-            _compare(held, kind, threshold, out)
+            _compare(held, now[0] == now[1], kind, threshold, out)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], [], []))], schema=schema)
 
         now, held = None, []
