@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, valid_vector
+from .common import cut, join_counted, partitions, valid_vector
 from .links import FOUND, Forest, classes
 
 THRESHOLD = 0.9
@@ -83,7 +83,7 @@ def distinct_vectors(vectors: DataFrame, kind: str) -> tuple[DataFrame, DataFram
 
     rows = vectors.mapInArrow(work, "id long, raw binary")
     distinct = cut(rows.groupBy("raw").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    members = rows.join(distinct, "raw").select("id", "rep", "copies")
+    members = join_counted(rows, distinct, "raw", "copies").select("id", "rep", "copies")
     return distinct, members
 
 

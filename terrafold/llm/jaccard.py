@@ -3,13 +3,18 @@
 Texts are cut into words at ASCII white space; a text's n-grams are the runs of
 ``n`` words (a shorter text has one n-gram, all its words). Rows and bands are
 chosen for a target recall at the threshold. Equal word sequences are one text
-with a multiplicity. Per band one hash; texts that share a band hash with
-another go to the least of them (a star, not all pairs), and the stars'
-components are the candidate clusters. Inside a cluster, texts are cut into
-blocks; each pair of blocks is one unit of work that compares full n-gram sets
-and emits, per text, its number of links, and per unit a spanning forest of its
-links. So no output or shuffle has a row per pair, a large cluster is spread
-over many tasks, and yet every pair of texts of a cluster is verified.
+with a multiplicity. Texts are shuffled on their band hashes; the least text of
+a band is its hub. A text's home is the least hub of its bands, and homes are
+cut into blocks of about ``block`` texts, so that near copies lie together. Two
+blocks meet in a unit of work if some band has texts in both, and a text goes
+to a unit only if it has such a band itself. A unit compares full n-gram sets
+and emits, per text, its number of links, and a spanning forest of its links.
+
+So candidates are only texts that share a band: chance candidates do not chain
+into ever larger clusters, since components are formed of verified links alone.
+A pair meets in the one unit of its two blocks, and is counted once. No output
+or shuffle has a row per pair, and a band with a third of all texts is spread
+over the pairs of its blocks.
 
 Result: one row per document with ``class_id`` (the smallest document id that
 links reach, itself included), ``n_links`` (other documents linked directly,
@@ -18,7 +23,7 @@ copies counted) and ``kept`` (it is the one that stays).
 Defined cases: null and blank texts have no n-grams and link with nothing; rows
 with equal ids count as copies of one document id and get one row each; null
 ids take no part in links and stay (class null, no links); an empty table gives
-no rows; very long texts are compared whole; columns besides are not read by
+no rows; texts of one id are never linked with each other; very long texts are compared whole; columns besides are not read by
 ``jaccard_classes`` and kept by ``representatives``.
 """
 
@@ -33,13 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, partitions, slices
-from .components import components
+from .common import cut, free_name, join_counted, partitions, slices
 from .links import FOUND, Forest, classes
 
 N, THRESHOLD = 5, 0.8
 RECALL, MAX_HASHES = 0.999, 192
 BLOCK = 256
+#: Rows of a band that are joined to its blocks in one place.
+SPREAD = 4096
 
 _POWERS = np.cumprod(np.full(1 << 12, 0x9E3779B97F4A7C15, dtype=np.uint64), dtype=np.uint64)
 _STEPS = np.random.RandomState(11).randint(1, 2**62, 64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -110,32 +116,34 @@ class MinHasher:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """Per document with words: id, ``text_key`` (16 bytes of its word sequence), band hashes."""
+    """Per document with words: id, row (hash of the text), ``text_key`` (16 bytes of its word sequence), band hashes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = MinHasher(bands, rows)
         for batch in slices(batches):
-            ids, keys, hashes = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids, own, keys, hashes = [], [], [], []
+            for doc, text, row in zip(*[batch.column(k).to_pylist() for k in range(3)]):
                 words = text.encode("utf-8", "surrogatepass").split()
                 if words:
                     ids.append(doc)
+                    own.append(row)
                     keys.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
                     hashes.append(hasher.bands_of(grams_of(word_hashes(words), n)))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()),
+                    pa.array(own, pa.int64()),
                     pa.array(keys, pa.binary()),
                     pa.ListArray.from_arrays(
                         np.arange(len(ids) + 1, dtype=np.int32) * bands,
                         np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.int64),
                     ),
                 ],
-                names=["id", "text_key", "bands"],
+                names=["id", "row", "text_key", "bands"],
             )
 
     return docs.filter("id is not null and text is not null").mapInArrow(
-        work, "id long, text_key binary, bands array<long>"
+        work, "id long, row long, text_key binary, bands array<long>"
     )
 
 
@@ -168,8 +176,8 @@ def _compare(units: Iterator[tuple], n: int, threshold: float, out: dict) -> Non
     size_a, size_b = sizes[:a], sizes if same else sizes[a:]
     union = size_a[:, None] + size_b[None, :] - common
     linked = common >= threshold * union - 1e-9
-    if same:
-        np.fill_diagonal(linked, False)
+    reps = np.array([r[0] for r in rows])
+    linked &= reps[:a, None] != reps[None, (0 if same else a) :]
     copies_a = np.array([r[1] for r in left], dtype=np.int64)
     copies_b = np.array([r[1] for r in right], dtype=np.int64)
     for row, links in zip(left, linked @ copies_b):
@@ -187,17 +195,17 @@ def _compare(units: Iterator[tuple], n: int, threshold: float, out: dict) -> Non
 
 
 def _verified(units: DataFrame, n: int, threshold: float) -> DataFrame:
-    """``units``: sorted by (cluster, p, q, side); gives (id, links, to)."""
+    """``units``: sorted by (p, q, side); gives (id, links, to)."""
     schema = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("to", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, out = None, [], {"id": [], "links": [], "to": []}
         for batch in slices(batches):
-            for cluster, p, q, side, doc, copies, text in zip(*[c.to_pylist() for c in batch.columns]):
-                if (cluster, p, q) != now:
+            for home_p, p, home_q, q, side, doc, copies, text in zip(*[c.to_pylist() for c in batch.columns]):
+                if (home_p, p, home_q, q) != now:
                     if len(held) > 1:
                         _compare(held, n, threshold, out)
-                    now, held = (cluster, p, q), []
+                    now, held = (home_p, p, home_q, q), []
                 grams = ngram_hashes(text, n)
                 if held and held[-1][:2] == (side, doc) and np.array_equal(held[-1][3], grams):
                     continue  # a repeated row, already among the copies
@@ -212,47 +220,68 @@ def _verified(units: DataFrame, n: int, threshold: float) -> DataFrame:
     return units.mapInArrow(work, FOUND)
 
 
+UNIT = ("home_p", "part_p", "home_q", "part_q", "side", "rep", "copies", "text")
+
+
+def candidate_units(texts: DataFrame, block: int) -> DataFrame:
+    """Which texts meet in which unit: ``p, q`` (blocks, p <= q), ``side, rep, row, copies``.
+
+    ``texts``: rep, row, copies, bands. A block is a struct of home and part.
+    """
+    texts = cut(texts)
+    banded = texts.select("rep", "row", "copies", F.explode("bands").alias("band"))
+    hubs = cut(
+        banded.groupBy("band")
+        .agg(F.min("rep").alias("hub"), F.max("rep").alias("top"), F.count("*").alias("n"))
+        .filter("hub < top")
+        .select("band", "hub", "n")
+    )
+    shared = cut(join_counted(banded, hubs, "band", "n"))
+    homes = cut(shared.groupBy("rep", "row").agg(F.min("hub").alias("home")))
+    sizes = cut(homes.groupBy("home").agg(F.count("*").alias("size")))
+    part = F.pmod(F.xxhash64("rep", "row"), F.ceil(F.col("size") / block)).cast("int")
+    placed = join_counted(homes, sizes, "home", "size").select("rep", "row", F.struct("home", part.alias("part")).alias("own"))
+    owned = cut(shared.join(placed, ["rep", "row"]).withColumn("salts", F.ceil(F.col("n") / SPREAD).cast("int")))
+    # The blocks of a band, once for each part of a band with very many texts.
+    blocks = owned.groupBy("band", F.col("own").alias("other"), "salts").agg(F.count("*").alias("here"))
+    blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    met = owned.withColumn("salt", F.pmod(F.xxhash64("rep", "row"), F.col("salts")).cast("int")).join(blocks, ["band", "salt"])
+    return (
+        met.filter("own <> other or here > 1")
+        .select(
+            F.least("own", "other").alias("p"),
+            F.greatest("own", "other").alias("q"),
+            (F.col("own") > F.col("other")).cast("int").alias("side"),
+            "rep",
+            "row",
+            "copies",
+        )
+        .distinct()
+    )
+
+
 def jaccard_classes(
     docs: DataFrame, id_column="doc_id", text_column="text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK
 ) -> DataFrame:
     """Return ``doc_id, class_id, n_links, kept`` for every row of ``docs``."""
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+    docs = docs.withColumn("row", F.xxhash64("text"))
     bands, rows = choose_bands(threshold, recall)
     signed = cut(signatures(docs, n, bands, rows))
     # Equal word sequences: the least id stands for all.
     texts = cut(
-        signed.groupBy("text_key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    )
-    members = signed.select("id", "text_key").join(texts, "text_key").select("id", "rep", "copies")
-    banded = (
-        signed.join(texts, "text_key")
-        .filter("id = rep")
-        .select("rep", F.explode(F.array_distinct("bands")).alias("band"))
+        signed.groupBy("text_key")
+        .agg(F.min(F.struct("id", "row")).alias("least"), F.count("*").alias("copies"))
+        .select("text_key", F.col("least.id").alias("rep"), F.col("least.row").alias("rep_row"), "copies")
     )
-    stars = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).filter("hub < top")
-    edges = banded.join(stars.select("band", "hub"), "band").filter("rep <> hub").select("rep", "hub").distinct()
-    clusters = cut(components(edges, "rep", "hub"))
-    sizes = clusters.groupBy("component").count().select("component", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    placed = clusters.join(sizes, "component").select(
-        "id", "component", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own")
-    )
-    pairs = (
-        placed.join(texts.select(F.col("rep").alias("id"), "copies"), "id")
-        .join(docs.filter("text is not null"), "id")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "component",
-            F.least("own", "other").alias("p"),
-            F.greatest("own", "other").alias("q"),
-            F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"),
-            "id",
-            "copies",
-            "text",
-        )
+    joined = join_counted(signed, texts, "text_key", "copies")
+    members = cut(joined.select("id", "rep", "copies"))
+    units = candidate_units(
+        joined.filter("id = rep and row = rep_row").select("rep", "row", "copies", F.array_distinct("bands").alias("bands")), block
     )
-    units = pairs.repartition(partitions(spark), "component", "p", "q").sortWithinPartitions("component", "p", "q", "side", "id")
-    found = cut(_verified(units, n, threshold))
+    full = units.join(docs.filter("text is not null").withColumnRenamed("id", "rep"), ["rep", "row"])
+    placed = full.select("p.home", "p.part", "q.home", "q.part", "side", "rep", "copies", "text").toDF(*UNIT)
+    found = cut(_verified(placed.repartition(partitions(docs.sparkSession), *UNIT[:4]).sortWithinPartitions(*UNIT[:6]), n, threshold))
     ids = docs.select("id")
     per_id = classes(found, members).withColumnRenamed("component", "class_id")
     return ids.join(per_id, "id", "left").select(

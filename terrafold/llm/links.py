@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, join_counted
 from .components import components
 
 #: Rows that comparing tasks give: links of ``id``; or, in ``to``, one link of a spanning forest.
@@ -35,13 +36,15 @@ def classes(found: DataFrame, members: DataFrame) -> DataFrame:
     """Per id: ``component`` and ``n_links``, from what units found.
 
     ``found``: columns of ``FOUND``, about representatives. ``members``: id,
-    rep, copies; ``rep`` is the least of ``copies`` equal rows.
+    rep, copies; ``rep`` is the least of ``copies`` equal rows. What is known of
+    a representative goes to its copies by ``join_counted``, so that a third of
+    all rows may be copies of one.
     """
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    linked = components(found.filter("to is not null"), "id", "to")
+    links = found.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
+    linked = components(found.filter("to is not null"), "id", "to").withColumnRenamed("id", "rep")
+    per_rep = cut(members.groupBy("rep").agg(F.count("*").alias("rows")).join(links, "rep", "left").join(linked, "rep", "left"))
     return (
-        members.join(links.withColumnRenamed("id", "rep"), "rep", "left")
-        .join(linked.withColumnRenamed("id", "rep"), "rep", "left")
+        join_counted(members, per_rep, "rep", "rows")
         .groupBy("id")
         .agg(
             F.min(F.coalesce("component", "rep")).alias("component"),
