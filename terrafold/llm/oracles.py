@@ -1,10 +1,13 @@
 """DuckDB SQL that says the same as some of the queries, by plain definition."""
 
+# The shortest run from and to every sentence: it has 21 sentences at most, since
+# each has a word; the word sequences of all longer runs are made of theirs.
 OP4 = r"""WITH p AS (SELECT doc_id, text, regexp_extract_all(text, '(?s).+?(?:[.!?]\s+|\n\s*|\z)') AS ps FROM documents),
   s AS (SELECT doc_id, i, ps[i] AS piece, trim(lower(regexp_replace(ps[i], '\s+', ' ', 'g'))) AS k FROM p, unnest(range(1, len(ps) + 1)) AS u(i)),
   x AS (SELECT doc_id, i, len(string_split(k, ' ')) AS wc, sum(len(string_split(k, ' '))) OVER (PARTITION BY doc_id ORDER BY i) AS pw FROM s),
-  j AS (SELECT a.doc_id, a.i, min(b.i) AS j FROM x AS a JOIN x AS b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 20
-    WHERE b.pw - a.pw + a.wc >= 50 OR (b.i > a.i AND b.pw - a.pw + a.wc >= 20) GROUP BY 1, 2),
+  c AS (SELECT a.doc_id, a.i, b.i AS j FROM x AS a JOIN x AS b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 20
+    WHERE b.pw - a.pw + a.wc >= 50 OR (b.i > a.i AND b.pw - a.pw + a.wc >= 20)),
+  j AS (SELECT doc_id, i, min(j) AS j FROM c GROUP BY doc_id, i UNION SELECT doc_id, max(i) AS i, j FROM c GROUP BY doc_id, j),
   l AS (SELECT doc_id, list(k ORDER BY i) AS ks FROM s GROUP BY 1),
   later AS (SELECT doc_id, i, j FROM j JOIN l USING (doc_id) QUALIFY row_number() OVER (PARTITION BY array_to_string(ks[i:j], chr(10)) ORDER BY doc_id, i) > 1),
   gone AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM later),
@@ -38,12 +41,20 @@ OP10 = r"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_al
   s AS (SELECT source, CAST(sum(size) AS BIGINT) AS ss, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS w, 3::DOUBLE * sum(size) AS cap FROM d GROUP BY 1),
   l AS (SELECT *, (sum(ss) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s WINDOW o AS (ORDER BY cap / w, source NULLS LAST)),
   t AS (SELECT source, ss, least(cap, w * max(level) OVER ()) AS target FROM l),
-  c AS (SELECT *, CASE WHEN ss > 0 THEN floor(target / ss + 1e-12) ELSE 0 END AS copies FROM t), q AS (SELECT *, greatest(0, target - copies * ss) AS due FROM c),
-  o AS (SELECT d.*, ss, target, copies, due, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size <= due AS inside FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+  c AS (SELECT *, CASE WHEN ss > 0 THEN floor(target / ss + 1e-12) ELSE 0 END AS copies FROM t), q AS (SELECT *, greatest(0, target - copies * ss) AS rest FROM c),
+  z AS (SELECT source, size, CAST(floor(sqrt(size) * 1024) AS BIGINT) AS root, count(*) AS n FROM d WHERE size > 0 GROUP BY 1, 2),
+  f AS (SELECT z.source, size, root, rest - coalesce(sum(n * size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open,
+    CAST(sum(n * size * root) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS roots, CAST(sum(n * size) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS words
+    FROM z JOIN q ON z.source IS NOT DISTINCT FROM q.source WINDOW w AS (PARTITION BY z.source ORDER BY size DESC)),
+  m AS (SELECT source, max(size) AS top, arg_max(open / roots, size) AS factor, arg_max(least(open, words), size) AS due FROM f WHERE open / roots * root < 1 GROUP BY 1),
+  h AS (SELECT q.*, coalesce(top, 0) AS top, coalesce(factor, 0) AS factor, coalesce(due, 0) AS due FROM q LEFT JOIN m ON q.source IS NOT DISTINCT FROM m.source),
+  g AS (SELECT d.*, ss, target, copies, due, copies + CASE WHEN size > top THEN 1 ELSE 0 END AS sure, size > 0 AND size <= top AND due > 0 AS sampled, factor * CAST(floor(sqrt(size) * 1024) AS BIGINT) AS p FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source),
+  r AS (SELECT *, CASE WHEN sampled THEN floor(u * (1 - p) / (u * (1 - p) + p * (1 - u)) * 1073741824) END AS rank FROM g),
+  o AS (SELECT *, sampled AND coalesce(sum(size) OVER (PARTITION BY source, sampled ORDER BY rank, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size <= due AS inside FROM r),
   k AS (SELECT *, due - coalesce(sum(size) FILTER (inside) OVER (PARTITION BY source), 0) AS gap FROM o),
-  e AS (SELECT *, NOT inside AND size > 0 AND abs(gap - size) < abs(gap) AS fits FROM k),
-  x AS (SELECT *, fits AND row_number() OVER (PARTITION BY source, fits ORDER BY abs(gap - size), u, doc_id, size) = 1 AS extra FROM e)
-  SELECT doc_id, size, ss AS source_size, target, CAST(size * (copies + CASE WHEN inside OR extra THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM x"""
+  e AS (SELECT *, sampled AND NOT inside AND abs(gap - size) < abs(gap) AS fits FROM k),
+  x AS (SELECT *, fits AND row_number() OVER (PARTITION BY source, fits ORDER BY abs(gap - size), rank, doc_id, size) = 1 AS extra FROM e)
+  SELECT doc_id, size, ss AS source_size, target, CAST(size * (sure + CASE WHEN inside OR extra THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM x"""
 
 SQL = {
     "op4_substring_dedup": OP4,
