@@ -37,10 +37,6 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.dedup_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-def op4_substring_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.dedup_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"), every_run=True)
-
-
 def op5_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmtree.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -73,7 +69,6 @@ def queries() -> dict:
         "op2_toxicity": op2_toxicity,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_substring_dedup": op4_substring_dedup,
-        "op4_substring_dedup_whole": op4_substring_dedup_whole,
         "op5_kmeans_tree": op5_kmeans_tree,
         "op6_warc": op6_warc,
         "op7_sorted_string_table": op7_sorted_string_table,

@@ -1,17 +1,21 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences at ``.``, ``!`` or ``?`` before white space and at
-line ends. A run is made of consecutive sentences, at least ``SENTENCES`` of them
-with ``WORDS`` words, or even one with ``ENOUGH`` words. From every sentence on
-the shortest run is hashed, and with ``every_run`` also the shortest one to the
-end of every sentence: any run is the union of those within it, so that what
-repeats as a longer run is removed as wholly as if all runs were hashed. White space
-and case are made equal; runs are joined on hash and length across the whole
-table. The first occurrence, by (document id, place), stays; every sentence that
-some later occurrence covers is removed, and the text closes over it. Places go back to
-their rows by id and hash of the text, so rows that share an id or have none do
-not lose each other's sentences. The least
-number of words keeps pairs of short sentences, which meet by chance, whole.
+line ends. A run is made of consecutive sentences, at least ``sentences`` of them
+with ``words`` words. From every sentence on the shortest run is hashed, and so
+is the shortest one to the end of every sentence: any run is the union of those
+within it, so that what repeats as a longer run is removed as wholly as if all
+runs were hashed. White space and case are made equal; runs are joined on a
+128-bit hash across the whole table. The first occurrence, by (document id, hash
+of the text, place), stays; every sentence that some later occurrence covers is
+removed, and the text closes over it. Places go back to their rows by id and
+hash of the text, so rows that share an id or have none do not lose each other's
+sentences.
+
+Two parameters bound what counts as a run. ``words`` keeps pairs of short
+sentences, which meet by chance in unrelated texts, whole; 0 hashes every run.
+``enough`` words make a run of one sentence: a passage of that length that is
+written without a full stop is no run of several sentences, yet a repeat.
 
 The least occurrence of each hash comes from a groupBy, combined before the
 shuffle; it is then joined back to the runs, so that a passage in a third of
@@ -19,9 +23,10 @@ all documents is a skewed join, which Spark splits.
 
 Defined cases: null texts stay null; empty texts, and texts too short for a run,
 stay as they are; a text that is removed wholly becomes empty; a
-run that repeats within its own text is removed there too; rows with equal ids
-count as one place, so that none of them is a later copy of the other; null ids
-come after all others and count as one place; an empty table gives no rows;
+run that repeats within its own text is removed there too; rows equal in id and
+text count as one place, so that none of them is a later copy of the other;
+rows with equal ids and other texts are ordered by the hash of the text; null
+ids come after all others, in that order too; an empty table gives no rows;
 other columns are kept.
 """
 
@@ -31,6 +36,7 @@ import re
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -55,62 +61,70 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return spans
 
 
-def runs(text: str, every_run: bool = False) -> list[tuple[int, int, str]]:
-    """(first sentence, sentence after the last, words) of each run, in order."""
+def runs(text: str, words: int = WORDS, enough: int = ENOUGH, least: int = SENTENCES) -> list[tuple[int, int, str]]:
+    """(first sentence, sentence after the last, its words) of each run, in order."""
     keys = [" ".join(text[a:b].split()).lower() for a, b in sentences(text)]
-    words = [k.count(" ") + 1 for k in keys]
-    total = [0, *accumulate(words)]
+    total = [0, *accumulate(k.count(" ") + 1 for k in keys)]
 
-    def enough(at: int, end: int) -> bool:
+    def is_run(at: int, end: int) -> bool:
         n = total[end] - total[at]
-        return n >= ENOUGH or end - at >= SENTENCES and n >= WORDS
+        return n >= enough or end - at >= least and n >= words
 
     # A run stays one when it grows, so both borders only move forward.
     found, at = set(), 0
     for end in range(1, len(keys) + 1):
-        if enough(at, end):
-            while enough(at, end):
-                # The shortest run from ``at``: none that ends earlier was enough.
-                found.add((at, end))
-                at += 1
-        if every_run and at and enough(at - 1, end):
+        while at < end and is_run(at, end):
+            # The shortest run from ``at``: none that ends earlier was one.
+            found.add((at, end))
+            at += 1
+        if at:
+            # The shortest run to ``end``.
             found.add((at - 1, end))
     return [(at, end, "\n".join(keys[at:end])) for at, end in sorted(found)]
 
 
-def occurrences(docs: DataFrame, every_run: bool = False) -> DataFrame:
-    """All runs of ``docs`` (id, text, key): ``id, key, at, end, hash, chars``."""
-    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("at", pa.int32()), ("end", pa.int32()), ("hash", pa.int64()), ("chars", pa.int32())])
+def occurrences(docs: DataFrame, **bounds: int) -> DataFrame:
+    """All runs of ``docs`` (id, text, key): ``id, key, at, end`` and the hash in ``high, low``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids, own, ats, ends, hashes, chars = [], [], [], [], [], []
+            ids, own, ats, ends, hashes = [], [], [], [], []
             for doc, text, key in zip(*[batch.column(k).to_pylist() for k in range(3)]):
-                for at, end, words in runs(text, every_run):
+                for at, end, said in runs(text, **bounds):
                     ids.append(doc)
                     own.append(key)
                     ats.append(at)
                     ends.append(end)
-                    hashes.append(xxhash.xxh3_64_intdigest(words) - 2**63)
-                    chars.append(len(words))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids, own, ats, ends, hashes, chars), schema.types)], schema=schema)
-
-    return docs.filter("text is not null").mapInArrow(work, "id long, key long, at int, end int, hash long, chars int")
-
-
-def repeated(docs: DataFrame, every_run: bool = False) -> DataFrame:
+                    hashes.append(xxhash.xxh3_128_digest(said))
+            both = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids, pa.int64()),
+                    pa.array(own, pa.int64()),
+                    pa.array(ats, pa.int32()),
+                    pa.array(ends, pa.int32()),
+                    pa.array(both[:, 0]),
+                    pa.array(both[:, 1]),
+                ],
+                names=["id", "key", "at", "end", "high", "low"],
+            )
+
+    return docs.filter("text is not null").mapInArrow(work, "id long, key long, at int, end int, high long, low long")
+
+
+def repeated(docs: DataFrame, **bounds: int) -> DataFrame:
     """Per document with later occurrences: ``id``, ``key`` and their ``runs``, of at and end."""
-    found = occurrences(docs, every_run)
-    place = F.struct("id", "at")
+    found = occurrences(docs, **bounds)
+    place = F.struct("id", "key", "at")
     first = (
-        found.groupBy("hash", "chars")
+        found.groupBy("high", "low")
         .agg(F.min(place).alias("least"), F.max(place).alias("most"))
         .filter(F.col("least") < F.col("most"))
-        .select("hash", "chars", "least")
+        .select("high", "low", "least")
     )
     # Written first, so that both sides of the join are dealt out for it and
     # Spark can split a hash that a third of all runs have.
-    later = found.join(cut(first), ["hash", "chars"]).filter(place > F.col("least"))
+    later = found.join(cut(first), ["high", "low"]).filter(place > F.col("least"))
     return later.groupBy("id", "key").agg(F.collect_set(F.struct("at", "end")).alias("runs"))
 
 
@@ -120,16 +134,17 @@ def cut_out(text: str, found: list[dict]) -> str:
     return "".join(text[a:b] for k, (a, b) in enumerate(sentences(text)) if k not in gone)
 
 
-def dedup_spans(docs: DataFrame, id_column="doc_id", text_column="text", every_run=False) -> DataFrame:
+def dedup_spans(docs: DataFrame, id_column="doc_id", text_column="text", **bounds: int) -> DataFrame:
     """``docs`` with later occurrences of repeated runs removed from the text.
 
+    ``bounds``: words, enough and least (sentences), see ``runs``.
     A text from which something was removed also loses white space at its end.
     """
     own, key, found = free_name(docs, "_id", "_key", "_runs")
     place = F.coalesce(F.col(id_column).cast("long"), F.lit(LAST))
     text = F.col(text_column).cast("string")
     slim = docs.select(place.alias("id"), text.alias("text"), F.xxhash64(text).alias("key"))
-    gone = repeated(slim, every_run).select(F.col("id").alias(own), F.col("key").alias(key), F.col("runs").alias(found))
+    gone = repeated(slim, **bounds).select(F.col("id").alias(own), F.col("key").alias(key), F.col("runs").alias(found))
     joined = docs.join(gone, (place == F.col(own)) & (F.xxhash64(text) == F.col(key)), "left")
 
     names = [f.name for f in docs.schema]

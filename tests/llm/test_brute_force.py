@@ -62,7 +62,6 @@ def spans_removed(rows):
                     if key in seen:
                         gone |= set(range(k, end))
                     seen.add(key)
-                    break
         out.append("".join(p for k, p in enumerate(parts) if k not in gone).rstrip() if gone else text)
     return out
 

@@ -22,6 +22,22 @@ def test_rows_without_id_keep_their_own_text(spark):
         assert got == {first, said("b", 25) + said("c", 25) + said("d", 25).rstrip(), other}
 
 
+def test_rows_that_share_an_id_are_ordered_by_text(spark):
+    passage, own = said("shared", 30) + said("more", 30), said("b", 25) + said("c", 25)
+    docs = spark.createDataFrame([(1, passage), (2, passage), (2, own), (None, own + passage)], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["text"]) for r in spans.dedup_spans(docs).collect())
+    assert got == [("1", passage), ("2", ""), ("2", own), ("None", "")]
+    alike = spark.createDataFrame([(5, passage + own), (5, own + passage + said("q", 30))], "doc_id long, text string")
+    kept = " ".join(r["text"] for r in spans.dedup_spans(alike).collect())
+    assert kept.count("shared0 ") == kept.count("b0 ") == kept.count("q0 ") == 1
+
+
+def test_every_run_of_sentences_without_bounds(spark):
+    docs = spark.createDataFrame([(1, "Yes. No. Or so."), (2, "But. Yes. No. Then."), (3, "Yes. Or so.")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in spans.dedup_spans(docs, words=0).collect()}
+    assert got == {1: "Yes. No. Or so.", 2: "But. Then.", 3: "Yes. Or so."}
+
+
 def test_removed_as_if_every_run_were_hashed(spark):
     import random
 
@@ -45,5 +61,5 @@ def test_removed_as_if_every_run_were_hashed(spark):
                     seen.add(key)
         want.append("".join(p for k, p in enumerate(parts) if k not in gone).rstrip() if gone else text)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = [r["text"] for r in spans.dedup_spans(docs, every_run=True).orderBy("doc_id").collect()]
+    got = [r["text"] for r in spans.dedup_spans(docs).orderBy("doc_id").collect()]
     assert got == want and "p1x" not in got[1]
