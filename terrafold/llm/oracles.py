@@ -20,6 +20,11 @@ OP6 = """WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html,
     array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((fives[k // 4 + 1] >> (15 - 5 * (k % 4))) & 31) + 1, 1) FOR k IN range(0, 32)], '') AS payload_digest,
     CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM v"""
 
+OP6_LOOKUP = r"""WITH k AS (SELECT page_id, url, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\.', '')
+    || coalesce(nullif(lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)), ''), '/') || lower(regexp_extract(url, '^[^?#]*(\?[^#]*)?', 1)) AS key FROM pages)
+  SELECT a.url, count(*) AS captures, min(b.page_id) AS first_page, CAST(sum(b.page_id) AS BIGINT) AS page_sum
+  FROM (SELECT DISTINCT url, key FROM k WHERE page_id % 100 = 0) AS a JOIN k AS b ON a.key = b.key GROUP BY 1"""
+
 _CLASSES = """sym AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
   reach(a, b) AS (SELECT a, b FROM sym UNION SELECT reach.a, sym.b FROM reach JOIN sym ON reach.b = sym.a),
   cls AS (SELECT a, min(b) AS m FROM reach GROUP BY 1), deg AS (SELECT a, count(*) AS n FROM sym GROUP BY 1)"""
@@ -59,6 +64,7 @@ OP10 = r"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_al
 SQL = {
     "op4_substring_dedup": OP4,
     "op6_warc": OP6,
+    "op6_warc_lookup": OP6_LOOKUP,
     "op8_ngram_jaccard_join": OP8,
     "op9_embedding_near_dedup": OP9,
     "op10_mixing": OP10,

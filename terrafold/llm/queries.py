@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, ego, jaccard, kmtree, mixing, packing, spans, sstable, toxicity, warc
+from .common import new_folder
 from .oracles import SQL
 
 WORD_BPE = "word_bpe_49k.json"
@@ -45,6 +46,14 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_table(_table(spark, sf_dir, "pages"))
 
 
+def op6_warc_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs of every page whose id is divisible by 100, looked up in the capture index of all pages."""
+    pages, folder = _table(spark, sf_dir, "pages"), new_folder(spark, "warc")
+    directory = warc.write_index(warc.write_archives(pages, folder), folder)
+    found = warc.lookup(pages.filter("page_id % 100 = 0"), directory)
+    return found.groupBy("url").agg(F.count("*").alias("captures"), F.min("page_id").alias("first_page"), F.sum("page_id").alias("page_sum"))
+
+
 def op7_sorted_string_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_table(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), end_id=2)
 
@@ -71,6 +80,7 @@ def queries() -> dict:
         "op4_substring_dedup": op4_substring_dedup,
         "op5_kmeans_tree": op5_kmeans_tree,
         "op6_warc": op6_warc,
+        "op6_warc_lookup": op6_warc_lookup,
         "op7_sorted_string_table": op7_sorted_string_table,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_embedding_near_dedup": op9_embedding_near_dedup,

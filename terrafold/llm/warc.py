@@ -8,8 +8,13 @@ they refer to; smaller payloads are always responses.
 The index has two levels. Captures are sorted by reversed-host URL key
 (``com,example,www)/path``) and written in blocks of ``BLOCK_LINES`` lines, one
 gzip member each; a sparse directory keeps the first key and the place of every
-block. A lookup searches the directory by bisection, reads the range of one
-block, finds the captures there and reads the range of each record.
+block. Both ways back to the records go through it: ``read_back`` deals the
+directory's blocks over tasks, reads the range of each block and then the range
+of every record; ``lookup`` finds the blocks of a URL key by bisection of the
+directory and reads the ranges of that key's captures.
+
+Pages are shuffled once: what says that a payload repeats travels with them to
+the partition that writes their archive, by id and digest.
 
 Defined cases: a null html is an empty payload; a null url has the empty key and
 no target line; rows with equal ids and payloads are all responses if theirs is
@@ -32,13 +37,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, new_folder, partitions, slices
+from .common import cut, join_counted, new_folder, partitions, slices
 from .storage import create, open_for_ranges
 
 BLOCK_LINES = 3000
 #: Fixed date of records: tables have none.
 DATE = "2024-01-01T00:00:00Z"
 LEVEL = 1
+#: Bytes of an archive that one task reads records from, and those it reads at once.
+STRETCH, AHEAD = 64 << 20, 1 << 20
+#: Places that rows equal in id and payload are dealt to.
+SALTS = 4
 CAPTURES = "page_id long, url_key string, path string, offset long, length long, type string, digest string"
 
 
@@ -102,37 +111,37 @@ def _member(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def members(file, size: int = 1 << 20) -> Iterator[bytes]:
-    """Unpack the gzip members of a file one by one, in bounded memory."""
-    unpacker, parts = zlib.decompressobj(31), []
-    while chunk := file.read(size):
-        while chunk:
-            parts.append(unpacker.decompress(chunk))
-            chunk = unpacker.unused_data
-            if unpacker.eof:
-                yield b"".join(parts)
-                unpacker, parts = zlib.decompressobj(31), []
-
-
 def _digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def _batches(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+
+def repeats(base: DataFrame, least_bytes: int) -> DataFrame:
+    """``page_id, sha, first``: pages (html not null) whose payload has a response of a smaller id."""
+    digests = cut(base.filter(F.octet_length("html") >= least_bytes).select("page_id", F.unhex(F.sha1(F.encode("html", "utf-8"))).alias("sha")))
+    shared = cut(digests.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null"))
+    again = join_counted(digests, shared, "sha", "n").filter("page_id is null or page_id > first")
+    return again.select("page_id", "sha", "first").distinct()
+
+
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     """Write ``pages`` (page_id, url, html); returns a row per capture (``CAPTURES``)."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    # Only digests and ids are shuffled to find equal payloads.
-    digests = base.filter(F.octet_length("html") >= least_bytes).select("page_id", F.sha1(F.encode("html", "utf-8")).alias("sha"))
-    shared = digests.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null")
-    again = (
-        digests.join(shared, "sha")
-        .filter("page_id is null or page_id > first")
-        .select(F.col("page_id").alias("p"), F.col("sha").alias("s"), "first")
-        .distinct()
+    nothing = F.lit(None)
+    sha, salt = F.unhex(F.sha1(F.encode("html", "utf-8"))), F.pmod(F.spark_partition_id(), F.lit(SALTS))
+    known = repeats(base, least_bytes).select(
+        "page_id", "sha", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])).alias("salt"), nothing.cast("string").alias("url"), nothing.cast("string").alias("html"), "first"
     )
-    marked = base.join(again, F.col("page_id").eqNullSafe(F.col("p")) & (F.sha1(F.encode("html", "utf-8")) == F.col("s")), "left").select(
-        "page_id", "url", "html", "first"
+    # What is known of a page comes before it.
+    mixed = known.unionByName(base.select("page_id", sha.alias("sha"), salt.alias("salt"), "url", "html", nothing.cast("long").alias("first")))
+    placed = (
+        mixed.repartition(partitions(pages.sparkSession), "page_id", "sha", "salt")
+        .sortWithinPartitions("page_id", "sha", "salt", F.col("first").desc_nulls_last(), "url")
+        .select("page_id", "sha", "url", "html", "first", F.spark_partition_id().alias("part"))
     )
     schema = pa.schema(
         [("page_id", pa.int64()), ("url_key", pa.string()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string()), ("digest", pa.string())]
@@ -143,62 +152,109 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
         batch = next(batches, None)
         if batch is None:
             return
-        path = f"{folder}/part-{batch.column(4)[0].as_py():06d}.warc.gz"
-        rows, at = [], 0
+        path = f"{folder}/part-{batch.column(5)[0].as_py():06d}.warc.gz"
+        rows, at, told = [], 0, (None, None, None)
         with create(path) as out:
             while batch is not None:
-                for page, url, html, first in zip(*[c.to_pylist() for c in batch.columns[:4]]):
+                for page, sha, url, html, first in zip(*[c.to_pylist() for c in batch.columns[:5]]):
+                    if first is not None:
+                        told = page, sha, first
+                        continue
                     payload = html.encode("utf-8", "surrogatepass")
-                    digest = _digest(payload)
-                    packed = _member(record(page, url, payload, digest, first))
+                    digest = base64.b32encode(sha).decode()
+                    refers_to = told[2] if told[:2] == (page, sha) else None
+                    packed = _member(record(page, url, payload, digest, refers_to))
                     out.write(packed)
-                    rows.append((page, url_key(url), path, at, len(packed), "response" if first is None else "revisit", digest))
+                    rows.append((page, url_key(url), path, at, len(packed), "response" if refers_to is None else "revisit", digest))
                     at += len(packed)
+                    if len(rows) == 10_000:
+                        yield _batches(rows, schema)
+                        rows = []
                 batch = next(batches, None)
-        for low in range(0, len(rows), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[low : low + 10_000]), schema.types)], schema=schema)
+        if rows:
+            yield _batches(rows, schema)
 
-    placed = (
-        marked.repartition(partitions(pages.sparkSession), F.xxhash64("page_id", "url"))
-        .sortWithinPartitions("page_id", "url", "html")
-        .withColumn("part", F.spark_partition_id())
-    )
     return cut(placed.mapInArrow(work, CAPTURES))
 
 
-def read_archives(spark: SparkSession, paths: DataFrame) -> DataFrame:
-    """Read every record of the archives in ``paths`` (path) back."""
+class Ranges:
+    """Ranges of files read in order: what comes next is often already there."""
+
+    def __init__(self, ahead: int = AHEAD):
+        self.ahead, self.path, self.file, self.at, self.data = ahead, None, None, 0, b""
+
+    def read(self, path: str, offset: int, length: int) -> bytes:
+        if path != self.path:
+            self.close()
+            self.path, self.file, self.data = path, open_for_ranges(path), b""
+        skip = offset - self.at
+        if skip < 0 or skip + length > len(self.data):
+            self.file.seek(offset)
+            self.at, self.data, skip = offset, self.file.read(max(length, self.ahead)), 0
+        return self.data[skip : skip + length]
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+
+
+def read_blocks(directory: DataFrame) -> DataFrame:
+    """The captures in the index blocks of ``directory``; a range read per block."""
+    schema = pa.schema([("page_id", pa.int64()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranges = Ranges(0)
+        for batch in batches:
+            for path, offset, length in zip(*[c.to_pylist() for c in batch.columns]):
+                lines = zlib.decompress(ranges.read(path, offset, length), 31).decode("utf-8", "surrogatepass").split("\n")
+                rows = [tuple(c[f] for f in schema.names) for c in map(json.loads, lines)]
+                yield _batches(rows, schema)
+        ranges.close()
+
+    dealt = directory.select("path", "offset", "length").repartition(partitions(directory.sparkSession), "path", "offset")
+    return dealt.mapInArrow(work, "page_id long, path string, offset long, length long")
+
+
+def read_records(captures: DataFrame) -> DataFrame:
+    """Read the record of every capture (path, offset, length), by range.
+
+    Stretches of archives are dealt over tasks and read in order of their offsets.
+    """
     schema = pa.schema(
         [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path in batch.column(0).to_pylist():
-                rows = []
-                with open_for_ranges(path) as file:
-                    for data in members(file):
-                        fields, http, payload = parse(data)
-                        digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                        kind = fields["WARC-Type"]
-                        if kind == "response" and _digest(payload) != digest:
-                            raise ValueError(f"{path}: {fields['WARC-Record-ID']} has another payload than its digest says")
-                        rows.append(
-                            (_page_id(fields["WARC-Record-ID"]), int(http["Content-Length"]), digest, kind, _page_id(fields.get("WARC-Refers-To")))
-                        )
-                for low in range(0, len(rows), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[low : low + 10_000]), schema.types)], schema=schema)
-
-    return paths.repartition(partitions(spark), "path").mapInArrow(
+        ranges = Ranges()
+        for batch in slices(batches, 4096):
+            rows = []
+            for path, offset, length in zip(*[c.to_pylist() for c in batch.columns]):
+                fields, http, payload = parse(zlib.decompress(ranges.read(path, offset, length), 31))
+                digest, kind = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"]
+                if kind == "response" and _digest(payload) != digest:
+                    raise ValueError(f"{path}: {fields['WARC-Record-ID']} has another payload than its digest says")
+                rows.append((_page_id(fields["WARC-Record-ID"]), int(http["Content-Length"]), digest, kind, _page_id(fields.get("WARC-Refers-To"))))
+            if rows:
+                yield _batches(rows, schema)
+        ranges.close()
+
+    stretch = F.floor(F.col("offset") / STRETCH)
+    dealt = captures.select("path", "offset", "length").repartition(partitions(captures.sparkSession), "path", stretch)
+    return dealt.sortWithinPartitions("path", "offset").mapInArrow(
         work, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     )
 
 
+def read_back(directory: DataFrame) -> DataFrame:
+    """Every record that the index knows: directory, ranges of blocks, ranges of records."""
+    return read_records(read_blocks(directory))
+
+
 def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Write the sorted, blocked index; returns its sparse directory.
 
-    Directory: ``first_key, path, offset, length``, a row per block; it is also
-    written as Parquet to ``folder/directory``.
+    Directory: ``first_key, last_key, path, offset, length``, a row per block; it
+    is also written as Parquet to ``folder/directory``.
     """
     order = ["url_key", "page_id", "path", "offset"]
     placed = (
@@ -206,7 +262,7 @@ def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
         .sortWithinPartitions(*order)
         .withColumn("part", F.spark_partition_id())
     )
-    schema = pa.schema([("first_key", pa.string()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+    schema = pa.schema([("first_key", pa.string()), ("last_key", pa.string()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = next(batches, None)
@@ -219,7 +275,7 @@ def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
             nonlocal at
             packed = _member("\n".join(x for _, x in lines).encode("utf-8", "surrogatepass"))
             out.write(packed)
-            rows.append((lines[0][0], path, at, len(packed)))
+            rows.append((lines[0][0], lines[-1][0], path, at, len(packed)))
             at += len(packed)
             lines.clear()
 
@@ -233,34 +289,35 @@ def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
                 batch = next(batches, None)
             if lines:
                 end(out)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+        yield _batches(rows, schema)
 
-    directory = cut(placed.mapInArrow(work, "first_key string, path string, offset long, length long"))
+    directory = cut(placed.mapInArrow(work, "first_key string, last_key string, path string, offset long, length long"))
     directory.write.mode("overwrite").parquet(f"{folder}/directory")
     return directory
 
 
 class CaptureIndex:
-    """Look captures up by URL: ``directory`` is the sparse list of blocks."""
+    """Look captures up by URL: ``blocks`` is (a part of) the sparse directory."""
 
-    def __init__(self, blocks: list[tuple[str, str, int, int]]):
+    def __init__(self, blocks: list[tuple[str, str, str, int, int]]):
         self.blocks = sorted(blocks)
-        self.keys = [b[0] for b in self.blocks]
+        self.first, self.last = [b[0] for b in self.blocks], [b[1] for b in self.blocks]
+        self.ranges = Ranges(0)
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> CaptureIndex:
-        """One row per ``BLOCK_LINES`` captures is read."""
-        rows = spark.read.parquet(f"{folder}/directory").collect()
-        return cls([(r["first_key"], r["path"], r["offset"], r["length"]) for r in rows])
+        """The whole directory: one row per ``BLOCK_LINES`` captures is read."""
+        return cls([tuple(r) for r in spark.read.parquet(f"{folder}/directory").select("first_key", "last_key", "path", "offset", "length").collect()])
 
     def captures(self, url: str | None) -> list[dict]:
+        """Bisect the directory, then read the blocks that can hold the key."""
         key, found = url_key(url), []
-        start = max(0, bisect_left(self.keys, key) - 1)
-        for _, path, offset, length in self.blocks[start : bisect_right(self.keys, key)]:
-            with open_for_ranges(path) as file:
-                file.seek(offset)
-                block = zlib.decompress(file.read(length), 31)
-            found.extend(c for c in map(json.loads, block.decode("utf-8", "surrogatepass").split("\n")) if c["url_key"] == key)
+        for _, _, path, offset, length in self.blocks[bisect_left(self.last, key) : bisect_right(self.first, key)]:
+            block = zlib.decompress(self.ranges.read(path, offset, length), 31).decode("utf-8", "surrogatepass").split("\n")
+            # Lines are sorted by key, too.
+            lines = [json.loads(x) for x in block]
+            keys = [c["url_key"] for c in lines]
+            found.extend(lines[bisect_left(keys, key) : bisect_right(keys, key)])
         return found
 
     def read(self, capture: dict) -> tuple[dict[str, str], dict[str, str], bytes]:
@@ -269,10 +326,53 @@ class CaptureIndex:
             return parse(zlib.decompress(file.read(capture["length"]), 31))
 
 
+def lookup(urls: DataFrame, directory: DataFrame) -> DataFrame:
+    """Captures of every distinct URL in ``urls`` (url): ``url, page_id, path, offset, length``.
+
+    URLs are sorted by key over tasks, as blocks are; a task keeps of the
+    directory only the blocks between its first and last key.
+    """
+    spark = urls.sparkSession
+    keyed = urls.select("url").distinct().mapInArrow(_keys, "url string, url_key string")
+    placed = cut(
+        keyed.repartitionByRange(partitions(spark), "url_key", "url").sortWithinPartitions("url_key", "url").withColumn("part", F.spark_partition_id())
+    )
+    spans = placed.groupBy("part").agg(F.min("url_key").alias("low"), F.max("url_key").alias("high"))
+    nothing = F.lit(None).cast("string")
+    # A row per task, against a row per block: each task's blocks, before its URLs.
+    near = directory.join(F.broadcast(spans), (F.col("last_key") >= F.col("low")) & (F.col("first_key") <= F.col("high")))
+    blocks = near.select("part", F.lit(0).alias("side"), "first_key", "last_key", "path", "offset", "length", nothing.alias("url"))
+    asked = placed.select(
+        "part", F.lit(1).alias("side"), F.col("url_key").alias("first_key"), nothing.alias("last_key"), nothing.alias("path"), F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("length"), "url"
+    )
+    both = blocks.unionByName(asked).repartition(partitions(spark), "part").sortWithinPartitions("part", "side", "first_key", "offset")
+    schema = pa.schema([("url", pa.string()), ("page_id", pa.int64()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, index = None, [], None
+        for batch in slices(batches):
+            rows = []
+            for part, side, first, last, path, offset, length, url in zip(*[c.to_pylist() for c in batch.columns]):
+                if part != now:
+                    now, held, index = part, [], None
+                if side == 0:
+                    held.append((first, last, path, offset, length))
+                    continue
+                index = index or CaptureIndex(held)
+                rows.extend((url, c["page_id"], c["path"], c["offset"], c["length"]) for c in index.captures(url))
+            if rows:
+                yield _batches(rows, schema)
+
+    return both.mapInArrow(work, "url string, page_id long, path string, offset long, length long")
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        urls = batch.column(0)
+        yield pa.RecordBatch.from_arrays([urls, pa.array([url_key(u) for u in urls.to_pylist()], pa.string())], names=["url", "url_key"])
+
+
 def archive_table(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) -> DataFrame:
-    """Write archives and index for ``pages`` and return what the archives hold."""
-    spark = pages.sparkSession
-    folder = folder or new_folder(spark, "warc")
-    captures = write_archives(pages, folder, least_bytes)
-    write_index(captures, folder)
-    return read_archives(spark, captures.select("path").distinct())
+    """Write archives and index for ``pages`` and return what is found through the index."""
+    folder = folder or new_folder(pages.sparkSession, "warc")
+    return read_back(write_index(write_archives(pages, folder, least_bytes), folder))
