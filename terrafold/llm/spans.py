@@ -118,8 +118,8 @@ def repeated(docs: DataFrame, **bounds: int) -> DataFrame:
     place = F.struct("id", "key", "at")
     first = (
         found.groupBy("high", "low")
-        .agg(F.min(place).alias("least"), F.max(place).alias("most"))
-        .filter(F.col("least") < F.col("most"))
+        .agg(F.min(place).alias("least"), F.count("*").alias("n"))
+        .filter("n > 1")
         .select("high", "low", "least")
     )
     # Written first, so that both sides of the join are dealt out for it and
