@@ -4,14 +4,15 @@ Texts are cut into words at ASCII white space; a text's n-grams are the runs of
 ``n`` words (a shorter text has one n-gram, all its words). Rows and bands are
 chosen for a target recall at the threshold. Equal word sequences are one text
 with a multiplicity. Texts are shuffled on their band hashes; the least text of
-a band is its hub. A text's home is the least hub of its bands, and homes are
-cut into blocks of about ``block`` texts, so that near copies lie together. Two
-blocks meet in a unit of work if some band has texts in both, and a text goes
-to a unit only if it has such a band itself. A unit compares full n-gram sets
+a band is its hub. A text's home is the least hub of its bands, or the least
+home of a text that shares a band with it; homes are cut into blocks of about
+``block`` texts, so that near copies lie together. The blocks of a home meet
+each other in units of work; texts that share a band with a text of another
+home also meet the blocks of that home. A unit compares full n-gram sets
 and emits, per text, its number of links, and a spanning forest of its links.
 
-So candidates are only texts that share a band: chance candidates do not chain
-into ever larger clusters, since components are formed of verified links alone.
+So chance candidates do not chain into ever larger clusters: a home reaches two
+steps far, and components are formed of verified links alone.
 A pair meets in the one unit of its two blocks, and is counted once. No output
 or shuffle has a row per pair, and a band with a third of all texts is spread
 over the pairs of its blocks.
@@ -237,27 +238,30 @@ def candidate_units(texts: DataFrame, block: int) -> DataFrame:
         .select("band", "hub", "n")
     )
     shared = cut(join_counted(banded, hubs, "band", "n"))
-    homes = cut(shared.groupBy("rep", "row").agg(F.min("hub").alias("home")))
-    sizes = cut(homes.groupBy("home").agg(F.count("*").alias("size")))
-    part = F.pmod(F.xxhash64("rep", "row"), F.ceil(F.col("size") / block)).cast("int")
-    placed = join_counted(homes, sizes, "home", "size").select("rep", "row", F.struct("home", part.alias("part")).alias("own"))
-    owned = cut(shared.join(placed, ["rep", "row"]).withColumn("salts", F.ceil(F.col("n") / SPREAD).cast("int")))
-    # The blocks of a band, once for each part of a band with very many texts.
-    blocks = owned.groupBy("band", F.col("own").alias("other"), "salts").agg(F.count("*").alias("here"))
-    blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    met = owned.withColumn("salt", F.pmod(F.xxhash64("rep", "row"), F.col("salts")).cast("int")).join(blocks, ["band", "salt"])
-    return (
-        met.filter("own <> other or here > 1")
-        .select(
-            F.least("own", "other").alias("p"),
-            F.greatest("own", "other").alias("q"),
-            (F.col("own") > F.col("other")).cast("int").alias("side"),
-            "rep",
-            "row",
-            "copies",
-        )
-        .distinct()
-    )
+    homes = cut(shared.groupBy("rep", "row", "copies").agg(F.min("hub").alias("home")))
+    # Once more, so that near copies without the hub's bands come to its home too.
+    least = cut(shared.join(homes.select("rep", "row", "home"), ["rep", "row"]).groupBy("band").agg(F.min("home").alias("home"), F.count("*").alias("m")))
+    homes = cut(join_counted(shared, least, "band", "m").groupBy("rep", "row", "copies").agg(F.min("home").alias("home")))
+    sizes = cut(homes.groupBy("home").agg(F.count("*").alias("size"), F.ceil(F.count("*") / block).cast("int").alias("parts")))
+    part = F.pmod(F.xxhash64("rep", "row"), F.col("parts")).cast("int").alias("part")
+    placed = cut(join_counted(homes, sizes, "home", "size").select("rep", "row", "copies", "home", "size", "parts", part))
+
+    def meet(texts: DataFrame, home: str, parts: str) -> DataFrame:
+        """Every text with all parts of ``home``."""
+        each = texts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col(parts) - 1)))
+        own, other = F.struct("home", "part"), F.struct(F.col(home).alias("home"), F.col("_part").alias("part"))
+        side = (own > other).cast("int").alias("side")
+        return each.select(F.least(own, other).alias("p"), F.greatest(own, other).alias("q"), side, "rep", "row", "copies")
+
+    # Few bands have texts of several homes: those texts meet the other homes.
+    salts = F.ceil(F.col("n") / SPREAD).cast("int")
+    owned = shared.select("rep", "row", "band", salts.alias("salts")).join(placed, ["rep", "row"])
+    at = cut(owned.groupBy("band", F.col("home").alias("other"), F.col("parts").alias("others"), "salts").agg(F.lit(1).alias("_")).drop("_"))
+    several = at.groupBy("band").agg(F.count("*").alias("homes")).filter("homes > 1").select("band")
+    others = at.join(several, "band").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    strangers = owned.withColumn("salt", F.pmod(F.xxhash64("rep", "row"), F.col("salts")).cast("int")).join(others, ["band", "salt"])
+    across = strangers.filter("home <> other").select("rep", "row", "copies", "home", "part", "other", "others").distinct()
+    return meet(placed.filter("size > 1"), "home", "parts").unionByName(meet(across, "other", "others"))
 
 
 def jaccard_classes(
