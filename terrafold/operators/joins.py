@@ -81,28 +81,44 @@ def schedule(df: DataFrame, at: str, handover: str, keys: list[str], value: Colu
     return due.groupBy(F.trunc(handover, "month").alias("month"), *keys).agg(F.sum(value).cast("long").alias(out))
 
 
-def alias_hits(texts: DataFrame, text: str, aliases: DataFrame) -> DataFrame:
-    """Best alias per distinct text (J16): (text, alias, brand, score).
+def text_id(text: str | Column) -> Column:
+    """What stands for a text in ``alias_best``: 128 bits of it."""
+    return F.md5(text)
+
+
+def alias_best(texts: DataFrame, text: str, aliases: DataFrame) -> DataFrame:
+    """Best alias per text (J16): (text_id, alias, brand, score, conflict).
 
     A normalised alias is found at word borders exactly if it equals some run
-    of words of the normalised text, so runs are exploded and joined by
-    equality; no pattern is tried row by row. Runs are as long as the aliases
-    are, whatever their numbers of words. ``aliases``: alias, brand,
+    of words of the normalised text, so runs are joined to aliases by equality;
+    no pattern is tried row by row. Runs are as long as the aliases are,
+    whatever their numbers of words. Only the id of a text goes along with its
+    runs, and only runs that are aliases go on. ``aliases``: alias, brand,
     ``rank`` (less is preferred on equal scores).
     """
-    distinct = texts.select(text).filter(F.col(text).isNotNull()).distinct().withColumn("_w", tokens(F.col(text)))
-    sizes = aliases.filter("alias is not null").agg(F.collect_set(F.size(F.split("alias", " "))).alias("_sizes"))
-    runs = distinct.filter(F.size("_w") > 0).crossJoin(sizes).withColumn("_n", F.explode("_sizes")).filter(F.col("_n") <= F.size("_w"))
-    runs = runs.withColumn("_at", F.explode(F.sequence(F.lit(1), F.size("_w") - F.col("_n") + 1)))
-    runs = runs.select(text, F.array_join(F.slice("_w", F.col("_at"), F.col("_n")), " ").alias("alias")).distinct()
+    sizes = aliases.filter("alias is not null").agg(F.collect_set(F.size(F.split("alias", " "))).alias("_sizes"))  # one row
+    worded = texts.filter(F.col(text).isNotNull()).select(text_id(text).alias("text_id"), tokens(F.col(text)).alias("_w")).crossJoin(F.broadcast(sizes))
+
+    def of_size(n: Column) -> Column:
+        starts = F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - n + 1)).otherwise(F.array().cast("array<int>"))
+        word = lambda k: F.get(F.col("_w"), k)  # noqa: E731  (a slice would go over the whole text each time)
+        return F.transform(starts, lambda k: F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda j: word(k + j - 1)), " "))
+
+    runs = worded.select("text_id", F.explode(F.array_distinct(F.flatten(F.transform("_sizes", of_size)))).alias("alias"))
     hits = runs.join(aliases, "alias")
     score = 1000 * F.size(F.split("alias", " ")) + F.length("alias")
     best = F.min(F.struct((-score).alias("less"), "rank", "brand", "alias")).alias("b")
-    return hits.groupBy(text).agg(best, F.countDistinct("brand").alias("brands")).select(
-        text, F.col("b.alias").alias("alias"), F.col("b.brand").alias("brand"), (-F.col("b.less")).alias("score"), (F.col("brands") > 1).alias("conflict")
+    return hits.groupBy("text_id").agg(best, F.countDistinct("brand").alias("brands")).select(
+        "text_id", F.col("b.alias").alias("alias"), F.col("b.brand").alias("brand"), (-F.col("b.less")).alias("score"), (F.col("brands") > 1).alias("conflict")
     )
 
 
+def alias_hits(texts: DataFrame, text: str, aliases: DataFrame) -> DataFrame:
+    """``alias_best`` with the distinct texts themselves, for short ones such as names."""
+    distinct = texts.select(text).distinct()
+    return distinct.join(alias_best(distinct, text, aliases), text_id(text) == F.col("text_id")).drop("text_id")
+
+
 def contains_aliases(texts: DataFrame, text: str, aliases: DataFrame, condition: Column | None = None) -> DataFrame:
     """Alias contained anywhere in a distinct text, under a further condition."""
     on = F.col(text).contains(F.col("alias"))

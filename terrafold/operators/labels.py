@@ -203,7 +203,7 @@ def resolve_names(requests: DataFrame, column: str, steps: list[tuple[DataFrame,
     """
     out, options = requests, []
     for k, (table, method, confidence) in enumerate(steps):
-        dim = table.select(F.col("key").alias(f"_k{k}"), F.col("value").alias(f"_v{k}")).dropDuplicates([f"_k{k}"])
+        dim = table.groupBy(F.col("key").alias(f"_k{k}")).agg(F.min("value").alias(f"_v{k}"))
         out = out.join(dim, F.lower(F.trim(column)) == F.lower(F.trim(f"_k{k}")), "left").drop(f"_k{k}")
         options.append(F.when(F.col(f"_v{k}").isNotNull(), F.struct(F.col(f"_v{k}").alias("value"), F.lit(method).alias("method"), F.lit(confidence).alias("confidence"))))
     last = F.when(_filled(F.col(column)).isNotNull(), F.struct(F.col(column).alias("value"), F.lit("fallback").alias("method"), F.lit(fallback).alias("confidence")))
@@ -228,7 +228,7 @@ def brand_by_substring(facts: DataFrame, aliases: DataFrame) -> DataFrame:
 def canonical_by_key(df: DataFrame, name: str, table: DataFrame) -> DataFrame:
     """Canonical spelling under a key without white space."""
     key = lambda c: F.regexp_replace(c, r"(?U)\s", "")
-    dim = table.select(key(F.col("name")).alias("_key"), F.col("name").alias("_canonical")).dropDuplicates(["_key"])
+    dim = table.groupBy(key(F.col("name")).alias("_key")).agg(F.min("name").alias("_canonical"))
     return df.join(dim, key(F.col(name)) == F.col("_key"), "left").withColumn(name, F.coalesce("_canonical", name)).drop("_key", "_canonical")
 
 

@@ -10,7 +10,6 @@ daily rates.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +31,7 @@ TX = """tx AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extende
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey)"""
 RENT = """rent AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, c_nationkey AS area, median(o_totalprice) AS median_rent,
   count(*) AS rent_count, median(o_totalprice / 100) AS median_rent_sqft
-  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 3 = 0 GROUP BY 1, 2)"""
+  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' GROUP BY 1, 2)"""
 PANEL = """seg AS (SELECT month, area, kind, median(price) AS median_price, count(*) AS transaction_count FROM tx
   WHERE price BETWEEN 100 AND 50000 GROUP BY 1, 2, 3),
   panel AS (SELECT seg.*, median_rent, coalesce(rent_count, 0) AS rent_count, median_rent_sqft,
@@ -74,18 +73,18 @@ def transactions(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def rent_table(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def rent_table(spark: SparkSession, d: str) -> DataFrame:
     orders, customer = table(spark, d, "orders"), table(spark, d, "customer")
     urgent = orders.filter(F.col("o_orderpriority") == "1-URGENT")
-    sparse = (urgent if whole else urgent.filter(F.col("o_orderkey") % 3 == 0)).join(customer, orders.o_custkey == customer.c_custkey)
+    sparse = urgent.join(customer, orders.o_custkey == customer.c_custkey)
     rows = sparse.select(
         F.to_date(F.trunc("o_orderdate", "month")).alias("month"), F.col("c_nationkey").alias("area"), F.col("o_totalprice").alias("rent"), (F.col("o_totalprice") / 100).alias("rent_sqft")
     )
     return aggregates.rents(rows, ["month", "area"])
 
 
-def base_panel(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return panel.segment_panel(transactions(spark, d), ["month", "area", "kind"], ["area", "kind"], rent_table(spark, d, whole), ["month", "area"])
+def base_panel(spark: SparkSession, d: str) -> DataFrame:
+    return panel.segment_panel(transactions(spark, d), ["month", "area", "kind"], ["area", "kind"], rent_table(spark, d), ["month", "area"])
 
 
 @query("segment_month_panel", f"""WITH {TX}, {RENT}, {PANEL},
@@ -98,8 +97,8 @@ def base_panel(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     round(coalesce(t1, t2, t3), 8) AS median_rent, CAST(miss AS INTEGER) AS rent_imputed,
     CASE WHEN NOT miss THEN NULL WHEN t1 IS NOT NULL THEN 'group_ffill_bfill' WHEN t2 IS NOT NULL THEN 'area_median' ELSE 'global_median' END AS rent_imputation_source
   FROM f LEFT JOIN a ON f.area = a.area CROSS JOIN g""")
-def segment_month_panel(spark, d, whole=False):
-    filled = impute.impute_rents(base_panel(spark, d, whole), ["area", "kind"], "time_idx", "area")
+def segment_month_panel(spark, d):
+    filled = impute.impute_rents(base_panel(spark, d), ["area", "kind"], "time_idx", "area")
     return filled.select(
         "area", "kind", "month", "time_idx", F.round("median_price", 8).alias("median_price"), "transaction_count",
         F.round("median_rent", 8).alias("median_rent"), "rent_imputed", "rent_imputation_source",
@@ -111,16 +110,16 @@ tiered = """WITH {0}, {1}, {2} SELECT area, kind, count(*) AS n, count_if(median
 
 
 @query("missing_rates", tiered)
-def missing_rates(spark, d, whole=False):
-    rates = aggregates.missing_rates(base_panel(spark, d, whole), ["area", "kind"], F.col("median_rent").isNull())
+def missing_rates(spark, d):
+    rates = aggregates.missing_rates(base_panel(spark, d), ["area", "kind"], F.col("median_rent").isNull())
     return rates.withColumns({"missing_rate": F.round("missing_rate", 6), "missing_rows": F.col("missing_rows").cast("long")})
 
 
 @query("median_impute_flag", f"""WITH {TX}, {RENT}, {PANEL}, a AS (SELECT area, median(median_rent) AS m FROM panel GROUP BY 1), g AS (SELECT median(median_rent) AS m FROM panel)
   SELECT panel.area, kind, month, round(coalesce(median_rent, a.m, g.m, 0), 4) AS median_rent, CAST(median_rent IS NULL AS INTEGER) AS median_rent_missing
   FROM panel JOIN a ON panel.area = a.area CROSS JOIN g""")
-def median_impute_flag(spark, d, whole=False):
-    filled = impute.impute_median(base_panel(spark, d, whole), ["area"], ["median_rent"])
+def median_impute_flag(spark, d):
+    filled = impute.impute_median(base_panel(spark, d), ["area"], ["median_rent"])
     return filled.select("area", "kind", "month", F.round("median_rent", 4).alias("median_rent"), "median_rent_missing")
 
 
@@ -203,33 +202,32 @@ def rollup_context(spark, d):
 @query("star_context_join", f"""WITH {TX}, {RENT}, s AS (SELECT month, area, count(*) AS n FROM tx GROUP BY 1, 2)
   SELECT month, area, n_name AS area_name, r_name AS region, n, round(median_rent, 4) AS median_rent, coalesce(rent_count, 0) AS rent_count
   FROM s LEFT JOIN rent USING (month, area) LEFT JOIN nation ON area = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
-def star_context_join(spark, d, whole=False):
+def star_context_join(spark, d):
     seg = transactions(spark, d).groupBy("month", "area").agg(F.count("*").alias("n"))
     nation = table(spark, d, "nation").select(F.col("n_nationkey").alias("area"), F.col("n_name").alias("area_name"), F.col("n_regionkey").alias("r"))
     region = table(spark, d, "region").select(F.col("r_regionkey").alias("r"), F.col("r_name").alias("region"))
-    out = joins.star(seg, [(rent_table(spark, d, whole), ["month", "area"]), (nation, ["area"]), (region, ["r"])], zero=["rent_count"])
+    out = joins.star(seg, [(rent_table(spark, d), ["month", "area"]), (nation, ["area"]), (region, ["r"])], zero=["rent_count"])
     return out.select("month", "area", "area_name", "region", "n", F.round("median_rent", 4).alias("median_rent"), "rent_count")
 
 
-@query("full_outer_months", """WITH a AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS orders FROM orders WHERE month(o_orderdate) <> 3 GROUP BY 1),
-  b AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, count(*) AS ships FROM lineitem WHERE month(l_shipdate) <> 7 GROUP BY 1)
+@query("full_outer_months", """WITH a AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS orders FROM orders GROUP BY 1),
+  b AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, count(*) AS ships FROM lineitem GROUP BY 1)
   SELECT month, orders, ships FROM a FULL JOIN b USING (month)""")
 def full_outer_months(spark, d):
-    orders, line = table(spark, d, "orders"), table(spark, d, "lineitem")
-    a = orders.filter(F.month("o_orderdate") != 3).groupBy(F.to_date(F.trunc("o_orderdate", "month")).alias("month")).agg(F.count("*").alias("orders"))
-    b = line.filter(F.month("l_shipdate") != 7).groupBy(F.to_date(F.trunc("l_shipdate", "month")).alias("month")).agg(F.count("*").alias("ships"))
+    a = table(spark, d, "orders").groupBy(F.to_date(F.trunc("o_orderdate", "month")).alias("month")).agg(F.count("*").alias("orders"))
+    b = table(spark, d, "lineitem").groupBy(F.to_date(F.trunc("l_shipdate", "month")).alias("month")).agg(F.count("*").alias("ships"))
     return joins.full_outer(a, b, "month")
 
 
-@query("two_stage_fallback_join", f"""WITH {TX}, a AS (SELECT l_suppkey, brand, count(*) n FROM tx WHERE l_suppkey % 3 = 0 GROUP BY 1, 2), a1 AS (SELECT l_suppkey, brand FROM a QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, brand) = 1),
-  b AS (SELECT area, brand, count(*) n FROM tx WHERE area % 2 = 0 GROUP BY 1, 2), b1 AS (SELECT area, brand FROM b QUALIFY row_number() OVER (PARTITION BY area ORDER BY n DESC, brand) = 1)
+@query("two_stage_fallback_join", f"""WITH {TX}, a AS (SELECT l_suppkey, kind, brand, count(*) n FROM tx WHERE priority = '1-URGENT' AND l_returnflag = 'R' GROUP BY 1, 2, 3), a1 AS (SELECT l_suppkey || '/' || kind AS key, brand FROM a QUALIFY row_number() OVER (PARTITION BY l_suppkey, kind ORDER BY n DESC, brand) = 1),
+  b AS (SELECT area, kind, brand, count(*) n FROM tx WHERE l_linestatus = 'F' GROUP BY 1, 2, 3), b1 AS (SELECT area || '/' || kind AS key, brand FROM b QUALIFY row_number() OVER (PARTITION BY area, kind ORDER BY n DESC, brand) = 1)
   SELECT coalesce(a1.brand, b1.brand) AS value, CASE WHEN a1.brand IS NOT NULL THEN 'supplier' WHEN b1.brand IS NOT NULL THEN 'area' END AS source, count(*) AS n
-  FROM tx LEFT JOIN a1 ON tx.l_suppkey = a1.l_suppkey LEFT JOIN b1 ON tx.area = b1.area GROUP BY 1, 2""")
+  FROM tx LEFT JOIN a1 ON l_suppkey || '/' || kind = a1.key LEFT JOIN b1 ON area || '/' || kind = b1.key GROUP BY 1, 2""")
 def two_stage_fallback_join(spark, d):
-    tx = transactions(spark, d)
-    first = aggregates.dominant(tx.filter("l_suppkey % 3 = 0"), ["l_suppkey"], "brand", "value").select(F.col("l_suppkey").alias("key"), "value")
-    second = aggregates.dominant(tx.filter("area % 2 = 0"), ["area"], "brand", "value").select(F.col("area").alias("key"), "value")
-    out = joins.fallback(tx.select("l_suppkey", "area"), [(first, "l_suppkey", "supplier"), (second, "area", "area")], "value", "source")
+    tx = transactions(spark, d).withColumns({"supplier": F.concat_ws("/", "l_suppkey", "kind"), "place": F.concat_ws("/", "area", "kind")})
+    first = aggregates.dominant(tx.filter("priority = '1-URGENT' and l_returnflag = 'R'"), ["supplier"], "brand", "value").select(F.col("supplier").alias("key"), "value")
+    second = aggregates.dominant(tx.filter("l_linestatus = 'F'"), ["place"], "brand", "value").select(F.col("place").alias("key"), "value")
+    out = joins.fallback(tx.select("supplier", "place"), [(first, "supplier", "supplier"), (second, "place", "area")], "value", "source")
     return out.groupBy("value", "source").agg(F.count("*").alias("n"))
 
 
@@ -522,7 +520,7 @@ WORDS = """w AS (SELECT doc_id, string_split(norm, ' ') AS ws FROM (SELECT doc_i
 def alias_match_best(spark, d):
     docs = table(spark, d, "documents").select("doc_id", text.norm_text(F.col("text")).alias("norm"))
     aliases = spark.createDataFrame([("IDIOT", "one word", 2), ("OF THE", "two words", 1), ("THE", "common", 3), ("TO THE", "two words too", 4)], "alias string, brand string, rank int")
-    return docs.join(joins.alias_hits(docs, "norm", aliases), "norm").select("doc_id", "alias", "brand", "score", "conflict")
+    return docs.select("doc_id", joins.text_id("norm").alias("text_id")).join(joins.alias_best(docs, "norm", aliases), "text_id").select("doc_id", "alias", "brand", "score", "conflict")
 
 
 @query("alias_ambiguity", """WITH a AS (SELECT lower(trim(unnest(string_split(p_type || ', ' || p_brand, ',')))) AS alias, p_size % 5 AS area_name, p_size AS units FROM part), u AS (SELECT alias, area_name, sum(units) AS units FROM a WHERE alias <> '' GROUP BY 1, 2)
@@ -533,17 +531,17 @@ def alias_ambiguity(spark, d):
 
 
 @query("segment_match_score", f"""WITH {TX}, s AS (SELECT DISTINCT CAST(area AS VARCHAR) AS area, kind, bedroom, brand, concat_ws('_', area, kind, bedroom, brand) AS g FROM tx),
-  r AS (SELECT c_custkey AS request_id, CAST(c_nationkey AS VARCHAR) AS area, 'STANDARD' AS kind, '2BR' AS bedroom, 'Brand#' || (11 + c_custkey % 3) AS brand FROM customer WHERE c_custkey <= 200),
+  r AS (SELECT c_custkey AS request_id, CAST(c_nationkey AS VARCHAR) AS area, 'STANDARD' AS kind, '2BR' AS bedroom, 'Brand#' || (11 + c_custkey % 3) AS brand FROM customer),
   m AS (SELECT request_id, g, 40 + CASE WHEN s.bedroom = r.bedroom THEN 25 ELSE 0 END + CASE WHEN lower(s.kind) = lower(r.kind) THEN 15 ELSE 0 END + 10 + CASE WHEN s.brand = r.brand THEN 10 ELSE 0 END AS score FROM r JOIN s ON s.area = r.area)
   SELECT request_id, g AS group_id, CASE WHEN score >= 100 THEN 'exact' WHEN score >= 80 THEN 'partial_area_bedroom' WHEN score >= 55 THEN 'partial_area' ELSE 'area_only' END AS match_type,
   CAST(CASE WHEN score >= 100 THEN 95 WHEN score >= 80 THEN 75 WHEN score >= 55 THEN 60 ELSE 50 END AS DOUBLE) AS confidence FROM m QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, g) = 1""")
-def segment_match_score(spark, d, whole=False):
+def segment_match_score(spark, d):
     s = transactions(spark, d).select(
         F.col("area").cast("string").alias("area"), F.col("kind").alias("property_type"), "bedroom", F.lit("Ready").alias("reg_type"), F.col("brand").alias("developer")
     ).distinct()
     s = s.withColumn("group_id", F.concat_ws("_", "area", "property_type", "bedroom", "developer"))
     customer = table(spark, d, "customer")
-    r = (customer if whole else customer.filter("c_custkey <= 200")).select(
+    r = customer.select(
         F.col("c_custkey").alias("request_id"), F.col("c_nationkey").cast("string").alias("area"), F.lit("STANDARD").alias("property_type"), F.lit("2BR").alias("bedroom"),
         F.lit("Ready").alias("reg_type"), F.concat(F.lit("Brand#"), 11 + F.col("c_custkey") % 3).alias("developer"),
     )
@@ -606,8 +604,8 @@ def semi_anti_keys(spark, d):
 
 @query("join_rate_audit", f"""WITH {TX}, {RENT}, j AS (SELECT tx.area, median_rent, CASE WHEN l_suppkey % 3 = 0 THEN 1 END AS s FROM tx LEFT JOIN rent USING (month, area))
   SELECT 'median_rent' AS channel, count(median_rent) AS matched, round(count(median_rent) / count(*), 6) AS rate FROM j UNION ALL SELECT 's', count(s), round(count(s) / count(*), 6) FROM j""")
-def join_rate_audit(spark, d, whole=False):
-    j = transactions(spark, d).join(rent_table(spark, d, whole), ["month", "area"], "left").withColumn("s", F.when(F.col("l_suppkey") % 3 == 0, 1))
+def join_rate_audit(spark, d):
+    j = transactions(spark, d).join(rent_table(spark, d), ["month", "area"], "left").withColumn("s", F.when(F.col("l_suppkey") % 3 == 0, 1))
     return joins.join_rates(j, ["median_rent", "s"]).withColumn("rate", F.round("rate", 6))
 
 
@@ -664,29 +662,4 @@ def similar_pairs(spark, d):
     return joins.similar_pairs(table(spark, d, "nation").select(F.concat("n_name", F.lit(" nation of "), "n_name").alias("name")), "name", 60.0)
 
 
-# The queries above whose SQL takes a part of its tables keep it; these take the whole tables.
-FOR_ALL = {name: SQL[name].replace(" AND o_orderkey % 3 = 0", "") for name in ("segment_month_panel", "missing_rates", "median_impute_flag", "star_context_join", "join_rate_audit")}
-FOR_ALL["segment_match_score"] = SQL["segment_match_score"].replace(" WHERE c_custkey <= 200", "")
-for _name, _sql in FOR_ALL.items():
-    query(f"{_name}_whole", _sql)(partial(QUERIES[_name], whole=True))
-
-
-@query("full_outer_months_whole", """WITH a AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS orders FROM orders GROUP BY 1),
-  b AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, count(*) AS ships FROM lineitem GROUP BY 1)
-  SELECT month, orders, ships FROM a FULL JOIN b USING (month)""")
-def full_outer_months_whole(spark, d):
-    a = table(spark, d, "orders").groupBy(F.to_date(F.trunc("o_orderdate", "month")).alias("month")).agg(F.count("*").alias("orders"))
-    b = table(spark, d, "lineitem").groupBy(F.to_date(F.trunc("l_shipdate", "month")).alias("month")).agg(F.count("*").alias("ships"))
-    return joins.full_outer(a, b, "month")
-
-
-@query("two_stage_fallback_join_whole", f"""WITH {TX}, a AS (SELECT l_suppkey, kind, brand, count(*) n FROM tx WHERE priority = '1-URGENT' AND l_returnflag = 'R' GROUP BY 1, 2, 3), a1 AS (SELECT l_suppkey || '/' || kind AS key, brand FROM a QUALIFY row_number() OVER (PARTITION BY l_suppkey, kind ORDER BY n DESC, brand) = 1),
-  b AS (SELECT area, kind, brand, count(*) n FROM tx WHERE l_linestatus = 'F' GROUP BY 1, 2, 3), b1 AS (SELECT area || '/' || kind AS key, brand FROM b QUALIFY row_number() OVER (PARTITION BY area, kind ORDER BY n DESC, brand) = 1)
-  SELECT coalesce(a1.brand, b1.brand) AS value, CASE WHEN a1.brand IS NOT NULL THEN 'supplier' WHEN b1.brand IS NOT NULL THEN 'area' END AS source, count(*) AS n
-  FROM tx LEFT JOIN a1 ON l_suppkey || '/' || kind = a1.key LEFT JOIN b1 ON area || '/' || kind = b1.key GROUP BY 1, 2""")
-def two_stage_fallback_join_whole(spark, d):
-    tx = transactions(spark, d).withColumns({"supplier": F.concat_ws("/", "l_suppkey", "kind"), "place": F.concat_ws("/", "area", "kind")})
-    first = aggregates.dominant(tx.filter("priority = '1-URGENT' and l_returnflag = 'R'"), ["supplier"], "brand", "value").select(F.col("supplier").alias("key"), "value")
-    second = aggregates.dominant(tx.filter("l_linestatus = 'F'"), ["place"], "brand", "value").select(F.col("place").alias("key"), "value")
-    out = joins.fallback(tx.select("supplier", "place"), [(first, "supplier", "supplier"), (second, "place", "area")], "value", "source")
-    return out.groupBy("value", "source").agg(F.count("*").alias("n"))
+from . import register_queries  # noqa: E402, F401  (adds its queries to those above)

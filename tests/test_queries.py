@@ -44,9 +44,23 @@ def test_equals_sql(spark, duck, name):
     assert a == b
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, D).count() >= 0
+def test_queries_without_sql_are_those_of_all_pairs(spark):
+    """The two fuzzy queries against every pair of their names."""
+    from terrafold.functions import fuzzy
+
+    assert set(QUERIES) - set(SQL) == {"fuzzy_top1", "similar_pairs"}
+    supplier = [r[0] for r in spark.read.parquet(f"{D}/supplier.parquet").select("s_name").collect()]
+    keys = [r[0] for r in spark.read.parquet(f"{D}/supplier.parquet").select("s_suppkey").collect()]
+    want = {}
+    for typed in (f"suplier {k:09d}" for k in keys):
+        score, c = min((-fuzzy.wratio(typed.upper(), n.replace("#", " ").upper()), n.replace("#", " ")) for n in supplier)
+        if -score >= 70.0:
+            want[typed] = (c, round(-score, 6))
+    assert {r["name"]: (r["candidate"], round(r["score"], 6)) for r in QUERIES["fuzzy_top1"](spark, D).collect()} == want and want
+    names = sorted({f"{r[0]} nation of {r[0]}" for r in spark.read.parquet(f"{D}/nation.parquet").select("n_name").collect()})
+    near = lambda a, b: abs(len(a) - len(b)) <= 0.3 * max(len(a), len(b))
+    pairs = {(a, b) for a in names for b in names if a < b and near(a, b) and 60.0 <= fuzzy.ratio(a.lower(), b.lower()) < 100}
+    assert {(r["a"], r["b"]) for r in QUERIES["similar_pairs"](spark, D).collect()} == pairs
 
 
 def test_same_under_other_partitioning(spark):
