@@ -662,4 +662,4 @@ def similar_pairs(spark, d):
     return joins.similar_pairs(table(spark, d, "nation").select(F.concat("n_name", F.lit(" nation of "), "n_name").alias("name")), "name", 60.0)
 
 
-from . import register_queries  # noqa: E402, F401  (adds its queries to those above)
+from . import register_queries, report_queries  # noqa: E402, F401  (add their queries to those above)
