@@ -2,17 +2,19 @@
 
 Nearness is the inner product. With one more component sqrt(M^2 - |x|^2) for
 rows (M: the largest norm) and 0 for queries, the largest inner product is the
-least distance, so k-means fits. The tree is fitted on a bounded sample (at
-most ``SAMPLE`` rows of least id hash); every row is put in the leaf that it
-reaches from the root by nearest centres. A query walks the tree best bin
+least distance, so k-means fits. The tree is fitted on a bounded sample of rows
+of least id hash: ``SAMPLE`` rows, or one row in ``LEAF_ROWS / MIN_SAMPLE`` of a
+large table so that leaves stay small, but at most ``SAMPLE_VALUES`` numbers.
+Every row is put in the leaf that it reaches from the root by nearest centres. A query walks the tree best bin
 first: a priority queue over nodes by distance to their centre; leaves are
 visited as they come out, until as many are as calibration found necessary, and
 they hold enough rows.
 
 Calibration: for at most ``TRIALS`` queries the exact answer is computed over
 all rows, and the least number of leaves is taken with which the share of true
-neighbours in visited leaves reaches ``RECALL``. So recall is measured, not
-hoped for.
+neighbours in visited leaves reaches ``RECALL``. At most ``HELD_OUT`` further
+queries measure the recall that this gives (``Index.held_out_recall``, logged,
+and ``recall_report``). So recall is measured, not hoped for.
 
 Leaves larger than ``UNIT`` rows are cut by a hash into units, so that a leaf
 with a third of all rows (as copies make) is spread over tasks; a query that
@@ -28,6 +30,7 @@ Ties go to the smaller id. An empty table gives no rows.
 from __future__ import annotations
 
 import heapq
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,10 +42,13 @@ from pyspark.sql import functions as F
 from .common import cut, partitions, valid_vector
 
 K, RECALL = 20, 0.97
-SAMPLE, TRIALS = 20_000, 128
+SAMPLE, SAMPLE_VALUES = 20_000, 2**24
+TRIALS, HELD_OUT = 128, 64
 BRANCH, LEAF_ROWS, MIN_SAMPLE = 16, 256, 8
 UNIT = 4096
 
+log = logging.getLogger(__name__)
+
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """Centres of at most ``k`` clusters; starts are spread over a sorted projection."""
@@ -170,6 +176,22 @@ def _hits(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
+def _sample(vectors: DataFrame, rows: dict[int, int]) -> dict[int, np.ndarray]:
+    """By vector length the rows of least id hash, in a number that is bounded; ``rows``: how many there are."""
+    every = sum(rows.values())
+    if not every:
+        return {}
+    wanted = min(max(SAMPLE, every * MIN_SAMPLE // LEAF_ROWS), max(1, SAMPLE_VALUES // max(rows)))
+    share = 1.5 * wanted / every
+    near = vectors if share >= 1 else vectors.filter(F.xxhash64("id") < F.lit(int(2**64 * share) - 2**63))
+    found = near.orderBy(F.xxhash64("id"), "id").limit(wanted).select("dim", "v").toArrow().combine_chunks()
+    by_dim = {}
+    for dim in pc.unique(found["dim"]).to_pylist():
+        own = found.filter(pc.equal(found["dim"], dim))["v"].combine_chunks()
+        by_dim[dim] = _matrix(own)
+    return by_dim
+
+
 class Index:
     """Trees by vector length, rows by leaf, and the calibrated number of leaves."""
 
@@ -179,14 +201,11 @@ class Index:
         vectors = vectors.withColumn("dim", F.size("v"))
         norm2 = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
         facts = {r["dim"]: r for r in vectors.groupBy("dim").agg(F.count("*").alias("rows"), F.max(norm2).alias("top")).collect()}
-        sample = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("dim", "v").collect()  # at most SAMPLE
-        by_dim: dict[int, list] = {}
-        for r in sample:
-            by_dim.setdefault(r["dim"], []).append(r["v"])
+        by_dim = _sample(vectors, {dim: r["rows"] for dim, r in facts.items()})
         self.trees: dict[int, Tree] = {}
         for dim in sorted(by_dim):
             leaves = sum(t.leaves for t in self.trees.values())
-            self.trees[dim] = Tree(np.array(by_dim[dim]), facts[dim]["rows"], float(np.sqrt(facts[dim]["top"])), leaves)
+            self.trees[dim] = Tree(by_dim[dim], facts[dim]["rows"], float(np.sqrt(facts[dim]["top"])), leaves)
         # Lengths too rare for the sample have one leaf each, tried whole.
         for dim in sorted(set(facts) - set(by_dim)):
             leaves = sum(t.leaves for t in self.trees.values())
@@ -194,7 +213,8 @@ class Index:
         self.rows = cut(self._assigned(vectors))
         counts = {r["leaf"]: r["count"] for r in self.rows.groupBy("leaf").count().collect()}  # a row per leaf
         self.sizes = counts
-        self.leaves_to_visit = self._calibrate(queries)
+        self.leaves_to_visit, self.held_out, self.held_out_recall = self._calibrate(queries)
+        log.info("%s leaves of %s visited, recall of %s held-out queries: %s", self.leaves_to_visit, len(counts), self.held_out, self.held_out_recall)
 
     def _assigned(self, vectors: DataFrame) -> DataFrame:
         trees = self.spark.sparkContext.broadcast(self.trees)
@@ -208,10 +228,12 @@ class Index:
 
         return vectors.select("id", "v", "dim").mapInArrow(work, "id long, v array<double>, leaf long")
 
-    def _calibrate(self, queries: DataFrame) -> int:
-        trials = queries.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(TRIALS).collect()  # at most TRIALS
+    def _calibrate(self, queries: DataFrame) -> tuple[int, int, float | None]:
+        """Leaves to visit, held-out queries, and the share of their true neighbours in visited leaves."""
+        trials = queries.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(TRIALS + HELD_OUT).collect()  # bounded so
         if not trials:
-            return 1
+            return 1, 0, None
+        held_out = {r["id"] for r in trials[2::3][:HELD_OUT]}
         own = self.spark.sparkContext.broadcast([(r["id"], np.array(r["v"])) for r in trials])
         k = self.k
 
@@ -229,16 +251,20 @@ class Index:
         truth = _merge(self.rows.select("id", "v").mapInArrow(scan, HITS), k)
         wanted = truth.select("query_id", F.explode("hits").alias("h")).select("query_id", F.col("h.vec_id").alias("id"))
         homes = wanted.join(self.rows.select("id", "leaf"), "id").groupBy("query_id").agg(F.collect_list("leaf").alias("leaves")).collect()
-        need = []
+        need: list[int] = []
+        checked: list[int] = []
         vector = {r["id"]: np.array(r["v"]) for r in trials}
         for r in homes:
             q = vector[r["query_id"]]
             rank = {leaf: n for n, leaf in enumerate(self.trees[len(q)].walk(q), 1)}
-            need.extend(rank[x] for x in r["leaves"])
+            (checked if r["query_id"] in held_out else need).extend(rank[x] for x in r["leaves"])
         if not need:
-            return 1
+            need = checked
+        if not need:
+            return 1, 0, None
         need.sort()
-        return int(need[min(len(need) - 1, int(np.ceil(self.recall * len(need))) - 1)])
+        visits = int(need[min(len(need) - 1, int(np.ceil(self.recall * len(need))) - 1)])
+        return visits, len(held_out), float(np.mean([n <= visits for n in checked])) if checked else None
 
     def search(self, queries: DataFrame) -> DataFrame:
         """``query_id, rank, vec_id, score`` for ``queries`` (id, v)."""
@@ -260,13 +286,14 @@ class Index:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int64()))], names=["id", "v", "leaves"])
 
         asked = queries.select("id", "v").mapInArrow(walk, "id long, v array<double>, leaves array<long>")
-        units = F.create_map(*[x for leaf, n in self.sizes.items() if n > UNIT for x in (F.lit(leaf), F.lit(-(-n // UNIT)))]) if any(
-            n > UNIT for n in self.sizes.values()
-        ) else F.create_map(F.lit(-1).cast("long"), F.lit(1))
-        cuts = F.coalesce(F.try_element_at(units, F.col("leaf")), F.lit(1)).cast("int")
-        rows = self.rows.select("leaf", F.pmod(F.xxhash64("id"), cuts).cast("int").alias("unit"), F.lit(0).alias("side"), "id", "v")
+        # A row per leaf that is cut; leaves are no more than the sample has rows.
+        large = [(leaf, -(-n // UNIT)) for leaf, n in self.sizes.items() if n > UNIT]
+        units = F.broadcast(self.spark.createDataFrame(large, "leaf long, cuts int"))
+        cuts = F.coalesce("cuts", F.lit(1))
+        rows = self.rows.join(units, "leaf", "left").select("leaf", F.pmod(F.xxhash64("id"), cuts).cast("int").alias("unit"), F.lit(0).alias("side"), "id", "v")
         visit = (
             asked.select("id", "v", F.explode("leaves").alias("leaf"))
+            .join(units, "leaf", "left")
             .select("leaf", F.explode(F.sequence(F.lit(0), cuts - 1)).alias("unit"), F.lit(1).alias("side"), "id", "v")
         )
         work = rows.unionByName(visit).repartition(partitions(self.spark), "leaf", "unit").sortWithinPartitions("leaf", "unit", "side", "id")
@@ -295,9 +322,21 @@ class Index:
         )
 
 
-def nearest(table: DataFrame, asked: F.Column, id_column="vec_id", vector_column="embedding", k: int = K, recall: float = RECALL) -> DataFrame:
-    """The ``k`` nearest rows of every row for which ``asked`` holds."""
+def _index(table: DataFrame, asked: F.Column, id_column: str, vector_column: str, k: int, recall: float) -> tuple[Index, DataFrame]:
     valid = table.filter(F.col(id_column).isNotNull() & valid_vector(vector_column)).withColumn("asked", asked)
     rows = valid.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v"), "asked")
     queries = rows.filter("asked").select("id", "v")
-    return Index(rows.select("id", "v"), queries, k, recall).search(queries)
+    return Index(rows.select("id", "v"), queries, k, recall), queries
+
+
+def nearest(table: DataFrame, asked: F.Column, id_column="vec_id", vector_column="embedding", k: int = K, recall: float = RECALL) -> DataFrame:
+    """The ``k`` nearest rows of every row for which ``asked`` holds."""
+    index, queries = _index(table, asked, id_column, vector_column, k, recall)
+    return index.search(queries)
+
+
+def recall_report(table: DataFrame, asked: F.Column, id_column="vec_id", vector_column="embedding", k: int = K, recall: float = RECALL) -> DataFrame:
+    """One row: ``leaves``, ``leaves_visited``, ``held_out`` queries that calibration did not see and their ``recall``; null if there are none."""
+    index, _ = _index(table, asked, id_column, vector_column, k, recall)
+    found = (len(index.sizes), index.leaves_to_visit, index.held_out, index.held_out_recall)
+    return table.sparkSession.createDataFrame([found], "leaves long, leaves_visited long, held_out long, recall double")

@@ -42,6 +42,11 @@ def op5_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmtree.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op5_kmeans_tree_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves that ``op5_kmeans_tree`` visits, and the recall of queries that calibration did not see."""
+    return kmtree.recall_report(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_table(_table(spark, sf_dir, "pages"))
 
@@ -79,6 +84,7 @@ def queries() -> dict:
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_kmeans_tree": op5_kmeans_tree,
+        "op5_kmeans_tree_recall": op5_kmeans_tree_recall,
         "op6_warc": op6_warc,
         "op6_warc_lookup": op6_warc_lookup,
         "op7_sorted_string_table": op7_sorted_string_table,
