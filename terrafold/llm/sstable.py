@@ -208,6 +208,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_b
 
     Returns a row per shard (columns of ``STATS``). Texts are range-partitioned
     and sorted before they are encoded, so ids themselves are never shuffled.
+    ``id_bytes`` is 1, 2, 4 or 8; a vocabulary whose ids do not fit is an error.
     """
     end = np.asarray([end_id], dtype="<u4").tobytes()
     sorted_docs = (
@@ -227,7 +228,10 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_b
             return
         shard = first.column(2)[0].as_py()
         path = f"{folder}/shard-{shard:06d}.sst"
-        encode_all = encoder(tokenizer, "byte").encode_all
+        own = encoder(tokenizer, "byte")
+        if max(own.top, end_id) >= 256**id_bytes:
+            raise ValueError(f"ids up to {max(own.top, end_id)} do not fit in {id_bytes} bytes")
+        encode_all = own.encode_all
         with create(path) as out:
             writer = ShardWriter(out, id_bytes)
             while first is not None:

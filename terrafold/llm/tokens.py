@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -27,12 +28,26 @@ WORD_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETT
 ENTRIES = 500_000
 
 
+class Known(dict):
+    """Ids by piece; a piece that is missing is encoded, and kept while there is room."""
+
+    def __init__(self, encode: Callable[[str], bytes], entries: int):
+        self.encode, self.entries = encode, entries
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encode(piece)
+        if len(self) < self.entries:
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit bytes.
 
     ``kind`` is ``"byte"`` (pieces keep white space and case) or ``"word"``
     (lower case, white space dropped); it must suit the vocabulary file.
-    At most ``entries`` pieces are remembered, so memory is bounded.
+    At most ``entries`` pieces are remembered, so memory is bounded. ``top`` is
+    the largest id of the vocabulary.
     """
 
     def __init__(self, path: str, kind: str, entries: int = ENTRIES):
@@ -41,40 +56,20 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.kind, self.entries, self.known = kind, entries, {}
+        self.kind, self.known = kind, Known(self.whole, entries)
+        self.top = max(self.library.get_vocab().values(), default=0)
         self.pieces = {"byte": BYTE_PIECES, "word": WORD_PIECES}[kind]
 
     def whole(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
         return np.asarray(ids, dtype="<u4").tobytes()
 
-    def learn(self, pieces: set[str]) -> dict[str, bytes]:
-        new = list(pieces)
-        coded = self.library.encode_batch_fast(new, add_special_tokens=False)
-        found = {p: np.asarray(e.ids, dtype="<u4").tobytes() for p, e in zip(new, coded)}
-        if len(self.known) < self.entries:
-            self.known.update(found)
-        return found
-
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Encode some texts; new pieces of all of them are learnt at once."""
-        cut: list[list[str] | None] = []
-        new: set[str] = set()
-        for text in texts:
-            if UNUSUAL.search(text):
-                cut.append(None)
-                continue
-            pieces = self.pieces.findall(text.lower() if self.kind == "word" else text)
-            new |= set(pieces).difference(self.known)
-            cut.append(pieces)
-        fresh = self.learn(new) if new else {}
-        get, out = self.known.get, []
-        for text, pieces in zip(texts, cut):
-            if pieces is None:
-                out.append(self.whole(text))
-            else:
-                out.append(b"".join([get(p) or fresh[p] for p in pieces]))
-        return out
+        get, pieces = self.known.__getitem__, self.pieces.findall
+        return [
+            self.whole(text) if UNUSUAL.search(text) else b"".join(map(get, pieces(text.lower() if self.kind == "word" else text)))
+            for text in texts
+        ]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]

@@ -75,6 +75,9 @@ def test_sstable(docs, none, tmp_path):
         found += len(reader.get(6)) + len(reader.get(1)) + len(reader.get(None))
     assert found == 5
     assert sstable.token_table(none, BYTE, 2).count() == 0
+    for end, size in ((2, 1), (65_536, 2)):
+        with pytest.raises(Exception, match="do not fit"):
+            sstable.token_table(docs, BYTE, end, size).count()
 
 
 def test_jaccard(docs, none):
