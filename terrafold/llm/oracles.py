@@ -61,6 +61,40 @@ OP10 = r"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_al
   x AS (SELECT *, fits AND row_number() OVER (PARTITION BY source, fits ORDER BY abs(gap - size), rank, doc_id, size) = 1 AS extra FROM e)
   SELECT doc_id, size, ss AS source_size, target, CAST(size * (sure + CASE WHEN inside OR extra THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM x"""
 
+OP11 = r"""WITH seen AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+  t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x FROM documents),
+  w AS (SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY x) AS first FROM t),
+  f AS (SELECT doc_id, part, len(ws) < 50 AS fa, 100 * len(list_distinct(ws)) < 65 * len(ws) AS fb,
+    100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 5 * length(x) AS fc, regexp_matches(x, '[#$%&*|]') AS fd, coalesce(doc_id > first, false) AS fe FROM w),
+  cells AS (SELECT part, fa, fb, fc, fd, fe, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad, count(*) AS n FROM f LEFT JOIN seen ON seen.doc_id = f.doc_id GROUP BY ALL),
+  l(k) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+  o AS (SELECT a.k || b.k || c.k || d.k || e.k AS filter_order FROM l AS a, l AS b, l AS c, l AS d, l AS e
+    WHERE a.k <> b.k AND a.k <> c.k AND a.k <> d.k AND a.k <> e.k AND b.k <> c.k AND b.k <> d.k AND b.k <> e.k AND c.k <> d.k AND c.k <> e.k AND d.k <> e.k),
+  m AS (SELECT part, good, bad, n, CASE WHEN fa THEN 'A' ELSE '' END || CASE WHEN fb THEN 'B' ELSE '' END || CASE WHEN fc THEN 'C' ELSE '' END
+    || CASE WHEN fd THEN 'D' ELSE '' END || CASE WHEN fe THEN 'E' ELSE '' END AS fails FROM cells),
+  s AS (SELECT part, good, bad, n, fails, filter_order, step, substr(filter_order, step, 1) AS k, contains(fails, substr(filter_order, step, 1)) AS here,
+    length(regexp_replace(substr(filter_order, 1, step - 1), '[^' || fails || '.]', '', 'g')) > 0 AS past FROM m, o, (SELECT unnest(range(1, 6)) AS step)),
+  g AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, k, CAST(sum(CASE WHEN NOT here AND NOT past THEN n ELSE 0 END) AS BIGINT) AS kept,
+    CAST(sum(CASE WHEN here AND NOT past THEN n ELSE 0 END) AS BIGINT) AS removed, CAST(sum(CASE WHEN here AND past THEN n ELSE 0 END) AS BIGINT) AS redundant,
+    CAST(sum(CASE WHEN fails = k THEN n ELSE 0 END) AS BIGINT) AS unique_fails, CAST(sum(CASE WHEN here AND NOT past AND good = 1 THEN n ELSE 0 END) AS BIGINT) AS good_lost,
+    CAST(sum(CASE WHEN here AND NOT past AND bad = 1 THEN n ELSE 0 END) AS BIGINT) AS toxic_lost FROM s GROUP BY 1, 2, 3, 4)
+  SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, k) AS BIGINT) AS shapley FROM g"""
+
+OP12 = r"""WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+  w AS (SELECT rid, lang, source, unnest(regexp_extract_all(x, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+  c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY 1, 2, 3), g AS (SELECT DISTINCT lang, source FROM d),
+  v AS (SELECT lang, term, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(DISTINCT rid) >= 30),
+  lq AS (SELECT lang, term, 1 + CAST(1000000000 AS HUGEINT) * (n + 5) // (sum(n) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS q FROM v),
+  x AS (SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n FROM g JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+  p AS (SELECT lang, source, term, n, 1 + CAST(1000000000 AS HUGEINT) * (n + 5) // (sum(n) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source)) AS p FROM x),
+  s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term WHERE a.source <> b.source GROUP BY 1, 2, 3),
+  u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+    UNION ALL SELECT p.lang, p.source, 'term' AS part, p.term AS item, CAST(p.p - lq.q AS BIGINT) AS value FROM p JOIN lq ON lq.lang = p.lang AND lq.term = p.term WHERE p.n > 0 AND p.p > lq.q),
+  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u)
+  SELECT * FROM r WHERE part = 'pair' OR rank <= 50"""
+
 SQL = {
     "op4_substring_dedup": OP4,
     "op6_warc": OP6,
@@ -68,4 +102,6 @@ SQL = {
     "op8_ngram_jaccard_join": OP8,
     "op9_embedding_near_dedup": OP9,
     "op10_mixing": OP10,
+    "op11_filter_interaction": OP11,
+    "op12_source_divergence": OP12,
 }

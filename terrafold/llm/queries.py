@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ego, jaccard, kmtree, mixing, packing, spans, sstable, toxicity, warc
+from . import audit, bpe, chat, divergence, ego, jaccard, kmtree, mixing, packing, spans, sstable, toxicity, warc
 from .common import new_folder
 from .oracles import SQL
 
@@ -75,6 +75,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.document_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
@@ -91,6 +103,9 @@ def queries() -> dict:
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_mixing": op10_mixing,
+        "op11_filter_interaction": op11_filter_interaction,
+        "op12_source_divergence": op12_source_divergence,
+        "op13_bpe_round_trip": op13_bpe_round_trip,
         "pipeline": corpus_pipeline.run,
     }
 
