@@ -38,9 +38,8 @@ values are ordered by the item's UTF-8.
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,67 +50,68 @@ from pyspark.sql import functions as F
 from .common import cut, partitions, slices
 
 #: Fixed by the contract.
-WORD = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 LEAST_DOCS, ADD, SCALE, TOP = 30, 5, 1_000_000_000, 50
 #: Blocks per language and slice; rounds are one fewer.
 TEAMS = 32
 #: (term, group) entries of a slice of a language, on average.
 SLICE_ENTRIES = 1 << 16
 #: Entries that a counting task gathers before it hands them on.
-TABLE = 200_000
-LOWER = str.maketrans({chr(k): chr(k + 32) for k in range(65, 91)})
-
-_COUNTS = "lang string, source string, term string, n long, docs long"
+TABLE = 500_000
+#: Bytes of UTF-8 as words have them: A to Z as a to z, a to z and those beyond ASCII as they are, others as a space.
+WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words and documents per (lang, source, term); a row without a term for every group met."""
-    table: dict[tuple[str, str], dict[str, list[int]]] = defaultdict(dict)
+    table: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    held = 0
 
-    def drained() -> pa.RecordBatch:
-        rows = [(*group, term, *counts) for group, terms in table.items() for term, counts in [(None, (0, 0)), *terms.items()]]
+    def drained() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, docs) in table.items():
+            terms = [None, *n]
+            group = [pa.array([x] * len(terms), pa.string()) for x in (lang, source)]
+            counts = [pa.array(x, pa.int64()) for x in ([0, *n.values()], [0, *map(docs.__getitem__, n)])]
+            yield pa.RecordBatch.from_arrays([*group, pa.array(terms, pa.binary()).cast(pa.string()), *counts], ["lang", "source", "term", "n", "docs"])
         table.clear()
-        columns = zip(*rows, strict=True) if rows else [()] * 5
-        kinds = [pa.string()] * 3 + [pa.int64()] * 2
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "source", "term", "n", "docs"])
 
-    held = 0
     for batch in slices(batches):
-        for lang, source, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            terms, own = table[lang, source], defaultdict(int)
-            for word in WORD.findall(text.translate(LOWER)):
-                own[word] += 1
-            for word, n in own.items():
-                if word in terms:
-                    counts = terms[word]
-                    counts[0] += n
-                    counts[1] += 1
-                else:
-                    terms[word] = [n, 1]
-                    held += 1
+        texts = batch.column(2).cast(pa.binary()).to_pylist()
+        for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True):
+            n, docs = table.setdefault((lang, source), (Counter(), Counter()))
+            words = text.translate(WORDS).split()
+            held -= len(n)
+            n.update(words)
+            docs.update(set(words))
+            held += len(n)
         if held > TABLE:
             held = 0
-            yield drained()
-    yield drained()
+            yield from drained()
+    yield from drained()
 
 
-def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(lang, source, term, n, docs), and a row with a null term for every group."""
-    text, lang, source = (F.coalesce(F.col(c), F.lit("")) for c in (text_col, lang_col, source_col))
-    counted = docs.select(lang.alias("lang"), source.alias("source"), text.alias("text")).mapInArrow(_count, _COUNTS)
-    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-
+def kept_counts(docs: DataFrame, least_docs: int = LEAST_DOCS, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """(lang, source, term, n, total) of the kept terms, and a row with a null term for every group.
 
-def kept_terms(counts: DataFrame, least_docs: int = LEAST_DOCS, slice_entries: int = SLICE_ENTRIES) -> tuple[DataFrame, int]:
-    """(lang, term, total, slice, place) of the kept terms, written; and the number of slices."""
-    summed = counts.filter("term is not null").groupBy("lang", "term")
-    terms = summed.agg(F.sum("n").alias("total"), F.sum("docs").alias("docs"), F.count("*").alias("entries")).filter(F.col("docs") >= least_docs)
-    terms = cut(terms.drop("docs"))
-    most = terms.groupBy("lang").agg(F.sum("entries").alias("entries")).agg(F.max("entries")).first()[0] or 0
+    What tasks have counted is shuffled once, by language and term, on which
+    both the counts of groups and those of the language are added up.
+    """
+    text, lang, source = (F.coalesce(F.col(c), F.lit("")) for c in (text_col, lang_col, source_col))
+    counted = docs.select(lang.alias("lang"), source.alias("source"), text.alias("text")).mapInArrow(_count, "lang string, source string, term string, n long, docs long")
+    dealt = counted.repartition(partitions(docs.sparkSession), "lang", "term")
+    groups = dealt.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    term = Window.partitionBy("lang", "term")
+    both = groups.withColumns({"total": F.sum("n").over(term), "in_docs": F.sum("docs").over(term)})
+    return both.filter(F.col("term").isNull() | (F.col("in_docs") >= least_docs)).select("lang", "source", "term", "n", "total")
+
+
+def placed_terms(counts: DataFrame, slice_entries: int = SLICE_ENTRIES) -> tuple[DataFrame, int]:
+    """(lang, source, term, n, total, slice, place) of the kept terms, written; and the number of slices."""
+    entries = counts.filter("term is not null")
+    most = entries.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
     n_slices = max(1, -(-most // slice_entries))
-    sliced = terms.withColumn("slice", F.pmod(F.xxhash64("term"), F.lit(n_slices)).cast("int"))
-    place = F.row_number().over(Window.partitionBy("lang", "slice").orderBy("term")) - 1
-    return cut(sliced.select("lang", "term", "total", "slice", place.alias("place"))), n_slices
+    sliced = entries.withColumn("slice", F.pmod(F.xxhash64("term"), F.lit(n_slices)).cast("int"))
+    place = F.dense_rank().over(Window.partitionBy("lang", "slice").orderBy("term")) - 1
+    return cut(sliced.withColumn("place", place)), n_slices
 
 
 def _shares(counts: np.ndarray, total: int, terms: int) -> np.ndarray:
@@ -163,12 +163,12 @@ _UNIT_SCHEMA = pa.schema(
 _UNITS = "lang string, slice int, source string, block int, blocks int, size int, base long, vector binary, best array<struct<term:string,value:long>>"
 
 
-def group_vectors(counts: DataFrame, terms: DataFrame, n_slices: int, top: int = TOP, teams: int = TEAMS) -> DataFrame:
+def group_vectors(counts: DataFrame, entries: DataFrame, n_slices: int, top: int = TOP, teams: int = TEAMS) -> DataFrame:
     """A row per group and slice: its block, its compressed vector, the share of absent terms, its best terms."""
-    entries = counts.filter("term is not null").join(terms, ["lang", "term"])
-    entries = cut(entries.select("lang", "source", "slice", "place", "term", "n", "total"))
-    langs = terms.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("total").alias("lang_total"))
+    sizes = entries.groupBy("lang", "slice").agg((F.max("place") + 1).cast("int").alias("size"))
+    langs = sizes.groupBy("lang").agg(F.sum("size").alias("terms"))
     totals = entries.groupBy("lang", "source").agg(F.sum("n").alias("group_total"))
+    lang_totals = totals.groupBy("lang").agg(F.sum("group_total").alias("lang_total"))
     groups = counts.filter("term is null").select("lang", "source")
     rank, number = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1, F.count("*").over(Window.partitionBy("lang"))
     per_block = F.ceil(F.col("number") / teams)
@@ -176,8 +176,7 @@ def group_vectors(counts: DataFrame, terms: DataFrame, n_slices: int, top: int =
     placed = placed.select(
         "lang", "source", F.floor(F.col("rank") / per_block).cast("int").alias("block"), F.ceil(F.col("number") / per_block).cast("int").alias("blocks")
     )
-    sizes = terms.groupBy("lang", "slice").agg(F.count("*").cast("int").alias("size"))
-    markers = placed.join(langs, "lang", "left").join(totals, ["lang", "source"], "left")
+    markers = placed.join(langs, "lang", "left").join(lang_totals, "lang", "left").join(totals, ["lang", "source"], "left")
     markers = markers.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))).alias("slice")).join(sizes, ["lang", "slice"], "left")
     markers = markers.fillna(0, ["terms", "lang_total", "group_total", "size"])
     markers = markers.select([F.col(c).alias(c) for c in markers.columns])  # both sides come from the same counts
@@ -237,9 +236,9 @@ def tournament(units: DataFrame) -> DataFrame:
 
 def source_divergence(docs: DataFrame, top: int = TOP, least_docs: int = LEAST_DOCS, slice_entries: int = SLICE_ENTRIES, teams: int = TEAMS) -> DataFrame:
     """(lang, source, part, item, value, rank): part ``pair`` ranks all other sources of a language, ``term`` the ``top`` terms."""
-    counts = cut(term_counts(docs))
-    terms, n_slices = kept_terms(counts, least_docs, slice_entries)
-    units = cut(group_vectors(counts, terms, n_slices, top, teams))
+    counts = cut(kept_counts(docs, least_docs))
+    entries, n_slices = placed_terms(counts, slice_entries)
+    units = cut(group_vectors(counts, entries, n_slices, top, teams))
     best = units.select("lang", "source", F.inline("best")).withColumnRenamed("term", "item")
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     ranked = lambda df, part: df.select("lang", "source", F.lit(part).alias("part"), "item", "value", rank.alias("rank"))
