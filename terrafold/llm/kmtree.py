@@ -24,7 +24,10 @@ best ``k`` rows; these are merged per query.
 Defined cases: vectors that are null, zero or hold null or non-finite
 components, and rows with null ids, take no part. Vectors of different length
 are not compared. Rows that share an id with the query are the query's own.
-Ties go to the smaller id. An empty table gives no rows.
+Rows that repeat an id and its vector are one row, as a query and as a
+candidate. An id with several vectors is several rows: as queries each has its
+own answer with its own ranks, as candidates each may be found. Ties go to the
+smaller id. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -133,7 +136,7 @@ class Tree:
 
 
 def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> Iterator[tuple[int, list, list]]:
-    """Per query its ``k`` best rows by (inner product, smaller id), own id excluded.
+    """Per query (its position) the ``k`` best rows by (inner product, smaller id), own id excluded.
 
     A product of matrices picks candidates; their scores are then summed one by
     one, so that equal vectors have equal scores.
@@ -148,7 +151,7 @@ def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids:
                 some = some[scores[some] >= edge - 1e-9 * max(1.0, abs(edge))]
             exact = (rows[some] * queries[at]).sum(axis=1)
             order = np.lexsort((row_ids[some], -exact))[:k]
-            yield int(query_ids[at]), row_ids[some][order].tolist(), exact[order].tolist()
+            yield at, row_ids[some][order].tolist(), exact[order].tolist()
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -157,22 +160,23 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _merge(found: DataFrame, k: int) -> DataFrame:
-    """Per query the best ``k`` of its units' answers: ``query_id, hits``."""
+    """Per query the best ``k`` of its units' answers: ``query_id, mark, hits``."""
     scored = found.withColumn(
         "hits", F.transform(F.arrays_zip("ids", "scores"), lambda h: F.struct((-h["scores"]).alias("less"), h["ids"].alias("vec_id")))
     )
     merged = F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, k)
-    return scored.groupBy("query_id").agg(merged.alias("hits"))
+    return scored.groupBy("query_id", "mark").agg(merged.alias("hits"))
 
 
-HITS = "query_id long, ids array<long>, scores array<double>"
+#: ``mark`` is a hash of the query's vector.
+HITS = "query_id long, mark long, ids array<long>, scores array<double>"
 
 
 def _hits(rows: list[tuple]) -> pa.RecordBatch:
-    queries, ids, scores = zip(*rows) if rows else ([], [], [])
+    queries, marks, ids, scores = zip(*rows) if rows else ([], [], [], [])
     return pa.RecordBatch.from_arrays(
-        [pa.array(queries, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float64()))],
-        names=["query_id", "ids", "scores"],
+        [pa.array(queries, pa.int64()), pa.array(marks, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float64()))],
+        names=["query_id", "mark", "ids", "scores"],
     )
 
 
@@ -231,6 +235,7 @@ class Index:
     def _calibrate(self, queries: DataFrame) -> tuple[int, int, float | None]:
         """Leaves to visit, held-out queries, and the share of their true neighbours in visited leaves."""
         trials = queries.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(TRIALS + HELD_OUT).collect()  # bounded so
+        trials = [*{r["id"]: r for r in reversed(trials)}.values()][::-1]
         if not trials:
             return 1, 0, None
         held_out = {r["id"] for r in trials[2::3][:HELD_OUT]}
@@ -246,11 +251,13 @@ class Index:
                     if asked:
                         part = pa.array(widths == dim)
                         rows = _matrix(batch.column(1).filter(part))
-                        yield _hits(list(best(np.array([v for _, v in asked]), np.array([i for i, _ in asked]), rows, ids[widths == dim], k)))
+                        found = best(np.array([v for _, v in asked]), np.array([i for i, _ in asked]), rows, ids[widths == dim], k)
+                        yield _hits([(asked[at][0], 0, *hit) for at, *hit in found])
 
         truth = _merge(self.rows.select("id", "v").mapInArrow(scan, HITS), k)
         wanted = truth.select("query_id", F.explode("hits").alias("h")).select("query_id", F.col("h.vec_id").alias("id"))
-        homes = wanted.join(self.rows.select("id", "leaf"), "id").groupBy("query_id").agg(F.collect_list("leaf").alias("leaves")).collect()
+        homes = wanted.join(self.rows.select("id", "leaf"), "id").groupBy("query_id", "id").agg(F.min("leaf").alias("leaf"))
+        homes = homes.groupBy("query_id").agg(F.collect_list("leaf").alias("leaves")).collect()  # ``k`` a query
         need: list[int] = []
         checked: list[int] = []
         vector = {r["id"]: np.array(r["v"]) for r in trials}
@@ -290,11 +297,11 @@ class Index:
         large = [(leaf, -(-n // UNIT)) for leaf, n in self.sizes.items() if n > UNIT]
         units = F.broadcast(self.spark.createDataFrame(large, "leaf long, cuts int"))
         cuts = F.coalesce("cuts", F.lit(1))
-        rows = self.rows.join(units, "leaf", "left").select("leaf", F.pmod(F.xxhash64("id"), cuts).cast("int").alias("unit"), F.lit(0).alias("side"), "id", "v")
+        rows = self.rows.join(units, "leaf", "left").select("leaf", F.pmod(F.xxhash64("id", "v"), cuts).cast("int").alias("unit"), F.lit(0).alias("side"), "id", "v", F.lit(0).cast("long").alias("mark"))
         visit = (
             asked.select("id", "v", F.explode("leaves").alias("leaf"))
             .join(units, "leaf", "left")
-            .select("leaf", F.explode(F.sequence(F.lit(0), cuts - 1)).alias("unit"), F.lit(1).alias("side"), "id", "v")
+            .select("leaf", F.explode(F.sequence(F.lit(0), cuts - 1)).alias("unit"), F.lit(1).alias("side"), "id", "v", F.xxhash64("v").alias("mark"))
         )
         work = rows.unionByName(visit).repartition(partitions(self.spark), "leaf", "unit").sortWithinPartitions("leaf", "unit", "side", "id")
 
@@ -302,18 +309,18 @@ class Index:
             def done(held: tuple[list, list]) -> pa.RecordBatch:
                 if not held[0] or not held[1]:
                     return _hits([])
-                (row_ids, rows), (query_ids, asked) = (map(np.array, zip(*side)) for side in held)
-                return _hits([h for h in best(asked, query_ids, rows, row_ids, k) if h[1]])
+                (row_ids, _, rows), (query_ids, marks, asked) = (map(np.array, zip(*side)) for side in held)
+                return _hits([(int(query_ids[at]), int(marks[at]), *hit) for at, *hit in best(asked, query_ids, rows, row_ids, k) if hit[0]])
 
             now, held = None, ([], [])
             for batch in batches:
                 matrix = [np.asarray(v) for v in batch.column(4).to_numpy(zero_copy_only=False)]
-                keys = zip(*[batch.column(c).to_pylist() for c in range(4)])
-                for (leaf, unit, side, number), v in zip(keys, matrix):
+                keys = zip(*[batch.column(c).to_pylist() for c in (0, 1, 2, 3, 5)])
+                for (leaf, unit, side, number, mark), v in zip(keys, matrix):
                     if (leaf, unit) != now:
                         yield done(held)
                         now, held = (leaf, unit), ([], [])
-                    held[side].append((number, v))
+                    held[side].append((number, mark, v))
             yield done(held)
 
         merged = _merge(work.mapInArrow(search, HITS), k)
@@ -325,6 +332,8 @@ class Index:
 def _index(table: DataFrame, asked: F.Column, id_column: str, vector_column: str, k: int, recall: float) -> tuple[Index, DataFrame]:
     valid = table.filter(F.col(id_column).isNotNull() & valid_vector(vector_column)).withColumn("asked", asked)
     rows = valid.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v"), "asked")
+    # Repeated rows are one row; what is combined before the shuffle is a third of all rows at most once per task.
+    rows = cut(rows.groupBy("id", "v").agg(F.max("asked").alias("asked")))
     queries = rows.filter("asked").select("id", "v")
     return Index(rows.select("id", "v"), queries, k, recall), queries
 

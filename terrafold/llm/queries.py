@@ -63,6 +63,13 @@ def op7_sorted_string_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_table(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), end_id=2)
 
 
+def op7_sorted_string_table_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose id is divisible by 100, looked up in shards of all documents."""
+    docs = _table(spark, sf_dir, "documents")
+    shards = sstable.write_shards(docs, new_folder(spark, "sstable"), public_tokenizers.path(BYTE_BPE), end_id=2)
+    return sstable.lookup(docs.filter("doc_id % 100 = 0"), shards)
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(_table(spark, sf_dir, "documents"))
 
@@ -100,6 +107,7 @@ def queries() -> dict:
         "op6_warc": op6_warc,
         "op6_warc_lookup": op6_warc_lookup,
         "op7_sorted_string_table": op7_sorted_string_table,
+        "op7_sorted_string_table_lookup": op7_sorted_string_table_lookup,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_mixing": op10_mixing,

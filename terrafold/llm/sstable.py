@@ -15,8 +15,15 @@ value is the ids as unsigned 16-bit or, for larger vocabularies, 32-bit ints.
 A lookup asks the Bloom filter, searches the block index by bisection and
 unpacks one block.
 
+Rows are dealt to shards in ranges of (id, hash of the text, row), so that an
+id, or no id, of many rows is spread over shards that follow each other. A
+lookup of many ids sorts them as shards are; a task keeps the key ranges of the
+shards that its ids can be in, and opens those that hold one.
+
 Defined cases: a null text is an empty one; rows with equal ids are all kept,
-one after the other (by text); an empty table gives no shards and no rows.
+one after the other (by a hash of the text); an empty table gives no shards and
+no rows. A lookup of an id that occurs several times finds all its documents,
+of one that does not occur none; null is looked up as the rows without an id.
 """
 
 from __future__ import annotations
@@ -41,7 +48,7 @@ BLOCK_BYTES = 64 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 MAGIC = b"TFSST001"
 FOOTER = struct.Struct("<QQQQQB8s")
-STATS = "shard int, path string, docs long, tokens long"
+STATS = "shard int, path string, docs long, tokens long, first_key binary, last_key binary"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -216,8 +223,10 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_b
             F.col("doc_id").cast("long").alias("doc_id"),
             F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         )
-        .repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+        .withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+        .repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first(), "hash", "row")
+        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "hash", "row")
+        .select("doc_id", "text")
         .withColumn("shard", F.spark_partition_id())
     )
 
@@ -241,8 +250,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_b
                 first = next(batches, None)
             writer.close()
         yield pa.RecordBatch.from_pylist(
-            [{"shard": shard, "path": path, "docs": writer.docs, "tokens": writer.tokens}],
-            pa.schema([("shard", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]),
+            [{"shard": shard, "path": path, "docs": writer.docs, "tokens": writer.tokens, "first_key": writer.keys[0], "last_key": writer.keys[-1]}],
+            pa.schema([("shard", pa.int32()), ("path", pa.string()), *[(n, pa.int64()) for n in ("docs", "tokens")], *[(n, pa.binary()) for n in ("first_key", "last_key")]]),
         )
 
     return cut(sorted_docs.mapInArrow(work, STATS))
@@ -271,8 +280,59 @@ def read_shards(shards: DataFrame) -> DataFrame:
 
     # A row per shard, summed before it: as many rows as files.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    based = shards.select("path", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
-    return based.repartition(partitions(shards.sparkSession), "path").mapInArrow(work, ROWS)
+    tasks = partitions(shards.sparkSession)
+    based = shards.select("path", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"), F.pmod("shard", F.lit(tasks)).alias("task"))
+    return based.repartitionById(tasks, "task").select("path", "base").mapInArrow(work, ROWS)
+
+
+def lookup(ids: DataFrame, shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The documents of every distinct id in ``ids``: ``doc_id, n_tokens, ids_crc32``.
+
+    Per id and shard whose key range holds it: Bloom filter, bisection of the
+    block index, one block (more only where an id's rows go on in the next).
+    """
+    spark = ids.sparkSession
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(map(key_of, batch.column(0).to_pylist()), pa.binary())], ["key"])
+
+    keys = ids.select(F.col(id_col).cast("long").alias("id")).distinct().mapInArrow(keyed, "key binary")
+    placed = cut(keys.repartitionByRange(partitions(spark), "key").withColumn("part", F.spark_partition_id()))
+    spans = placed.groupBy("part").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    # A row per task, against a row per shard.
+    near = shards.join(F.broadcast(spans), (F.col("last_key") >= F.col("low")) & (F.col("first_key") <= F.col("high")))
+    held = near.select("part", F.lit(0).alias("side"), F.col("first_key").alias("key"), "last_key", "path")
+    asked = placed.select("part", F.lit(1).alias("side"), "key", F.lit(None).cast("binary").alias("last_key"), F.lit(None).cast("string").alias("path"))
+    both = held.unionByName(asked).repartition(partitions(spark), "part").sortWithinPartitions("part", "side", "key", "last_key")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, ranges, at, readers = None, [], 0, {}
+        for batch in slices(batches):
+            rows = []
+            for r in batch.to_pylist():
+                if r["part"] != part:
+                    part, ranges, at = r["part"], [], 0
+                if r["side"] == 0:
+                    ranges.append((r["key"], r["last_key"], r["path"]))
+                    continue
+                while at < len(ranges) and ranges[at][1] < r["key"]:  # ids ascend, as ranges do
+                    if (reader := readers.pop(ranges[at][2], None)) is not None:
+                        reader.close()
+                    at += 1
+                for first, _, path in ranges[at:]:
+                    if first > r["key"]:
+                        break
+                    if path not in readers:
+                        readers[path] = ShardReader(path)
+                    number = id_of(r["key"])
+                    rows.extend((number, len(found) // 4, zlib.crc32(found)) for found in readers[path].get(number))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "n_tokens", "ids_crc32"])
+        for reader in readers.values():
+            reader.close()
+
+    return both.mapInArrow(search, "doc_id long, n_tokens long, ids_crc32 long")
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int, id_bytes: int = 2, folder: str | None = None) -> DataFrame:

@@ -3,7 +3,9 @@
 Byte-pair encoding treats the pieces that the pre-tokenizer cuts one by one,
 so a text's ids are those of its pieces in order. The encoder keeps the ids of
 the pieces it has met in a bounded table and asks the tokenizers library only
-for new ones. Texts with characters beyond ``PLAIN`` go to the library whole.
+for new ones. Texts with characters beyond Latin-1, and texts that hold the name
+of a special token (which the library turns into that token's id), go to the
+library whole.
 """
 
 from __future__ import annotations
@@ -55,7 +57,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.kind, self.known = kind, Known(self.whole, entries)
         self.top = max(self.library.get_vocab().values(), default=0)
         self.pieces = {"byte": BYTE_PIECES, "word": WORD_PIECES}[kind]
@@ -65,9 +67,9 @@ class Encoder:
         return np.asarray(ids, dtype="<u4").tobytes()
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        get, pieces = self.known.__getitem__, self.pieces.findall
+        get, pieces, special = self.known.__getitem__, self.pieces.findall, self.special
         return [
-            self.whole(text) if UNUSUAL.search(text) else b"".join(map(get, pieces(text.lower() if self.kind == "word" else text)))
+            self.whole(text) if UNUSUAL.search(text) or any(name in text for name in special) else b"".join(map(get, pieces(text.lower() if self.kind == "word" else text)))
             for text in texts
         ]
 

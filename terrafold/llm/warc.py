@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, join_counted, new_folder, partitions, slices
+from .common import HOT, cut, join_counted, new_folder, partitions, slices
 from .storage import create, open_for_ranges
 
 BLOCK_LINES = 3000
@@ -46,8 +46,8 @@ DATE = "2024-01-01T00:00:00Z"
 LEVEL = 1
 #: Bytes of an archive that one task reads records from, and those it reads at once.
 STRETCH, AHEAD = 64 << 20, 1 << 20
-#: Places that rows equal in id and payload are dealt to.
-SALTS = 4
+#: Stretches of one archive go to tasks that lie so far apart.
+PRIME = 7919
 CAPTURES = "page_id long, url_key string, path string, offset long, length long, type string, digest string"
 
 
@@ -119,11 +119,11 @@ def _batches(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
 
-def repeats(base: DataFrame, least_bytes: int) -> DataFrame:
-    """``page_id, sha, first``: pages (html not null) whose payload has a response of a smaller id."""
-    digests = cut(base.filter(F.octet_length("html") >= least_bytes).select("page_id", F.unhex(F.sha1(F.encode("html", "utf-8"))).alias("sha")))
-    shared = cut(digests.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null"))
-    again = join_counted(digests, shared, "sha", "n").filter("page_id is null or page_id > first")
+def repeats(digests: DataFrame) -> DataFrame:
+    """``page_id, sha, first``: pages whose payload, if ``counted``, has a response of a smaller id."""
+    counted = digests.filter("counted").select("page_id", "sha")
+    shared = cut(counted.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null"))
+    again = join_counted(counted, shared, "sha", "n").filter("page_id is null or page_id > first")
     return again.select("page_id", "sha", "first").distinct()
 
 
@@ -131,15 +131,24 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
     """Write ``pages`` (page_id, url, html); returns a row per capture (``CAPTURES``)."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    nothing = F.lit(None)
-    sha, salt = F.unhex(F.sha1(F.encode("html", "utf-8"))), F.pmod(F.spark_partition_id(), F.lit(SALTS))
-    known = repeats(base, least_bytes).select(
-        "page_id", "sha", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])).alias("salt"), nothing.cast("string").alias("url"), nothing.cast("string").alias("html"), "first"
+    base = base.withColumn("sha", F.unhex(F.sha1(F.encode("html", "utf-8"))))
+    digests = cut(base.select("page_id", "sha", (F.octet_length("html") >= least_bytes).alias("counted")))
+    # Rows equal in id and payload that are more than 1/HOT of all, fewer than HOT groups, are dealt to eight places a task.
+    tasks, nothing = partitions(pages.sparkSession), F.lit(None)
+    often = digests.groupBy(F.col("page_id").alias("id"), F.col("sha").alias("digest")).agg(F.count("*").alias("n"))
+    often = F.broadcast(often.filter(F.col("n") * HOT > digests.count()).select("id", "digest", F.lit(8 * tasks).alias("places")))
+    same = lambda df: (df["page_id"].eqNullSafe(often["id"])) & (df["sha"] == often["digest"])
+    known = repeats(digests)
+    known = known.join(often, same(known), "left").select(
+        "page_id", "sha", F.explode(F.sequence(F.lit(0), F.coalesce("places", F.lit(1)) - 1)).alias("salt"), nothing.cast("string").alias("url"), nothing.cast("string").alias("html"), "first"
+    )
+    own = base.join(often, same(base), "left").select(
+        "page_id", "sha", F.pmod(F.monotonically_increasing_id(), F.coalesce("places", F.lit(1))).cast("int").alias("salt"), "url", "html", nothing.cast("long").alias("first")
     )
     # What is known of a page comes before it.
-    mixed = known.unionByName(base.select("page_id", sha.alias("sha"), salt.alias("salt"), "url", "html", nothing.cast("long").alias("first")))
     placed = (
-        mixed.repartition(partitions(pages.sparkSession), "page_id", "sha", "salt")
+        known.unionByName(own)
+        .repartition(tasks, "page_id", "sha", "salt")
         .sortWithinPartitions("page_id", "sha", "salt", F.col("first").desc_nulls_last(), "url")
         .select("page_id", "sha", "url", "html", "first", F.spark_partition_id().alias("part"))
     )
@@ -238,8 +247,11 @@ def read_records(captures: DataFrame) -> DataFrame:
                 yield _batches(rows, schema)
         ranges.close()
 
+    # Archives are numbered; stretches go round the tasks by number, so that no two of an archive meet before all tasks have one.
+    tasks = partitions(captures.sparkSession)
+    archive = F.regexp_extract("path", r"part-(\d+)\.warc\.gz$", 1).cast("int")
     stretch = F.floor(F.col("offset") / STRETCH)
-    dealt = captures.select("path", "offset", "length").repartition(partitions(captures.sparkSession), "path", stretch)
+    dealt = captures.select("path", "offset", "length").repartitionById(tasks, F.pmod(archive + stretch * PRIME, F.lit(tasks)).cast("int"))
     return dealt.sortWithinPartitions("path", "offset").mapInArrow(
         work, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     )

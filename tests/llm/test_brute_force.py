@@ -16,6 +16,13 @@ from terrafold.llm import queries as Q  # noqa: E402
 from terrafold.llm import spans, toxicity  # noqa: E402
 from terrafold.llm.packing import Plan  # noqa: E402
 from terrafold.llm.tokens import Encoder  # noqa: E402
+from tokenizers import Tokenizer  # noqa: E402
+
+
+def plain_ids(name):
+    """What the library gives, freshly loaded and with nothing set."""
+    library = Tokenizer.from_file(public_tokenizers.path(name))
+    return lambda text: library.encode(text, add_special_tokens=False).ids
 
 D = "/root/testdata/sf0.001"
 
@@ -69,10 +76,9 @@ def spans_removed(rows):
 def test_packing_and_tokens(spark):
     docs = frame("documents")
     got = Q.op3_best_fit_packing(spark, D).toPandas()
-    encoder = Encoder(public_tokenizers.path("word_bpe_49k.json"), "word")
-    want = []
+    encode, want = plain_ids("word_bpe_49k.json"), []
     for i, t in zip(docs.doc_id, docs.text):
-        ids = np.append(np.frombuffer(encoder.whole(t), "<u4"), [1]).astype("<u4")
+        ids = np.append(encode(t), [1]).astype("<u4")
         want += [(i, k, a, len(ids[a : a + 4096]), zlib.crc32(ids[a : a + 4096].tobytes())) for k, a in enumerate(range(0, len(ids), 4096))]
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, got[cols].values.tolist())) == sorted(want)
@@ -82,18 +88,24 @@ def test_packing_and_tokens(spark):
 def test_byte_tokens(spark):
     docs = frame("documents").sort_values("doc_id")
     got = Q.op7_sorted_string_table(spark, D).toPandas().sort_values("doc_id")
-    encoder, start = Encoder(public_tokenizers.path("byte_bpe_50k.json"), "byte"), 0
+    encode, start = plain_ids("byte_bpe_50k.json"), 0
     for text, r in zip(docs.text, got.itertuples()):
-        ids = np.append(np.frombuffer(encoder.whole(text), "<u4"), [2]).astype("<u4")
+        ids = np.append(encode(text), [2]).astype("<u4")
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
 
 
 @pytest.mark.parametrize("kind,name", [("byte", "byte_bpe_50k.json"), ("word", "word_bpe_49k.json")])
 def test_encoder_equals_library(kind, name):
-    e = Encoder(public_tokenizers.path(name), kind, entries=10)
+    import random
+
+    e, encode, r = Encoder(public_tokenizers.path(name), kind, entries=10), plain_ids(name), random.Random(3)
     texts = ["", " a  b\n\n c", "it's 123 45.6 ²x ½ ªº", "İstanbul Ωmega", "don't WE'LL I'M'S <|endoftext|>", "a\x0bb\x0cc \x85 \x1c", "中文 字", "ÀÉ×÷ß ¿¡§°±"]
-    assert e.encode_all(texts) == [e.whole(t) for t in texts] == [e.encode(t) for t in texts]
+    texts += ["x<|endoftext|>y", "<|startoftext|> a", "<|endoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "<|endoftext|><|startoftext|>é 中"]
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", " ", "a", "The", "é", "中", "'s", "12", "\n", "endoftext"]
+    texts += ["".join(r.choices(parts, k=r.randint(1, 9))) for _ in range(3000)]
+    want = [np.asarray(encode(t), dtype="<u4").tobytes() for t in texts]
+    assert e.encode_all(texts) == want and [e.encode(t) for t in texts] == want
 
 
 def test_jaccard(spark):
