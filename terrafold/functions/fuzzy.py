@@ -11,6 +11,7 @@ digit with another library is not claimed.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,3 +82,88 @@ def _scorer(score):
 
 RATIO, PARTIAL_RATIO, WRATIO = _scorer(ratio), _scorer(partial_ratio), _scorer(wratio)
 SCORERS = {"ratio": RATIO, "partial_ratio": PARTIAL_RATIO, "wratio": WRATIO}
+
+
+SCORES = {"ratio": ratio, "partial_ratio": partial_ratio, "wratio": wratio}
+
+
+def _distinct_words(a: str) -> str:
+    return " ".join(sorted(set(a.split())))
+
+
+class Nearest:
+    """The best of a list of names for one name after the other, case ignored.
+
+    Every score is made of ratios, and a ratio cannot exceed what the letters
+    that two texts share allow, whatever their order. So for all names at once
+    the shared letters are counted (of the names as they are, and of their
+    distinct words), which bounds the score from above. Names are tried from
+    the largest bound down, and no longer once the bound falls below the best
+    score found or the least one wanted: the answer is that of trying all.
+    ``tried`` counts the names whose scores were computed.
+    """
+
+    def __init__(self, names: list[str], scorer: str = "wratio"):
+        self.names, self.upper = sorted(names), []
+        self.upper = [n.upper() for n in self.names]
+        self.score, self.scorer, self.tried = SCORES[scorer], scorer, 0
+        self.letters = {c: k for k, c in enumerate(sorted({c for n in self.upper for c in n}))}
+        self.plain, self.bare = (self._table(map(f, self.upper)) for f in (str, _distinct_words))
+        self.words = np.array([len(_sorted_words(n)) for n in self.upper])
+
+    def _table(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        texts = list(texts)
+        counts = np.zeros((len(texts), len(self.letters)), dtype=np.int32)
+        for k, text in enumerate(texts):
+            for c in text:
+                counts[k, self.letters[c]] += 1
+        return counts, np.array([len(t) for t in texts])
+
+    def _shared(self, table: np.ndarray, text: str) -> np.ndarray:
+        own: dict[int, int] = {}
+        for c in text:
+            if c in self.letters:
+                own[self.letters[c]] = own.get(self.letters[c], 0) + 1
+        return np.minimum(table[:, list(own)], list(own.values())).sum(axis=1) if own else np.zeros(len(table), dtype=np.int32)
+
+    def bounds(self, text: str) -> np.ndarray:
+        """No name's score for ``text`` (in upper case) is larger."""
+        counts, sizes = self.plain
+        shared, short = self._shared(counts, text), np.minimum(sizes, len(text))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            whole = np.where(sizes + len(text) > 0, 200.0 * shared / (sizes + len(text)), 100.0)
+            # A window has at least the letters that it shares.
+            part = np.where(short > 0, 200.0 * shared / (short + shared), 100.0)
+            if self.scorer == "ratio":
+                return whole
+            if self.scorer == "partial_ratio":
+                return part
+            bare_counts, bare_sizes = self.bare
+            bare = _distinct_words(text)
+            both = self._shared(bare_counts, bare)
+            least = np.minimum(bare_sizes, len(bare))
+            in_sets = np.where(least > 0, 200.0 * both / (both + least), 0.0)
+            in_order = 200.0 * shared / np.maximum(1, self.words + len(_sorted_words(text)))
+            words = np.minimum(100.0, np.maximum(in_sets, in_order))
+            far = np.maximum(sizes, len(text)) / np.maximum(1, short)
+            scale = np.where(far <= 8, 0.9, 0.6)
+            sorted_short = np.minimum(self.words, len(_sorted_words(text)))
+            sorted_part = np.minimum(100.0, np.where(sorted_short > 0, 200.0 * shared / (sorted_short + np.minimum(shared, sorted_short)), 100.0))
+            near = np.maximum(whole, 0.95 * words)
+            wide = np.maximum(np.maximum(whole, scale * part), 0.95 * scale * np.maximum(sorted_part, words))
+            return np.where((sizes == 0) | (len(text) == 0), 0.0, np.where(far < 1.5, near, wide))
+
+    def best(self, text: str, least: float) -> tuple[str, float] | None:
+        """(name, score) of the largest score that is at least ``least``, the least name on ties."""
+        text = text.upper()
+        bounds = self.bounds(text) + 1e-9
+        order = np.argsort(-bounds, kind="stable")
+        best: tuple[float, str] | None = None
+        for k in order.tolist():
+            if bounds[k] < (least if best is None else -best[0]):
+                break
+            self.tried += 1
+            score = self.score(text, self.upper[k])
+            if score >= least and (best is None or (-score, self.names[k]) < best):
+                best = -score, self.names[k]
+        return (best[1], -best[0]) if best else None

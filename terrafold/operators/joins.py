@@ -11,8 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fuzzy import SCORERS
 from ..functions.text import tokens
+from .registry import BOUND, against, contained, nearest_names, sized, substring_hits
+from .similar import similar_pairs  # noqa: F401  (part of this module's interface)
 
 
 def star(fact: DataFrame, dims: list[tuple[DataFrame, list[str]]], zero: list[str] = ()) -> DataFrame:
@@ -86,26 +87,22 @@ def text_id(text: str | Column) -> Column:
     return F.md5(text)
 
 
-def alias_best(texts: DataFrame, text: str, aliases: DataFrame) -> DataFrame:
+def alias_best(texts: DataFrame, text: str, aliases: DataFrame, bound: int = BOUND) -> DataFrame:
     """Best alias per text (J16): (text_id, alias, brand, score, conflict).
 
-    A normalised alias is found at word borders exactly if it equals some run
-    of words of the normalised text, so runs are joined to aliases by equality;
-    no pattern is tried row by row. Runs are as long as the aliases are,
-    whatever their numbers of words. Only the id of a text goes along with its
-    runs, and only runs that are aliases go on. ``aliases``: alias, brand,
-    ``rank`` (less is preferred on equal scores).
+    A normalised alias is found at word borders exactly if it occurs, between
+    two spaces, in the text's words with a space before, between and after
+    them. One automaton of all aliases finds them in one pass over a text,
+    whatever their numbers of words; only the id of a text goes along with its
+    aliases. ``aliases``: alias, brand, ``rank`` (less is preferred on equal
+    scores); they are broadcast up to ``bound`` letters, beyond that texts meet
+    them in parts, and frequent ones are left to Spark's skew join.
     """
-    sizes = aliases.filter("alias is not null").agg(F.collect_set(F.size(F.split("alias", " "))).alias("_sizes"))  # one row
-    worded = texts.filter(F.col(text).isNotNull()).select(text_id(text).alias("text_id"), tokens(F.col(text)).alias("_w")).crossJoin(F.broadcast(sizes))
-
-    def of_size(n: Column) -> Column:
-        starts = F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - n + 1)).otherwise(F.array().cast("array<int>"))
-        word = lambda k: F.get(F.col("_w"), k)  # noqa: E731  (a slice would go over the whole text each time)
-        return F.transform(starts, lambda k: F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda j: word(k + j - 1)), " "))
-
-    runs = worded.select("text_id", F.explode(F.array_distinct(F.flatten(F.transform("_sizes", of_size)))).alias("alias"))
-    hits = runs.join(aliases, "alias")
+    framed = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    words = texts.filter(F.col(text).isNotNull()).select(text_id(text).alias("id"), framed(F.array_join(tokens(F.col(text)), " ")).alias("text"))
+    entries = aliases.filter("alias <> ''").select(framed(F.col("alias")).alias("entry"))
+    found = against(words, entries, contained, "alias string", bound).select(F.col("id").alias("text_id"), F.expr("substring(alias, 2, length(alias) - 2)").alias("alias"))
+    hits = found.join(sized(aliases, "alias", bound), "alias")
     score = 1000 * F.size(F.split("alias", " ")) + F.length("alias")
     best = F.min(F.struct((-score).alias("less"), "rank", "brand", "alias")).alias("b")
     return hits.groupBy("text_id").agg(best, F.countDistinct("brand").alias("brands")).select(
@@ -119,73 +116,33 @@ def alias_hits(texts: DataFrame, text: str, aliases: DataFrame) -> DataFrame:
     return distinct.join(alias_best(distinct, text, aliases), text_id(text) == F.col("text_id")).drop("text_id")
 
 
-def contains_aliases(texts: DataFrame, text: str, aliases: DataFrame, condition: Column | None = None) -> DataFrame:
-    """Alias contained anywhere in a distinct text, under a further condition."""
-    on = F.col(text).contains(F.col("alias"))
-    return texts.join(aliases, on if condition is None else on & condition)
+def contains_aliases(texts: DataFrame, text: str, aliases: DataFrame, condition: Column | None = None, bound: int = BOUND) -> DataFrame:
+    """Alias contained anywhere in a text (J17); a further condition is tried on what contains one only."""
+    hits = substring_hits(texts, text, aliases, "alias", bound=bound)
+    joined = texts.join(hits, text).join(sized(aliases, "alias", bound), "alias").select(*texts.columns, *aliases.columns)
+    return joined if condition is None else joined.filter(condition)
 
 
-def _letters(names: DataFrame, text: Column) -> DataFrame:
-    """``names`` with ``size`` and the numbered letters of ``text`` (a1, b1, a2), rarest first, as ``letters``.
+def fuzzy_best(left: DataFrame, name: str, right: DataFrame, candidate: str, least: float, scorer: str = "wratio", bound: int = BOUND) -> DataFrame:
+    """Best candidate per distinct name with score >= ``least`` (J18): the answer of trying all, see ``Nearest``."""
+    return nearest_names(left, name, right, candidate, least, scorer, bound)
 
-    A common subsequence is no longer than the letters that two texts share, so
-    texts with ``n`` letters that need ``o`` in common share one of the first
-    ``n - o + 1`` of either, in any order that is the same for all.
-    """
-    chars = F.when(F.length("_t") > 0, F.transform(F.sequence(F.lit(1), F.length("_t")), lambda k: F.substring(F.col("_t"), k, F.lit(1)))).otherwise(F.array(F.lit("")))
-    number = lambda x, k: F.concat(x, F.size(F.filter(F.slice(F.col("_c"), F.lit(1), k + 1), lambda y: y == x)).cast("string"))
-    own = names.columns
-    each = names.withColumn("_t", text).withColumn("_c", chars).withColumns({"size": F.size("_c"), "letter": F.explode(F.transform("_c", number))}).drop("_t", "_c")
-    often = each.groupBy("letter").agg(F.count("*").alias("n"))
-    order = F.transform(F.array_sort(F.collect_list(F.struct("n", "letter"))), lambda x: x["letter"])
-    return each.join(often, "letter").groupBy(*own, "size").agg(order.alias("letters"))
-
-
-def fuzzy_best(left: DataFrame, name: str, right: DataFrame, candidate: str, least: float, scorer: str = "wratio") -> DataFrame:
-    """Best candidate per distinct name with score >= ``least`` > 0.
-
-    Every score is a ratio of parts of the two texts, of which the shorter is no
-    shorter than its distinct words, times at most 1. A ratio of ``least`` needs
-    ``least / (200 - least)`` of the shorter one's letters in common, so
-    candidates share one of its rarest letters; none is left out.
-    """
-    def sides(df: DataFrame, column: str, out: str) -> DataFrame:
-        own = df.select(F.col(column).alias(out)).filter(F.col(out).isNotNull()).distinct()
-        flat = F.regexp_replace(F.upper(F.col(out)), r"(?U)\s", " ")
-        bare = F.length(F.array_join(F.array_distinct(F.filter(F.split(flat, " "), lambda w: w != "")), " "))
-        return own.withColumn("bare", bare).withColumn("flat", flat)
-
-    both = _letters(sides(left, name, "text").withColumn("side", F.lit(0)).unionByName(sides(right, candidate, "text").withColumn("side", F.lit(1))), F.col("flat"))
-    common = F.ceil(F.lit(least / (200.0 - least)) * F.col("bare") - 1e-9).cast("int")
-    first = F.slice("letters", F.lit(1), F.col("size") - common + 1)
-    pairs = None
-    for side in (0, 1):
-        short = both.filter(F.col("side") == side).select(F.col("text").alias("_s"), F.col("bare").alias("_n"), F.explode(first).alias("letter"))
-        long = both.filter(F.col("side") != side).select(F.col("text").alias("_l"), F.col("bare").alias("_m"), F.explode("letters").alias("letter"))
-        found = short.join(long, "letter").filter(F.col("_n") <= F.col("_m")).select(F.col("_l" if side else "_s").alias("_a"), F.col("_s" if side else "_l").alias("_b"))
-        pairs = found if pairs is None else pairs.unionByName(found)
-    scored = pairs.distinct().withColumn("score", SCORERS[scorer](F.upper("_a"), F.upper("_b"))).filter(F.col("score") >= least)
-    best = F.min(F.struct((-F.col("score")).alias("less"), F.col("_b").alias("c"))).alias("b")
-    return scored.groupBy(F.col("_a").alias(name)).agg(best).select(name, F.col("b.c").alias(candidate), (-F.col("b.less")).alias("score"))
-
-
-def similar_pairs(names: DataFrame, name: str, least: float = 85.0, apart: float = 0.3) -> DataFrame:
-    """Pairs of distinct names with 0 < least <= ratio < 100.
-
-    Their lengths differ by at most ``apart`` of the longer. For each two
-    lengths the ratio says how many letters are common, so pairs are joined by
-    both lengths and one of the rarest letters; none is left out.
+
+#: Parts of a segment below its area, and what each adds to the score of a match in the area.
+WEIGHTS = {"bedroom": 25, "property_type": 15, "reg_type": 10, "developer": 10}
+AREA_SCORE, MARKET = 40, "ALL_DEVELOPERS"
+
+
+def _lattice(df: DataFrame, developer: Column | None = None) -> DataFrame:
+    """``df`` once for every subset of the parts: ``mask`` and the keys that the subset keeps, blank where it keeps none.
+
+    Case is ignored. Subsets that hold a part without a value match nothing, nor does a row without an area.
     """
-    own = _letters(names.select(F.col(name).alias("a")).filter("a is not null").distinct(), F.lower(F.col("a")))
-    far = (200.0 - least) / least
-    sizes = F.sequence(F.ceil(F.col("size") / far - 1e-9), F.floor(F.col("size") * far + 1e-9))
-    own = own.withColumn("other", F.explode(sizes))
-    common = F.ceil((F.col("size") + F.col("other")) * least / 200.0 - 1e-9).cast("int")
-    own = own.select("a", "size", "other", F.explode(F.slice("letters", F.lit(1), F.greatest(F.col("size") - common + 1, F.lit(0)))).alias("w"))
-    other = own.select(F.col("a").alias("b"), F.col("size").cast("long").alias("other"), F.col("other").cast("int").alias("size"), "w")
-    near = F.abs(F.length("a") - F.length("b")) <= apart * F.greatest(F.length("a"), F.length("b"))
-    pairs = own.join(other, ["w", "size", "other"]).filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
-    return pairs.withColumn("score", SCORERS["ratio"](F.lower("a"), F.lower("b"))).filter((F.col("score") >= least) & (F.col("score") < 100))
+    columns = {c: F.lower(F.col(c)) for c in WEIGHTS} | ({"developer": developer} if developer is not None else {})
+    masks = df.filter("area is not null").withColumn("mask", F.explode(F.sequence(F.lit(0), F.lit(2 ** len(WEIGHTS) - 1))))
+    has = {c: F.col("mask").bitwiseAND(1 << k) != 0 for k, c in enumerate(WEIGHTS)}
+    keys = {f"_{c}": F.when(has[c], columns[c]).otherwise(F.lit("")) for c in WEIGHTS}
+    return masks.withColumns(keys | {"_area": F.lower("area")}).filter(" and ".join(f"_{c} is not null" for c in WEIGHTS))
 
 
 def segment_match(requests: DataFrame, series: DataFrame) -> DataFrame:
@@ -194,44 +151,43 @@ def segment_match(requests: DataFrame, series: DataFrame) -> DataFrame:
     Both have area, property_type, bedroom, reg_type, developer; requests have
     ``request_id``, series ``group_id``. Exact 95; the market series
     (ALL_DEVELOPERS) 85; best score in the same area 75, 60 or 50; any series
-    of the same bedroom 30; else none, 0.
+    of the same bedroom 30; else none, 0. Equal scores go to the least id.
+
+    A series is indexed under every subset of its parts, with the least id per
+    subset; a request looks its own subsets up by equality, and the subset of
+    the largest score that is there is its match. No request meets more than 16
+    entries, however many series its area has.
     """
-    parts = ["area", "property_type", "bedroom", "reg_type", "developer"]
-    same = lambda c: F.coalesce(F.lower(F.col(f"r.{c}")) == F.lower(F.col(f"s.{c}")), F.lit(False))
+    parts = ["area", *WEIGHTS]
+    shape = F.to_json(F.struct(*parts)).alias("shape")
     # Requests of one shape have one answer, so shapes are matched, not requests.
-    asked, requests = requests.select("request_id", *parts), requests.select(*parts).distinct().withColumn("request_id", F.to_json(F.struct(*parts)))
-    r = requests.select("request_id", *parts).alias("r")
-    s = series.select("group_id", *parts).alias("s")
-    score = F.lit(40) + sum((F.when(same(c), n).otherwise(0) for c, n in (("bedroom", 25), ("property_type", 15), ("reg_type", 10), ("developer", 10))), F.lit(0))
-    area = r.join(s, F.lower("r.area") == F.lower("s.area")).select(
-        "r.request_id",
-        "s.group_id",
-        score.alias("score"),
-        (same("property_type") & same("bedroom") & same("reg_type")).alias("segment"),
-        same("developer").alias("dev"),
-        (F.col("s.developer") == "ALL_DEVELOPERS").alias("market"),
-    )
-    def tier(number: int, name: str, confidence: float) -> Column:
-        return F.struct(F.lit(number).alias("tier"), F.lit(name).alias("match_type"), F.lit(confidence).alias("confidence"))
+    asked, shapes = requests.select("request_id", shape), requests.select(*parts, shape).distinct()
+    keys = ["mask", "_area", *[f"_{c}" for c in WEIGHTS]]
+    index = _lattice(series).groupBy(*keys).agg(F.min("group_id").alias("group_id"))
+    found = _lattice(shapes).select("shape", *keys).join(index, keys).select("shape", "mask", "group_id")
+    full, market = 2 ** len(WEIGHTS) - 1, F.lit(MARKET.lower())
+    bought = _lattice(shapes, market).filter(F.col("mask") == full).select("shape", *keys)
+    # The name of the market series is one that must be written as it is.
+    all_developers = _lattice(series.filter(F.col("developer") == MARKET)).filter(F.col("mask") == full).groupBy(*keys).agg(F.min("group_id").alias("group_id"))
+    bought = bought.join(all_developers, keys).select("shape", F.lit(-1).alias("mask"), "group_id")
+    spare = series.groupBy(F.lower("bedroom").alias("_b")).agg(F.min("group_id").alias("group_id"))
+    last = shapes.join(spare, F.lower("bedroom") == F.col("_b")).select("shape", F.lit(-2).alias("mask"), "group_id")
+    score = F.lit(AREA_SCORE) + sum((F.when(F.col("mask").bitwiseAND(1 << k) != 0, n).otherwise(0) for k, n in enumerate(WEIGHTS.values())), F.lit(0))
+
+    def tier(number: int, name: str, confidence: float, points: Column) -> Column:
+        return F.struct(F.lit(number).alias("tier"), (-points).alias("less"), "group_id", F.lit(name).alias("match_type"), F.lit(confidence).alias("confidence"))
 
     kind = (
-        F.when(F.col("segment") & F.col("dev"), tier(1, "exact", 95.0))
-        .when(F.col("segment") & F.coalesce("market", F.lit(False)), tier(2, "exact_all_developers", 85.0))
-        .when(F.col("score") >= 80, tier(3, "partial_area_bedroom", 75.0))
-        .when(F.col("score") >= 55, tier(3, "partial_area", 60.0))
-        .otherwise(tier(3, "area_only", 50.0))
-    )
-    ranked = area.withColumn("k", kind).select("request_id", "k.tier", "group_id", "k.match_type", "k.confidence", "score")
-    # One series per bedroom is enough for the last resort.
-    spare = series.groupBy(F.lower("bedroom").alias("b")).agg(F.min("group_id").alias("group_id"))
-    last = requests.join(spare, F.lower("bedroom") == F.col("b")).select(
-        "request_id", F.lit(4).alias("tier"), "group_id", F.lit("fallback_bedroom").alias("match_type"), F.lit(30.0).alias("confidence"), F.lit(0).alias("score")
+        F.when(F.col("mask") == -2, tier(4, "fallback_bedroom", 30.0, F.lit(0)))
+        .when(F.col("mask") == -1, tier(2, "exact_all_developers", 85.0, F.lit(0)))
+        .when(F.col("mask") == full, tier(1, "exact", 95.0, F.lit(0)))
+        .when(score >= 80, tier(3, "partial_area_bedroom", 75.0, score))
+        .when(score >= 55, tier(3, "partial_area", 60.0, score))
+        .otherwise(tier(3, "area_only", 50.0, score))
     )
-    w = Window.partitionBy("request_id").orderBy("tier", F.col("score").desc(), "group_id")
-    best = ranked.unionByName(last).withColumn("rn", F.row_number().over(w)).filter("rn = 1")
-    shape = F.to_json(F.struct(*parts)).alias("shape")
-    return asked.select("request_id", shape).join(best.withColumnRenamed("request_id", "shape"), "shape", "left").select(
-        "request_id", "group_id", F.coalesce("match_type", F.lit("no_match")).alias("match_type"), F.coalesce("confidence", F.lit(0.0)).alias("confidence")
+    best = found.unionByName(bought).unionByName(last).groupBy("shape").agg(F.min(kind).alias("b"))
+    return asked.join(best, "shape", "left").select(
+        "request_id", F.col("b.group_id").alias("group_id"), F.coalesce("b.match_type", F.lit("no_match")).alias("match_type"), F.coalesce("b.confidence", F.lit(0.0)).alias("confidence")
     )
 
 

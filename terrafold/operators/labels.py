@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .joins import alias_hits, similar_pairs
+from .joins import alias_hits, contains_aliases, similar_pairs
 
 
 def _filled(c: Column) -> Column:
@@ -212,17 +212,58 @@ def resolve_names(requests: DataFrame, column: str, steps: list[tuple[DataFrame,
 
 
 def brand_by_substring(facts: DataFrame, aliases: DataFrame) -> DataFrame:
-    """V1's rule (E7): alias in the building name and registered under the developer.
+    """Brand per building, developer and area (E7): alias in the building name, registered under the developer.
 
     ``aliases``: alias, brand, rank, registered_under (array, NULL: any), area (NULL: any).
+    The rule is tried on what contains an alias only.
     """
-    texts = facts.select("building_name", "developer_name", "area_name").distinct()
+    texts = facts.select("building_name", "developer_name", "area_name").distinct().withColumn("_text", F.upper("building_name"))
+    table = aliases.withColumn("alias", F.upper("alias")).withColumnsRenamed({"area": "_area"})
     ok = (F.col("registered_under").isNull() | F.array_contains("registered_under", F.col("developer_name"))) & (
-        F.col("area").isNull() | (F.col("area") == F.col("area_name"))
+        F.col("_area").isNull() | (F.col("_area") == F.col("area_name"))
     )
-    hit = texts.join(aliases, F.contains(F.upper("building_name"), F.upper("alias")) & ok)
     best = F.min(F.struct("rank", "brand")).alias("b")
-    return hit.groupBy("building_name", "developer_name", "area_name").agg(best).select("building_name", "developer_name", "area_name", F.col("b.brand").alias("brand"))
+    hit = contains_aliases(texts, "_text", table, ok).groupBy("building_name", "developer_name", "area_name").agg(best)
+    return hit.select("building_name", "developer_name", "area_name", F.col("b.brand").alias("brand"))
+
+
+ANY_DEVELOPER = "ALL_DEVELOPERS"
+
+
+def infer_brands(facts: DataFrame, rules: DataFrame) -> DataFrame:
+    """Brand per distinct (project_name, building_name, area_name, developer_name) by rules in their order.
+
+    ``rules``: brand, rank, aliases (array), registered_under (string, NULL: no
+    expectation), registered_under_by_area (map of area to developers). A rule
+    applies if one of its aliases is inside the project's and building's name,
+    case and white space ignored, and the registered developer is the one that
+    the area expects; where the area expects none, the rule's own; and where
+    there is none either, only if the rule names no areas at all. A developer
+    ALL_DEVELOPERS meets every expectation. The first rule that applies wins.
+    """
+    flat = lambda c: F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " "))
+    trimmed = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    fields = ["project_name", "building_name", "area_name", "developer_name"]
+    empty = F.lit("")
+    named = facts.select(*fields).distinct().withColumns(
+        {
+            "_text": flat(F.concat_ws(" ", F.coalesce("project_name", empty), F.coalesce("building_name", empty))),
+            "_area": trimmed("area_name"),
+            "_developer": trimmed("developer_name"),
+        }
+    )
+    table = rules.select("brand", "rank", "registered_under", "registered_under_by_area", F.explode("aliases").alias("alias")).withColumn("alias", flat(F.col("alias")))
+    by_area = F.col("registered_under_by_area")
+    expected = F.try_element_at(by_area, F.col("_area"))
+    anyone = F.col("_developer") == ANY_DEVELOPER
+    ok = (
+        F.when(expected.isNotNull(), anyone | F.array_contains(expected, F.col("_developer")))
+        .when(F.coalesce(F.col("registered_under"), empty) != "", anyone | (F.col("_developer") == F.col("registered_under")))
+        .otherwise(F.coalesce(F.size(F.map_keys(by_area)), F.lit(0)) <= 0)
+    )
+    hits = contains_aliases(named, "_text", table, ok)
+    best = F.min(F.struct("rank", "brand")).alias("b")
+    return hits.groupBy(*fields).agg(best).select(*fields, F.col("b.brand").alias("brand"))
 
 
 def canonical_by_key(df: DataFrame, name: str, table: DataFrame) -> DataFrame:
