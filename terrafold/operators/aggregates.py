@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import exact_medians
+
 
 def dominant(df: DataFrame, keys: list[str], value: str, out: str | None = None) -> DataFrame:
     """The most frequent non-null value per key, least on ties (A10).
@@ -72,8 +74,7 @@ def median_of_medians(panel: DataFrame, keys: list[str], median: str, count: str
 
 def median_fill(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Every row with the median of its group (A33); NULL groups have one too."""
-    medians = df.groupBy(*keys).agg(F.median(column).alias(f"group_median_{column}"))
-    return null_safe_join(df, medians, keys)
+    return null_safe_join(df, exact_medians(df, keys, [column], "group_median_{}"), keys)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:

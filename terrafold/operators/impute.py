@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .aggregates import median_fill, null_safe_join
+from .aggregates import null_safe_join
+from .selection import medians_by_and_of_all
 from .windows import fill_both_ways
 
 RENTS = ("median_rent", "median_rent_sqft")
@@ -22,7 +23,8 @@ def impute_rents(panel: DataFrame, series: list[str], order: str, area: str, str
 
     Tier 1: last, else next value of the series. Tier 2: the area's median of
     observed rows. Tier 3: the median of all observed rows. Adds
-    ``rent_imputed`` and ``rent_imputation_source``.
+    ``rent_imputed`` and ``rent_imputation_source``. The panel is read for what
+    it has and again for its medians, so pass a written one.
     """
     if strategy not in ("tiered", "drop", "none"):
         raise ValueError(f"unknown strategy {strategy!r}")
@@ -31,9 +33,7 @@ def impute_rents(panel: DataFrame, series: list[str], order: str, area: str, str
         kept = panel if strategy == "none" else panel.filter(~F.col("_missing"))
         return kept.withColumns({"rent_imputed": F.lit(0), "rent_imputation_source": F.lit(None).cast("string")}).drop("_missing")
     filled = panel.withColumns({f"_t1_{c}": fill_both_ways(c, series, order) for c in RENTS})
-    observed = panel.filter(~F.col("_missing"))
-    areas = observed.groupBy(area).agg(*[F.median(c).alias(f"_t2_{c}") for c in RENTS])
-    everywhere = observed.agg(*[F.median(c).alias(f"_t3_{c}") for c in RENTS])
+    areas, everywhere = medians_by_and_of_all(panel.filter(~F.col("_missing")).select(area, *RENTS), [area], RENTS, "_t2_{}", "_t3_{}")
     joined = null_safe_join(filled, areas, [area]).crossJoin(F.broadcast(everywhere))  # one row
     source = (
         F.when(~F.col("_missing"), None)
@@ -55,13 +55,12 @@ def unfilled_rents(panel: DataFrame) -> int:
 
 def impute_median(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Group median, else median of all, else 0; with a flag per column."""
-    overall = df.agg(*[F.median(c).alias(f"_all_{c}") for c in columns])
-    out = df.crossJoin(F.broadcast(overall))  # one row
-    for c in columns:
-        out = median_fill(out, keys, c)
-        out = out.withColumns({f"{c}_missing": F.col(c).isNull().cast("int"), c: F.coalesce(c, f"group_median_{c}", f"_all_{c}", F.lit(0.0))})
-        out = out.drop(f"group_median_{c}", f"_all_{c}")
-    return out
+    own = [f"_group_{c}" for c in columns]
+    groups, overall = medians_by_and_of_all(df.select(*keys, *columns), keys, columns, "_group_{}", "_all_{}")
+    out = null_safe_join(df, groups, keys).crossJoin(F.broadcast(overall))  # one row
+    flags = {f"{c}_missing": F.col(c).isNull().cast("int") for c in columns}
+    filled = {c: F.coalesce(c, f"_group_{c}", f"_all_{c}", F.lit(0.0)) for c in columns}
+    return out.withColumns(flags | filled).drop(*own, *[f"_all_{c}" for c in columns])
 
 
 def zero_counts(df: DataFrame, columns: list[str]) -> DataFrame:
