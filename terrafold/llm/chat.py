@@ -22,7 +22,7 @@ its first and last conversation can go on elsewhere, so two small max-plus
 matrices per partition are enough to settle the states at the borders.
 
 Defined cases: a null text is one empty line; null conversations are one
-conversation, null turns come first; equal turns are ordered by text; an
+conversation, null turns come first; equal turns are ordered by a hash of the text; an
 unknown role label is not learnt from; without labels the model has even
 counts; an empty table gives no rows; other columns are not read.
 """

@@ -14,6 +14,9 @@ OP4 = r"""WITH p AS (SELECT doc_id, text, regexp_extract_all(text, '(?s).+?(?:[.
   made AS (SELECT s.doc_id, count(gone.i) AS n, coalesce(string_agg(piece, '' ORDER BY s.i) FILTER (gone.i IS NULL), '') AS kept FROM s LEFT JOIN gone ON s.doc_id = gone.doc_id AND s.i = gone.i GROUP BY 1)
   SELECT documents.doc_id, CASE WHEN n > 0 THEN regexp_replace(kept, '\s+$', '') ELSE text END AS text FROM documents LEFT JOIN made USING (doc_id)"""
 
+# Every run of several sentences: the pairs that follow each other make them up.
+OP4_WHOLE = OP4.replace("BETWEEN a.i AND a.i + 20\n    WHERE b.pw - a.pw + a.wc >= 50 OR (b.i > a.i AND b.pw - a.pw + a.wc >= 20)", "= a.i + 1")
+
 OP6 = """WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages),
   v AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first, [CAST('0x' || substr(d, 5 * g + 1, 5) AS INTEGER) FOR g IN range(0, 8)] AS fives FROM p)
   SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
@@ -97,6 +100,7 @@ OP12 = r"""WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS
 
 SQL = {
     "op4_substring_dedup": OP4,
+    "op4_substring_dedup_whole": OP4_WHOLE,
     "op6_warc": OP6,
     "op6_warc_lookup": OP6_LOOKUP,
     "op8_ngram_jaccard_join": OP8,

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, slices
+from .common import cut, slices
 from .tokens import encoder
 
 CAPACITY = 4096
@@ -197,9 +197,12 @@ class Plan:
 
 
 def ranked(pieces: DataFrame) -> DataFrame:
-    """Add ``rank``, from 0, among pieces of equal length, without a hot window."""
-    salts = max(8, partitions(pieces.sparkSession))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    """Add ``rank``, from 0, among pieces of equal length, without a hot window.
+
+    The pieces of a length are numbered per partition of ``pieces``, also where
+    they are equal in all columns.
+    """
+    salted = pieces.withColumn("salt", F.spark_partition_id())
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = (
         salted.groupBy("length", "salt")

@@ -38,6 +38,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.dedup_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_substring_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``op4_substring_dedup``, but whatever repeats as a run of two sentences counts, however short, and nothing else."""
+    return spans.dedup_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=0, enough=2**31)
+
+
 def op5_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmtree.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -102,6 +107,7 @@ def queries() -> dict:
         "op2_toxicity": op2_toxicity,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_substring_dedup": op4_substring_dedup,
+        "op4_substring_dedup_whole": op4_substring_dedup_whole,
         "op5_kmeans_tree": op5_kmeans_tree,
         "op5_kmeans_tree_recall": op5_kmeans_tree_recall,
         "op6_warc": op6_warc,

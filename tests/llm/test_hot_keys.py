@@ -94,3 +94,15 @@ def test_pages_without_id_are_spread_over_archives(spark, tmp_path):
     kinds = {(r["page_id"] is None, r["record_type"], r["refers_to"]): r["count"] for r in rows}
     assert kinds[(True, "response", None)] == 400 and kinds[(False, "revisit", 1)] == 1
     assert found.filter("record_type = 'revisit'").count() == 399 and found.count() == 1200
+
+
+def test_equal_pieces_are_numbered_per_partition(spark):
+    """A third of all rows without id and with one text: ranks are a numbering, and no window holds them all."""
+    from terrafold.llm import packing
+
+    docs = spark.createDataFrame([(None, "same words here")] * 400 + [(i, f"word {i}") for i in range(800)], "doc_id long, text string").repartition(6)
+    pieces = packing.cut(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), 1, 4096, False))
+    ranks = packing.ranked(pieces).toPandas()
+    for _, own in ranks.groupby("length"):
+        assert sorted(own["rank"]) == list(range(len(own)))
+    assert pieces.filter("doc_id is null").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 200
