@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .selection import exact_medians
+from .sketches import CAP, distinct_counts, samples
 
 
 def dominant(df: DataFrame, keys: list[str], value: str, out: str | None = None) -> DataFrame:
@@ -89,9 +90,9 @@ def missing_rates(df: DataFrame, keys: list[str], missing: Column) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(flag).alias("missing_rows"), F.avg(flag).alias("missing_rate"))
 
 
-def cross_tab(df: DataFrame, rows: str, columns: str, values: list[str]) -> DataFrame:
+def cross_tab(df: DataFrame, rows: str | list[str], columns: str, values: list[str]) -> DataFrame:
     """Counts of ``columns``' stated values per ``rows`` (A23, A24), 0 where none."""
-    return df.groupBy(rows).pivot(columns, values).count().fillna(0)
+    return df.groupBy(*([rows] if isinstance(rows, str) else rows)).pivot(columns, values).count().fillna(0)
 
 
 def coverage_curve(df: DataFrame, key: str, points: list[int]) -> DataFrame:
@@ -117,15 +118,16 @@ def coverage_curve(df: DataFrame, key: str, points: list[int]) -> DataFrame:
     )
 
 
-def profile(df: DataFrame, columns: list[str] | None = None, cap: int = 10_000) -> DataFrame:
-    """Per column: type, nulls, distinct (capped), min, max, mean, std.
+def profile(df: DataFrame, columns: list[str] | None = None, cap: int = CAP) -> DataFrame:
+    """Per column: type, nulls, share of nulls, distinct (up to ``cap``), an estimate beyond, min, max, mean, std, samples.
 
-    One aggregate of the whole table; distinct counts are exact up to sketch
-    error and then capped.
+    One aggregate of the whole table for all but the distinct values, which come
+    from a second scan, see ``sketches``.
     """
     kinds = dict(df.dtypes)
+    names = list(columns or df.columns)
     rows = []
-    for c in columns or df.columns:
+    for c in names:
         col = F.col(f"`{c}`")
         numeric = kinds[c] in ("int", "bigint", "double", "float", "smallint", "tinyint") or kinds[c].startswith("decimal")
         x = col.cast("double") if numeric else F.lit(None).cast("double")
@@ -135,14 +137,15 @@ def profile(df: DataFrame, columns: list[str] | None = None, cap: int = 10_000)
                 F.lit(kinds[c]).alias("type"),
                 F.count("*").alias("rows"),
                 F.count_if(col.isNull()).alias("nulls"),
-                F.least(F.approx_count_distinct(col, 0.02), F.lit(cap)).alias("distinct"),
+                F.coalesce(F.round(F.avg(col.isNull().cast("int")) * 100, 2), F.lit(0.0)).alias("null_pct"),
                 F.min(col).cast("string").alias("min"),
                 F.max(col).cast("string").alias("max"),
                 F.avg(x).alias("mean"),
                 F.stddev_samp(x).alias("std"),
             )
         )
-    return df.agg(F.array(*rows).alias("p")).select(F.inline("p"))
+    facts = df.agg(F.array(*rows).alias("p")).select(F.inline("p"))
+    return facts.join(distinct_counts(df, names, cap), "column").join(samples(df, names), "column")
 
 
 def label_dispersion(df: DataFrame, label: str, entity: str, area: str) -> DataFrame:

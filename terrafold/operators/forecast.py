@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,6 +117,96 @@ def predict(rows: DataFrame, keys: list[str], predictor: Predictor, schema: str)
     return rows.groupBy(*keys).applyInPandas(lambda pdf: predictor(pdf), schema)
 
 
+def last_value(history: np.ndarray, horizon: int) -> np.ndarray:
+    """(low, middle, high) per step: the last value between the least and the largest of 24."""
+    recent = history[-24:]
+    return np.tile([recent.min(), history[-1], recent.max()], (horizon, 1))
+
+
+def smoother(history: np.ndarray, horizon: int, level_rate: float = 0.5, trend_rate: float = 0.1, damping: float = 0.9, low: float = 0.1, high: float = 0.9) -> np.ndarray:
+    """(low, middle, high) per step by exponential smoothing with a damped trend.
+
+    The band is the middle plus quantiles of the errors one step ahead, which
+    widen with the root of the steps; the middle is always within it.
+    """
+    level, trend, misses = float(history[0]), 0.0, []
+    for value in history[1:]:
+        expected = level + damping * trend
+        misses.append(value - expected)
+        new = level_rate * value + (1 - level_rate) * expected
+        trend = trend_rate * (new - level) + (1 - trend_rate) * damping * trend
+        level = new
+    steps = np.arange(1, horizon + 1)
+    middle = level + trend * np.cumsum(damping**steps)
+    band = np.quantile(misses, [low, high]) if misses else np.zeros(2)
+    band = np.minimum(band[0], 0.0), np.maximum(band[1], 0.0)
+    return np.column_stack([middle + band[0] * np.sqrt(steps), middle, middle + band[1] * np.sqrt(steps)])
+
+
+LEAST_HISTORY, HORIZON = 24, 12
+
+
+def _forecasts(history: DataFrame, future: DataFrame, keys: list[str], month: str, value: str, predictor, least: int, horizon: int) -> DataFrame:
+    """Cogroup histories with the rows to be forecast, by series; ``future`` may carry ``value`` as what came true."""
+    kinds = dict(history.dtypes)
+    schema = pa.schema(
+        [(f.name, f.type) for f in history.select(*keys, month).limit(0).toArrow().schema]
+        + [("step", pa.int32())] + [(c, pa.float64()) for c in ("low", "median", "high", "actual")] + [("status", pa.string())]
+    )
+
+    def run(key: tuple, past: pa.Table, ahead: pa.Table) -> pa.Table:
+        order = pc.sort_indices(past[month]) if past.num_rows else None
+        known = past[value].take(order).to_numpy(zero_copy_only=False).astype(float) if past.num_rows else np.zeros(0)
+        known = known[~np.isnan(known)]
+        ahead = ahead.take(pc.sort_indices(ahead[month]))[:horizon]
+        n = ahead.num_rows
+        status = "insufficient history" if len(known) < least else "insufficient future" if n < horizon else "ok"
+        found = np.asarray(predictor(known, horizon), dtype=float) if status == "ok" else np.full((n, 3), np.nan)
+        values = [pa.array(found[:n, k], from_pandas=True) for k in range(3)]
+        columns = [pa.array([k.as_py()] * n, t) for k, t in zip(key, schema.types)] + [ahead[month], pa.array(range(1, n + 1), pa.int32()), *values, ahead[value].cast(pa.float64()), pa.array([status] * n)]
+        return pa.Table.from_arrays(columns, schema=schema)
+
+    columns = ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, month])
+    shape = f"{columns}, step int, low double, median double, high double, actual double, status string"
+    future = future.select([F.col(c).alias(c) for c in (*keys, month, value)])  # both may come from one table
+    return history.select(*keys, month, value).groupBy(*keys).cogroup(future.groupBy(*keys)).applyInArrow(run, shape)
+
+
+def batch_forecast(df: DataFrame, keys: list[str], month: str, value: str, predictor=smoother, least: int = LEAST_HISTORY, horizon: int = HORIZON) -> DataFrame:
+    """The next ``horizon`` months of every series (M2, M16): keys, month, step, low, median, high, actual (NULL), status.
+
+    A series needs ``least`` values; others have their rows with the reason and
+    no forecast. ``predictor``: (values in order, steps) -> rows of low, middle,
+    high; a trained model fits in here.
+    """
+    from .windows import future_rows
+
+    ahead = future_rows(df, keys, month, horizon).withColumn(value, F.lit(None).cast("double"))
+    return _forecasts(df, ahead.withColumn(month, F.col(month).cast(df.schema[month].dataType)), keys, month, value, predictor, least, horizon)
+
+
+def walk_forward(df: DataFrame, keys: list[str], month: str, value: str, ends: list[str], predictor=smoother, least: int = LEAST_HISTORY, horizon: int = HORIZON) -> DataFrame:
+    """Forecasts of expanding folds against what came true (W24, M14): as ``batch_forecast``, with ``fold``.
+
+    Fold k forecasts from the months up to the k-th of ``ends`` those within
+    ``horizon`` months after it. Series by fold are cogrouped, so a task holds
+    one series at a time.
+    """
+    from .windows import folds
+
+    history = folds(df.select(*keys, month, value), month, ends).drop("fold_end")
+    table = F.array(*[F.struct(F.lit(k).alias("fold"), F.lit(e).cast("date").alias("fold_end")) for k, e in enumerate(ends)])
+    ahead = df.select(*keys, month, value, F.inline(table)).filter((F.col(month) > F.col("fold_end")) & (F.col(month) <= F.add_months("fold_end", horizon))).drop("fold_end")
+    return _forecasts(history, ahead, [*keys, "fold"], month, value, predictor, least, horizon)
+
+
+def fold_errors(forecasts: DataFrame) -> DataFrame:
+    """Per fold: series forecast, rows, mean absolute error, share of what came true within the band."""
+    ok = forecasts.filter("status = 'ok' and actual is not null")
+    inside = F.col("actual").between(F.col("low"), F.col("high"))
+    return ok.groupBy("fold").agg(F.count("*").alias("rows"), F.avg(F.abs(F.col("actual") - F.col("median"))).alias("mae"), F.avg(inside.cast("int")).alias("coverage"))
+
+
 def scenarios(rows: DataFrame, changes: dict[str, tuple[str, str, float]], recent: Column) -> DataFrame:
     """What-if rows (M7): ``changes``: name -> (column, ``*`` or ``+``, amount) on rows where ``recent`` holds."""
     made = rows.withColumn("scenario", F.lit("base"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text
 from .aggregates import label_dispersion
+from .registers import top_by
 
 HARD, SOFT, INFO = "HARD", "SOFT", "INFO"
 
@@ -28,16 +30,41 @@ class Gate:
     passes: Callable[[object], bool]
 
 
-def run_gates(df: DataFrame, gates: list[Gate], stop: bool = True) -> list[dict]:
-    """Evaluate all gates in one pass; raise if a hard one fails."""
-    row = df.agg(*[g.value.alias(f"g{k}") for k, g in enumerate(gates)]).first()
-    report = [{"name": g.name, "severity": g.severity, "value": row[k], "passed": bool(g.passes(row[k]))} for k, g in enumerate(gates)]
+def _report(gates: list[Gate], values: list, stop: bool) -> list[dict]:
+    report = [{"name": g.name, "severity": g.severity, "value": v, "passed": bool(g.passes(v))} for g, v in zip(gates, values, strict=True)]
     failed = [r["name"] for r in report if r["severity"] == HARD and not r["passed"]]
     if failed and stop:
         raise GateError("; ".join(failed))
     return report
 
 
+def run_gates(df: DataFrame, gates: list[Gate], stop: bool = True) -> list[dict]:
+    """Evaluate all gates in one pass; raise if a hard one fails."""
+    row = df.agg(*[g.value.alias(f"g{k}") for k, g in enumerate(gates)]).first()
+    return _report(gates, [row[k] for k in range(len(gates))], stop)
+
+
+def observed(df: DataFrame, gates: list[Gate]) -> tuple[DataFrame, Callable[..., list[dict]]]:
+    """``df``, and what gives the report of its gates once it has been written.
+
+    The gates' values are taken from the rows as they pass on their way to the
+    sink, so a stage is not read again for them. The report waits for the write.
+    """
+    watch = Observation(f"gates-{uuid.uuid4().hex}")
+    seen = df.observe(watch, *[g.value.alias(f"g{k}") for k, g in enumerate(gates)])
+    return seen, lambda stop=True: _report(gates, [watch.get[f"g{k}"] for k in range(len(gates))], stop)
+
+
+def stage_gates(columns: list[str], dates: list[str] = (), positive: list[str] = ()) -> list[Gate]:
+    """Checks of a cleaned stage (G12, G17): it has rows; how many dates were not read; values that must be positive."""
+    have = [c for c in [*dates, *positive] if c in columns]
+    missing = sorted({*dates, *positive} - {*have})
+    gates = [Gate("has rows", HARD, F.count(F.lit(1)), lambda n: n > 0)]
+    gates += [Gate(f"column {c} is there", HARD, F.max(F.lit(0)), lambda _: False) for c in missing]
+    gates += [Gate(f"{c} is read in at least 95 %", SOFT, share(F.col(c).isNotNull()), lambda x: (x or 0) >= 0.95) for c in dates if c in have]
+    return gates + [none_of(f"{c} is positive", HARD, F.col(c) <= 0) for c in positive if c in have]
+
+
 def share(condition: Column) -> Column:
     return F.avg(F.coalesce(condition, F.lit(False)).cast("int"))
 
@@ -125,8 +152,13 @@ def outliers(metrics: DataFrame, value: float = 1e9, tx: int = 500, units: int =
 
 
 def delta(current: DataFrame, baseline: DataFrame, key: str, rank_by: str, top: int = 25) -> DataFrame:
-    """Ids new since the baseline, ranked."""
-    return current.join(baseline.select(key), key, "left_anti").orderBy(F.col(rank_by).desc(), key).limit(top)
+    """All ids new since the baseline, with ``rank`` for the ``top`` of them by ``rank_by`` (G9); NULL beyond.
+
+    Of two stored snapshots, ``snapshots.changes`` reads only what differs.
+    """
+    new = current.filter(F.col(key).isNotNull()).join(baseline.select(key), key, "left_anti")
+    best = top_by(new.select(key, rank_by), rank_by, top, key).select(key, "rank")
+    return new.join(F.broadcast(best), key, "left")  # ``top`` rows
 
 
 def match_rate(df: DataFrame, column: str, warn: float = 0.95, fail: float = 0.0) -> Column:

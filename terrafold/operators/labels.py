@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .joins import alias_hits, contains_aliases, similar_pairs
+from .joins import alias_hits, contains_aliases, fuzzy_best, similar_pairs
 
 
 def _filled(c: Column) -> Column:
@@ -60,14 +60,13 @@ def resolve_brands(facts: DataFrame, aliases: DataFrame, legal: DataFrame, proje
     fields on ties.
     """
     fields = ("project_name", "building_name", "master_project")
+    # Names of all fields are looked for once, in the facts as they came.
+    names = facts.select(F.explode(F.array(*[text.norm_text(F.col(f)) for f in fields])).alias("_n")).distinct()
+    hits = alias_hits(names, "_n", aliases)
     out = facts
     for f in fields:
-        key = f"_n_{f}"
-        out = out.withColumn(key, text.norm_text(F.col(f)))
-        hits = alias_hits(out, key, aliases).select(
-            F.col(key).alias(f"_k_{f}"), F.struct(F.col("score"), F.col("brand"), F.col("alias"), F.lit(f).alias("field"), F.col("conflict")).alias(f"_h_{f}")
-        )
-        out = out.join(hits, F.col(key) == F.col(f"_k_{f}"), "left").drop(f"_k_{f}", key)
+        own = hits.select(F.col("_n").alias(f"_k_{f}"), F.struct(F.col("score"), F.col("brand"), F.col("alias"), F.lit(f).alias("field"), F.col("conflict")).alias(f"_h_{f}"))
+        out = out.join(own, text.norm_text(F.col(f)) == F.col(f"_k_{f}"), "left").drop(f"_k_{f}")
     best = F.lit(None).cast(dict(out.dtypes)["_h_project_name"])
     for f in reversed(fields):
         h = F.col(f"_h_{f}")
@@ -110,7 +109,9 @@ def compile_developers(registry: DataFrame, brands: DataFrame, aliases: DataFram
     entities = brands.select("brand", F.explode("registered_entities").alias("entity")).select(
         text.norm_label(F.col("entity")).alias("entity"), F.col("brand").alias("exact")
     )
-    names = registry.withColumn("_ar", text.norm_label(F.col("developer_name_ar"))).join(entities.dropDuplicates(["entity"]), F.col("_ar") == F.col("entity"), "left")
+    # An entity that several brands name is the least brand's.
+    entities = entities.groupBy("entity").agg(F.min("exact").alias("exact"))
+    names = registry.withColumn("_ar", text.norm_label(F.col("developer_name_ar"))).join(entities, F.col("_ar") == F.col("entity"), "left")
     for lang in ("en", "ar"):
         names = names.withColumn(f"_t_{lang}", text.norm_text(F.col(f"developer_name_{lang}")))
         hits = alias_hits(names, f"_t_{lang}", aliases).select(F.col(f"_t_{lang}").alias(f"_k_{lang}"), F.col("brand").alias(f"_b_{lang}"))
@@ -181,7 +182,7 @@ def umbrella_suggestions(projects: DataFrame) -> DataFrame:
 
 def tag(df: DataFrame, label: str, table: DataFrame, flag: str) -> DataFrame:
     """Flag labels that a list has, under any spelling."""
-    keys = table.select(text.label_key(F.col("alias")).alias("_key"), F.col("canonical").alias(f"{flag}_brand")).dropDuplicates(["_key"])
+    keys = table.groupBy(text.label_key(F.col("alias")).alias("_key")).agg(F.min("canonical").alias(f"{flag}_brand"))
     joined = df.join(keys, text.label_key(F.col(label)) == F.col("_key"), "left").drop("_key")
     return joined.withColumn(flag, F.col(f"{flag}_brand").isNotNull().cast("int"))
 
@@ -227,6 +228,87 @@ def brand_by_substring(facts: DataFrame, aliases: DataFrame) -> DataFrame:
     return hit.select("building_name", "developer_name", "area_name", F.col("b.brand").alias("brand"))
 
 
+def _open(names: DataFrame, done: list[DataFrame]) -> DataFrame:
+    """Names that no step before has resolved."""
+    for step in done:
+        names = names.join(step.select("name"), "name", "left_anti")
+    return names
+
+
+def _step(found: DataFrame, value: str | Column, confidence: Column | float, method: str | Column) -> DataFrame:
+    as_column = lambda x, plain: x if isinstance(x, Column) else plain(x)
+    return found.select("name", as_column(value, F.col).alias("value"), as_column(confidence, lambda x: F.lit(float(x))).alias("confidence"), as_column(method, F.lit).alias("method"))
+
+
+def _resolved(requests: DataFrame, column: str, steps: list[DataFrame], last: Column, unknown: str) -> DataFrame:
+    """``requests`` with what the steps say of each name; others get ``last`` with confidence 50, empty ones nothing."""
+    every = steps[0]
+    for step in steps[1:]:
+        every = every.unionByName(step)
+    own = every.select(F.col("name").alias("_name"), F.struct("value", "confidence", "method").alias("_found"))
+    joined = requests.join(own, F.col(column) == F.col("_name"), "left").drop("_name")
+    kind = lambda v, c, m: F.struct(v.alias("value"), F.lit(c).alias("confidence"), F.lit(m).alias("method"))
+    empty = F.coalesce(F.col(column), F.lit("")) == ""
+    r = F.when(empty, kind(F.lit(None).cast("string"), 0.0, "none")).otherwise(F.coalesce("_found", kind(last, 50.0, unknown)))
+    return joined.withColumn("_r", r).select(*requests.columns, *[F.col(f"_r.{p}").alias(f"{column}_{p}") for p in ("value", "confidence", "method")])
+
+
+def resolve_areas(requests: DataFrame, column: str, abbreviations: DataFrame, areas: DataFrame, ambiguous: DataFrame | None = None) -> DataFrame:
+    """Area names by the ordered cascade (E10): adds ``<column>_value``, ``_confidence``, ``_method``.
+
+    Abbreviation (``abbrev``, 100); ambiguous alias (its dominant area, 60);
+    nearest abbreviation with a score of 85 (``abbrev_fuzzy``, the score; if it
+    is ambiguous, the dominant area, 60); exact area (100); nearest area with a
+    score of 70 (``fuzzy``); else the input itself, 50. Case and blanks around
+    a name do not count, but in fuzzy steps blanks do. An empty name is ``none``.
+    ``abbreviations``: alias, area; ``ambiguous``: alias, dominant; ``areas``:
+    area. Names are resolved once each, and a step sees only those still open.
+    """
+    nothing = requests.sparkSession.createDataFrame([], "alias string, dominant string")
+    ambiguous = (nothing if ambiguous is None else ambiguous).filter("dominant <> ''")
+    names = requests.select(F.col(column).alias("name")).filter("name <> ''").distinct()
+    key = lambda c: F.lower(F.trim(c))
+    lowered = lambda df, alias, value, *by: df.groupBy(F.lower(alias).alias("_key")).agg(F.min(value).alias("value"))
+    at = lambda known: lambda df: df.join(known, key(F.col("name")) == F.col("_key")).drop("_key")
+    short = _step(at(lowered(abbreviations, "alias", "area"))(names), "value", 100.0, "abbrev")
+    left = _open(names, [short])
+    doubtful = _step(at(lowered(ambiguous, "alias", "dominant"))(left), "value", 60.0, "ambiguous")
+    left = _open(left, [doubtful])
+    by_alias = abbreviations.groupBy("alias").agg(F.min("area").alias("area")).join(ambiguous.groupBy("alias").agg(F.min("dominant").alias("dominant")), "alias", "left")
+    near = fuzzy_best(left, "name", abbreviations, "alias", 85.0).join(by_alias, "alias")
+    dominant = F.col("dominant").isNotNull()
+    near = _step(near, F.coalesce("dominant", "area"), F.when(dominant, 60.0).otherwise(F.col("score")), F.when(dominant, "ambiguous").otherwise("abbrev_fuzzy"))
+    left = _open(left, [near])
+    exact = _step(at(lowered(areas, "area", "area"))(left), "value", 100.0, "exact")
+    left = _open(left, [exact])
+    similar = _step(fuzzy_best(left, "name", areas, "area", 70.0), "area", F.col("score"), "fuzzy")
+    return _resolved(requests, column, [short, doubtful, near, exact, similar], F.col(column), "fallback")
+
+
+def resolve_developers(requests: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
+    """Developer names by the ordered cascade (E11): adds ``<column>_value``, ``_native``, ``_confidence``, ``_method``.
+
+    ``mapping``: english, arabic, aliases. Exact name (100), alias (100), the
+    nearest name or alias with a score of 70 (``fuzzy``, the score); else the
+    input with the native name Unknown, 50. An empty name is ``none``.
+    """
+    names = requests.select(F.col(column).alias("name")).filter("name <> ''").distinct()
+    table = mapping.select("english", "arabic", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases")).filter("english <> ''")
+    listed = table.select("english", "arabic", F.explode("aliases").alias("alias")).filter("alias <> ''")
+    both = lambda df, c: df.groupBy(F.lower(c).alias("_key")).agg(F.min(F.struct("english", "arabic")).alias("m"))
+    at = lambda df, known: df.join(known, F.lower(F.trim("name")) == F.col("_key")).drop("_key")
+    value = F.to_json("m", {"ignoreNullFields": "false"})
+    exact = _step(at(names, both(table, "english")), value, 100.0, "exact")
+    left = _open(names, [exact])
+    alias = _step(at(left, both(listed, "alias")), value, 100.0, "alias")
+    left = _open(left, [alias])
+    known = table.select("english", "arabic", F.col("english").alias("candidate")).unionByName(listed.select("english", "arabic", F.col("alias").alias("candidate")))
+    near = fuzzy_best(left, "name", known, "candidate", 70.0).join(both(known, "candidate"), F.lower("candidate") == F.col("_key"))
+    out = _resolved(requests, column, [exact, alias, _step(near, value, F.col("score"), "fuzzy")], F.to_json(F.struct(F.col(column).alias("english"), F.lit("Unknown").alias("arabic"))), "unknown")
+    pair = F.from_json(f"{column}_value", "english string, arabic string")
+    return out.withColumns({f"{column}_value": pair["english"], f"{column}_native": pair["arabic"]})
+
+
 ANY_DEVELOPER = "ALL_DEVELOPERS"
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregates import missing_rates, top_share
+from .registry import substring_hits
 from .windows import fill_both_ways, gaps, volume_trend
 
 
@@ -67,8 +68,6 @@ def area_trend(panel: DataFrame, area: str, month: str, count: str) -> DataFrame
 
 def top_by(df: DataFrame, metric: str, n: int, *ties: str) -> DataFrame:
     """The ``n`` rows of largest ``metric`` with their rank, ties by ``ties`` (W19); NULLs are not ranked."""
-    from pyspark.sql import Window
-
     order = [F.col(metric).desc(), *ties]
     few = df.filter(F.col(metric).isNotNull()).orderBy(*order).limit(n)  # n rows are ranked, not all
     return few.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
@@ -81,6 +80,62 @@ def segmentation_audit(df: DataFrame, label: str, owner: str, least_share: float
     return found.join(rows, label).filter((F.col("rows") >= least_rows) & (F.col("top_share") < least_share))
 
 
+def alias_hits_by_owner(facts: DataFrame, text: str, area: str, owner: str, aliases: DataFrame) -> DataFrame:
+    """(brand, area, owner, n): rows whose text contains one of a brand's aliases (G14); a row counts once a brand.
+
+    ``aliases``: brand, alias. Rows are counted by text, area and owner before
+    aliases are looked for in the distinct texts.
+    """
+    rows = facts.select(F.lower(text).alias("_text"), F.trim(area).alias("area"), F.coalesce(owner, F.lit("UNRESOLVED")).alias("owner"))
+    rows = rows.groupBy("_text", "area", "owner").agg(F.count("*").alias("n"))
+    table = aliases.select("brand", F.lower("alias").alias("alias")).distinct()
+    brands = substring_hits(rows, "_text", table).join(table, "alias").select("_text", "brand").distinct()
+    return rows.join(brands, "_text").groupBy("brand", "area", "owner").agg(F.sum("n").alias("n"))
+
+
+def dominant_owners(hits: DataFrame, allowed: DataFrame | None = None, least_share: float = 0.85, least_rows: int = 200) -> DataFrame:
+    """Per (brand, area): the owner with most hits, ``total``, ``share``, and whether that is ``ambiguous``.
+
+    ``allowed``: (brand, area) for which rules name several owners; they are never ambiguous.
+    """
+    best = F.min(F.struct((-F.col("n")).alias("less"), "owner")).alias("b")
+    top = hits.groupBy("brand", "area").agg(best, F.sum("n").alias("total"))
+    out = top.select("brand", "area", F.col("b.owner").alias("owner"), (-F.col("b.less")).alias("n"), "total", F.round(-F.col("b.less") / F.col("total"), 4).alias("share"))
+    doubt = (F.col("share") < least_share) & (F.col("total") >= least_rows)
+    if allowed is not None:
+        out = out.join(allowed.select("brand", "area").distinct().withColumn("_may", F.lit(True)), ["brand", "area"], "left")
+        doubt = doubt & F.col("_may").isNull()
+    return out.withColumn("ambiguous", doubt).drop("_may")
+
+
+def rule_gaps(hits: DataFrame, rules: DataFrame) -> DataFrame:
+    """(brand, area) with alias hits for which the brand's rules name no owner (G14); ``rules``: brand, area."""
+    return hits.select("brand", "area").distinct().join(rules.select("brand", "area"), ["brand", "area"], "left_anti")
+
+
+def series_presence(panel: DataFrame, label: str, group: str, brands: DataFrame) -> DataFrame:
+    """(brand, rows, groups) of every brand in the training panel, 0 where it has none."""
+    have = panel.groupBy(F.col(label).alias("brand")).agg(F.count("*").alias("rows"), F.countDistinct(group).alias("groups"))
+    return brands.select("brand").distinct().join(have, "brand", "left").fillna(0, ["rows", "groups"])
+
+
+def consolidation_leaks(panel: DataFrame, registered: str, label: str, rules: DataFrame) -> DataFrame:
+    """Per brand: rows registered under one of its tokens, those labelled otherwise, and the labels.
+
+    ``rules``: brand, token (sought in the registered name, case ignored).
+    ``labels`` are the five most frequent ones.
+    """
+    rows = panel.groupBy(F.lower(registered).alias("_text"), F.col(label).alias("label")).agg(F.count("*").alias("n"))
+    table = rules.select("brand", F.lower("token").alias("alias")).distinct()
+    under = substring_hits(rows, "_text", table).join(table, "alias").select("_text", "brand").distinct()
+    per = rows.join(under, "_text").groupBy("brand", "label").agg(F.sum("n").alias("n"))
+    leaked = ~F.col("label").eqNullSafe(F.col("brand"))
+    five = Window.partitionBy("brand").orderBy(F.col("n").desc(), "label")
+    top = per.filter(leaked).withColumn("rank", F.row_number().over(five)).filter("rank <= 5")
+    top = top.groupBy("brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))), lambda x: x["label"]), ", ").alias("labels"))
+    return per.groupBy("brand").agg(F.sum("n").alias("registered"), F.sum(F.when(leaked, F.col("n")).otherwise(0)).alias("leaked")).join(top, "brand", "left")
+
+
 def rent_missingness(panel: DataFrame, keys: list[str], index: str, rent: str) -> DataFrame:
     """Per series: rows, rows without a rent, their share, and whether months are missing.
 
@@ -89,3 +144,21 @@ def rent_missingness(panel: DataFrame, keys: list[str], index: str, rent: str) -
     missing = missing_rates(panel, keys, F.col(rent).isNull())
     holes = gaps(panel, keys, index).select(*keys, F.lit(True).alias("has_gaps"))
     return missing.join(holes, keys, "left").fillna(False, ["has_gaps"])
+
+
+def missing_against_zero(panel: DataFrame, rent: str, counts: list[str]) -> DataFrame:
+    """(against, missing, zero, n): rows by whether the rent is missing and a count is 0 (G15's cross-tab); a missing count is 0."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("against"), (F.coalesce(F.col(c), F.lit(0)) == 0).alias("zero")) for c in counts])
+    return panel.select(F.col(rent).isNull().alias("missing"), F.inline(pairs)).groupBy("against", "missing", "zero").agg(F.count("*").alias("n"))
+
+
+def missing_keys(panel: DataFrame, rent: str, raw: DataFrame, keys: list[str], amount: str) -> DataFrame:
+    """Rows without a rent whose key the raw contracts have all the same, and those whose key they lack (G15): present, absent.
+
+    Contracts count if they have the whole key and a positive amount; a key that
+    is there says that the rent was lost in the join.
+    """
+    have = raw.filter(F.col(amount) > 0).select(*keys).dropna().distinct().withColumn("_there", F.lit(1))
+    lost = panel.filter(F.col(rent).isNull()).groupBy(*keys).agg(F.count("*").alias("_n")).join(have, keys, "left")
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("_n"))), F.lit(0)).cast("long")
+    return lost.agg(n(F.col("_there").isNotNull()).alias("present"), n(F.col("_there").isNull()).alias("absent"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import months_apart
+from .joins import fuzzy_best
+from .registry import substring_hits
 
 
 def developer_stats(projects: DataFrame) -> DataFrame:
@@ -61,23 +63,77 @@ def rent_benchmarks(rents: DataFrame, keys: list[str], date: str, rent: str, are
     return recent.groupBy(*keys).agg(F.median(rent).alias("median_annual_rent"), F.count("*").alias("rent_count"), *extra)
 
 
-def lookups(requests: DataFrame, developers: DataFrame, areas: DataFrame, rents: DataFrame) -> DataFrame:
-    """Requests with developer, area and rent statistics (M9, M15); per-sqm prices converted here.
+def _either_way(names: DataFrame, known: DataFrame) -> DataFrame:
+    """(name, matched): the least known name that holds the name or is held by it; two automata, no pairs."""
+    holds = substring_hits(known, "known", names, "name").select("name", "known")
+    held = substring_hits(names, "name", known, "known").select("name", "known")
+    return holds.unionByName(held).groupBy("name").agg(F.min("known").alias("matched"))
+
 
-    Rents that have no exact area fall back to one whose name contains it.
+def match_developers(requests: DataFrame, column: str, known: DataFrame, least: float = 60.0) -> DataFrame:
+    """(name, matched, score, method) per distinct name (M15): exact, substring either way, best partial score of ``least``.
+
+    ``known``: developer_name. Names without a match, empty ones and "unknown"
+    have no row.
+    """
+    names = requests.select(F.col(column).alias("name")).filter((F.col("name") != "") & (F.lower("name") != "unknown")).distinct()
+    have = known.select(F.col("developer_name").alias("known")).filter("known <> ''").distinct()
+    exact = names.join(have, F.col("name") == F.col("known")).select("name", F.col("known").alias("matched"))
+    left = names.join(exact.select("name"), "name", "left_anti")
+    part = _either_way(left, have)
+    left = left.join(part.select("name"), "name", "left_anti")
+    near = fuzzy_best(left, "name", have, "known", least, "partial_ratio")
+    with_method = lambda df, method: df.select("name", "matched", F.lit(100.0).alias("score"), F.lit(method).alias("method"))
+    return with_method(exact, "exact").unionByName(with_method(part, "substring")).unionByName(near.select("name", F.col("known").alias("matched"), "score", F.lit("fuzzy").alias("method")))
+
+
+def match_areas(requests: DataFrame, column: str, known: DataFrame, least: float = 70.0) -> DataFrame:
+    """(name, matched, score, method) per distinct name (M9): exact but for case, else the best score of ``least``."""
+    names = requests.select(F.col(column).alias("name")).filter("name <> ''").distinct()
+    have = known.filter("area_name <> ''").groupBy(F.lower("area_name").alias("_key")).agg(F.min("area_name").alias("matched"))
+    exact = names.join(have, F.lower("name") == F.col("_key")).select("name", "matched", F.lit(100.0).alias("score"), F.lit("exact").alias("method"))
+    left = names.join(exact.select("name"), "name", "left_anti")
+    near = fuzzy_best(left, "name", have, "matched", least)
+    return exact.unionByName(near.select("name", "matched", "score", F.lit("fuzzy").alias("method")))
+
+
+def rent_for(requests: DataFrame, areas: DataFrame, rents: DataFrame, least: float = 70.0) -> DataFrame:
+    """Rent benchmark per request (M15): request_id, matched_area, median_annual_rent, rent_method.
+
+    The request's area is matched with the known ``areas`` (exact or fuzzy); then
+    the benchmark of that area and bedroom, else one of an area whose name
+    contains it (``contains``; without a match the area as asked). Of several
+    the least area's. ``requests``: request_id, area, bedroom.
     """
+    upper = lambda c: F.upper(F.col(c))
+    asked = requests.select("request_id", "area", upper("bedroom").alias("_b")).filter("area <> '' and _b is not null")
+    table = rents.select("area_name", upper("area_name").alias("_a"), upper("bedrooms").alias("_rb"), "median_annual_rent").filter("_a <> ''")
+    matches = match_areas(requests, "area", areas, least).select(F.col("name").alias("area"), "matched")
+    asked = asked.join(matches, "area", "left").withColumn("_want", F.upper(F.coalesce("matched", "area")))
+    one = table.groupBy("_a", "_rb").agg(F.min(F.struct("area_name", "median_annual_rent")).alias("r"))
+    exact = asked.filter("matched is not null").join(one, (F.col("_want") == F.col("_a")) & (F.col("_b") == F.col("_rb"))).select("request_id", "r", F.lit(0).alias("step"))
+    inside = substring_hits(table, "_a", asked, "_want")
+    near = asked.join(inside, "_want").join(one.withColumnsRenamed({"_a": "_a1", "_rb": "_rb1"}), (F.col("_a") == F.col("_a1")) & (F.col("_b") == F.col("_rb1")))
+    best = exact.unionByName(near.select("request_id", "r", F.lit(1).alias("step"))).groupBy("request_id").agg(F.min(F.struct("step", "r")).alias("m"))
+    return best.select(
+        "request_id", F.col("m.r.area_name").alias("matched_area"), F.col("m.r.median_annual_rent").alias("median_annual_rent"),
+        F.when(F.col("m.step") == 0, "exact").otherwise("contains").alias("rent_method"),
+    )
+
+
+def lookups(requests: DataFrame, developers: DataFrame, areas: DataFrame, rents: DataFrame) -> DataFrame:
+    """Requests with developer, area and rent statistics (M9, M15), and how each was found; per-sqm prices converted here."""
     from ..functions.measures import SQFT_A_SQM
 
-    d = developers.select(F.col("developer_name").alias("_d"), F.struct("*").alias("developer_stats"))
-    a = areas.select(F.col("area_name").alias("_a"), (F.col("current_median") / SQFT_A_SQM).alias("area_median_sqft"), F.col("transaction_count_12m"))
-    r = rents.select(F.col("area_name").alias("_ra"), F.col("bedrooms").alias("_rb"), "median_annual_rent")
-    out = requests.join(d, F.lower("developer") == F.lower("_d"), "left").join(a, F.lower("area") == F.lower("_a"), "left")
-    exact = out.join(r, (F.lower("area") == F.lower("_ra")) & (F.col("bedroom") == F.col("_rb")), "left")
-    near = requests.select("request_id", "area", "bedroom").join(r, (F.col("bedroom") == F.col("_rb")) & F.contains(F.lower("_ra"), F.lower("area")))
-    near = near.groupBy("request_id").agg(F.min_by("median_annual_rent", "_ra").alias("_near"))
-    joined = exact.join(near, "request_id", "left")
-    method = F.when(F.col("median_annual_rent").isNotNull(), "exact").when(F.col("_near").isNotNull(), "contains").otherwise("none")
-    return joined.withColumns({"rent_method": method, "median_annual_rent": F.coalesce("median_annual_rent", "_near")}).drop("_d", "_a", "_ra", "_rb", "_near")
+    d = match_developers(requests, "developer", developers).select(F.col("name").alias("_dn"), F.col("matched").alias("_d"), F.struct("score", "method").alias("developer_audit"))
+    stats = developers.groupBy(F.col("developer_name").alias("_dk")).agg(F.min(F.struct(*developers.columns)).alias("developer_stats"))
+    a = match_areas(requests, "area", areas).select(F.col("name").alias("_an"), F.col("matched").alias("_a"), F.struct("score", "method").alias("area_audit"))
+    facts = areas.groupBy(F.col("area_name").alias("_ak")).agg(F.min((F.col("current_median") / SQFT_A_SQM)).alias("area_median_sqft"), F.max("transaction_count_12m").alias("transaction_count_12m"))
+    out = requests.join(d, F.col("developer") == F.col("_dn"), "left").join(stats, F.col("_d") == F.col("_dk"), "left")
+    out = out.join(a, F.col("area") == F.col("_an"), "left").join(facts, F.col("_a") == F.col("_ak"), "left")
+    rent = rent_for(requests, areas, rents).select("request_id", "median_annual_rent", "rent_method")
+    out = out.join(rent, "request_id", "left").withColumn("rent_method", F.coalesce("rent_method", F.lit("none")))
+    return out.drop("_dn", "_d", "_dk", "_an", "_a", "_ak")
 
 
 def display_list(names: DataFrame, label: str, rank: str) -> DataFrame:

@@ -27,11 +27,16 @@ def rate_features(daily: DataFrame, tenor: str = "3_month") -> DataFrame:
     ).drop("_s")
 
 
+def monthly(daily: DataFrame, date: str, means: list[str], last: list[str], keys: list[str] = ()) -> DataFrame:
+    """Means of some columns and the last known value of others per month."""
+    known = [F.max_by(c, F.when(F.col(f"`{c}`").isNotNull(), F.col(date))).alias(c) for c in last]
+    return daily.groupBy(*keys, F.to_date(F.trunc(date, "month")).alias("year_month")).agg(*[F.avg(f"`{c}`").alias(c) for c in means], *known)
+
+
 def monthly_rates(features: DataFrame) -> DataFrame:
     """Mean rates, and the last known derived value of each month."""
     derived = [c for c in features.columns if c.startswith(("change_", "momentum_", "slope_", "volatility_"))]
-    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("date"))).alias(c) for c in derived]
-    return features.groupBy(F.trunc("date", "month").alias("year_month")).agg(*[F.avg(f"`{t}`").alias(t) for t in TENORS], *last)
+    return monthly(features, "date", TENORS, derived)
 
 
 def tourism(visitors: DataFrame, inventory: DataFrame) -> DataFrame:

@@ -69,7 +69,16 @@ PHASES = ["months_to_handover_signed", "months_to_handover", "months_since_hando
 
 
 def build(enriched: DataFrame, rents: DataFrame, projects: DataFrame, config: PanelConfig = PanelConfig()) -> DataFrame:
-    """Labelled panel (VA7 to VA12): aggregate, context joins, time columns, imputation.
+    """Labelled panel (VA7 to VA12), in one plan; ``run`` writes what is assembled before it imputes."""
+    return imputed(assemble(enriched, rents, projects, config), config)
+
+
+def imputed(panel: DataFrame, config: PanelConfig = PanelConfig()) -> DataFrame:
+    return impute.impute_rents(panel, ["group_id"], "time_idx", "area_id", config.rent_strategy, config.min_rent_count)
+
+
+def assemble(enriched: DataFrame, rents: DataFrame, projects: DataFrame, config: PanelConfig = PanelConfig()) -> DataFrame:
+    """The panel before imputation: aggregate, context joins, time columns.
 
     ``enriched`` carries ``developer_brand_label`` and is read several times,
     so pass a written table; ``rents``: year_month, area_id, bedroom, rent,
@@ -87,8 +96,7 @@ def build(enriched: DataFrame, rents: DataFrame, projects: DataFrame, config: Pa
     panel = joins.star(seg, [(aggregates.rents(rents), ["year_month", "area_id", "bedroom"]), (supply, ["year_month", "area_id"]), (due, ["year_month", "area_id"])], zero=counts)
     panel = panel.withColumn("group_id", text.group_id(*[F.col(c).cast("string") for c in config.series]))
     panel = panel.select("*", *dates.calendar_encodings(F.col("year_month")))
-    panel = windows.series_index(panel, ["group_id"], ["year_month", "developer_brand_label"])
-    return impute.impute_rents(panel, ["group_id"], "time_idx", "area_id", config.rent_strategy, config.min_rent_count)
+    return windows.series_index(panel, ["group_id"], ["year_month", "developer_brand_label"])
 
 
 def run(
@@ -98,26 +106,49 @@ def run(
     """The whole build: each stage is written once and read by the next; published if all gates hold."""
     out = Run(spark, folder)
 
-    def stage(name: str, df: DataFrame) -> DataFrame:
-        out.write(name, df)
+    violations: dict[str, int] = {}
+
+    def stage(name: str, df: DataFrame, checks: list[gates.Gate] = ()) -> DataFrame:
+        """Write ``df``; its gates are taken from the rows as they are written."""
+        seen, report = gates.observed(df, list(checks)) if checks else (df, None)
+        out.write(name, seen)
+        if report:
+            violations.update({r["name"]: r["value"] for r in report(stop=False) if r["severity"] == gates.HARD and not r["passed"]})
         return spark.read.parquet(f"{out.path}/{name}")
 
     enriched = stage("enriched", enrich(raw, projects, developers, groups, config))
-    labelled = stage("labelled", label(enriched, developers, brands))
-    built = stage("panel", build(labelled, rents, projects, config))
-    out.publish(check(built, labelled, config))
+    labelled = stage("labelled", label(enriched, developers, brands), label_gates())
+    assembled = stage("assembled", assemble(labelled, rents, projects, config))
+    stage("panel", imputed(assembled, config), rent_gates(config))
+    out.publish(violations | label_violations(labelled, config))
     return out.path
 
 
-def check(panel: DataFrame, enriched: DataFrame, config: PanelConfig = PanelConfig()) -> dict[str, int]:
-    """Violations of each gate on labels and panel (VA13); all must be 0 to publish."""
-    return {
-        "empty_labels": gates.empty_labels(enriched, "developer_brand_label").count(),
-        "suffix_leaks": gates.suffix_leaks(enriched, "developer_brand_label", "developer_brand_label_source").count(),
-        "surviving_places": gates.surviving_places(enriched, "developer_brand_label").count(),
-        "dispersed_labels": gates.dispersed_labels(enriched, "developer_brand_label", "developer_id", "area_id", list(config.exempt_labels)).count(),
-        "unfilled_rents": impute.unfilled_rents(panel) if config.rent_strategy == "tiered" else 0,
-    }
+def label_gates() -> list[gates.Gate]:
+    """What every labelled row must keep to (VA13): a label, and no legal suffix or holding in it."""
+    label, source = F.col("developer_brand_label"), F.col("developer_brand_label_source")
+    leak = text.leaks_suffix(label) | (text.has_holding(label) & (source != "PUBLIC_BRAND"))
+    return [
+        gates.none_of("empty_labels", gates.HARD, F.coalesce(F.trim(label), F.lit("")) == ""),
+        gates.none_of("suffix_leaks", gates.HARD, F.coalesce(leak, F.lit(False))),
+    ]
+
+
+def rent_gates(config: PanelConfig) -> list[gates.Gate]:
+    """A tiered panel must have all rents; a panel must have rows."""
+    missing = F.col("median_rent").isNull() | F.col("median_rent_sqft").isNull()
+    unfilled = [gates.none_of("unfilled_rents", gates.HARD, missing)] if config.rent_strategy == "tiered" else []
+    return [*unfilled, gates.Gate("panel_rows", gates.INFO, F.count(F.lit(1)), lambda n: n > 0)]
+
+
+def label_violations(labelled: DataFrame, config: PanelConfig = PanelConfig()) -> dict[str, int]:
+    """Gates on labels as a whole (G5, G6), from one summary of labels: a pass over the table, then few rows."""
+    exempt = list(config.exempt_labels)
+    spread = aggregates.label_dispersion(labelled, "developer_brand_label", "developer_id", "area_id")
+    name = F.col("developer_brand_label")
+    thin = (F.col("tx") >= 1000) & (F.col("n_entities") >= 10) & (F.col("top_share") <= 0.30) & (~name.isin(*exempt) | text.is_place(name))
+    row = spread.agg(F.count_if((F.col("tx") >= 1000) & text.is_place(name)).alias("surviving_places"), F.count_if(thin).alias("dispersed_labels")).first()
+    return {c: row[c] for c in ("surviving_places", "dispersed_labels")}
 
 
 def label(enriched: DataFrame, developers: DataFrame, brands: DataFrame) -> DataFrame:

@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import bedrooms, dates, measures, text
-from .operators import aggregates, clean, forecast, gates, impute, joins, labels, serving, windows
-from .plans import panel
+from .operators import aggregates, clean, forecast, gates, impute, joins, labels, serving, sketches, windows
+from .plans import macro, panel
+from .sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -263,7 +264,8 @@ def rolling_std_full_window(spark, d):
   SELECT area, CAST(date_trunc('month', deal_day) AS DATE) AS month, round(avg(v), 6) AS mean_v, round(arg_max(v, deal_day), 6) AS last_v FROM p GROUP BY 1, 2""")
 def monthly_last_value(spark, d):
     per = transactions(spark, d).groupBy("area", "deal_day").agg(F.avg("price").alias("v"))
-    return per.groupBy("area", F.to_date(F.trunc("deal_day", "month")).alias("month")).agg(F.round(F.avg("v"), 6).alias("mean_v"), F.round(F.max_by("v", "deal_day"), 6).alias("last_v"))
+    out = macro.monthly(per.withColumn("w", F.col("v")), "deal_day", means=["v"], last=["w"], keys=["area"])
+    return out.select("area", F.col("year_month").alias("month"), F.round("v", 6).alias("mean_v"), F.round("w", 6).alias("last_v"))
 
 
 SERIES = f"{TX}, s AS (SELECT area, month, median(price) AS v, count(*) AS n FROM tx GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY month DESC) AS back FROM s)"
@@ -393,21 +395,22 @@ def crosstab(spark, d):
 @query("pivot_flags", f"""WITH {TX}, p AS (SELECT area, brand, count_if(l_linestatus = 'O') AS "O", count_if(l_linestatus = 'F') AS "F" FROM tx GROUP BY 1, 2) SELECT area, brand, "O", "F", ("F" = 0) AS only_open FROM p""")
 def pivot_flags(spark, d):
     tx = transactions(spark, d)
-    p = tx.groupBy("area", "brand").pivot("l_linestatus", ["O", "F"]).count().fillna(0)
+    p = aggregates.cross_tab(tx, ["area", "brand"], "l_linestatus", ["O", "F"])
     return p.withColumn("only_open", F.col("F") == 0)
 
 
-@query("column_profile", """SELECT 'l_quantity' AS "column", count(*) AS rows, count_if(l_quantity IS NULL) AS nulls, round(avg(l_quantity), 4) AS mean, round(stddev_samp(l_quantity), 4) AS std FROM lineitem
-  UNION ALL SELECT 'l_discount', count(*), count_if(l_discount IS NULL), round(avg(l_discount), 4), round(stddev_samp(l_discount), 4) FROM lineitem
-  UNION ALL SELECT 'l_returnflag', count(*), count_if(l_returnflag IS NULL), NULL, NULL FROM lineitem""")
+@query("column_profile", """SELECT 'l_quantity' AS "column", count(*) AS rows, count_if(l_quantity IS NULL) AS nulls, least(count(DISTINCT l_quantity), 10000) AS "distinct", round(avg(l_quantity), 4) AS mean, round(stddev_samp(l_quantity), 4) AS std FROM lineitem
+  UNION ALL SELECT 'l_discount', count(*), count_if(l_discount IS NULL), least(count(DISTINCT l_discount), 10000), round(avg(l_discount), 4), round(stddev_samp(l_discount), 4) FROM lineitem
+  UNION ALL SELECT 'l_orderkey', count(*), count_if(l_orderkey IS NULL), least(count(DISTINCT l_orderkey), 10000), round(avg(l_orderkey), 4), round(stddev_samp(l_orderkey), 4) FROM lineitem
+  UNION ALL SELECT 'l_returnflag', count(*), count_if(l_returnflag IS NULL), least(count(DISTINCT l_returnflag), 10000), NULL, NULL FROM lineitem""")
 def column_profile(spark, d):
-    out = aggregates.profile(table(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_returnflag"])
-    return out.select("column", "rows", "nulls", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
+    out = aggregates.profile(table(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_orderkey", "l_returnflag"])
+    return out.select("column", "rows", "nulls", "distinct", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
 
 
-@query("capped_distinct", "SELECT least(count(DISTINCT l_partkey), 10000) AS n FROM lineitem")
+@query("capped_distinct", "SELECT least(count(DISTINCT l_partkey), 1000) AS n FROM lineitem")
 def capped_distinct(spark, d):
-    return table(spark, d, "lineitem").agg(F.least(F.countDistinct("l_partkey"), F.lit(10_000).cast("long")).alias("n"))
+    return sketches.distinct_counts(table(spark, d, "lineitem"), ["l_partkey"], cap=1000).select(F.col("distinct").alias("n"))
 
 
 @query("bucketize", """SELECT CASE WHEN o_totalprice >= 500000 THEN '500K-1M' WHEN o_totalprice >= 100000 THEN '100K-500K' ELSE '0-100K' END AS bucket, count(*) AS n FROM orders GROUP BY 1""")
@@ -623,11 +626,13 @@ def spelling_conflicts(spark, d):
     return labels.spelling_conflicts(names, "name")
 
 
-@query("delta_report", """WITH c AS (SELECT l_suppkey, sum(l_extendedprice) AS v FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-10-01' GROUP BY 1) SELECT l_suppkey, round(v, 2) AS v FROM c WHERE l_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-02-01') ORDER BY v DESC, l_suppkey LIMIT 25""")
+@query("delta_report", """WITH c AS (SELECT l_partkey, round(sum(l_extendedprice), 2) AS v FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-01-01' GROUP BY 1),
+  n AS (SELECT * FROM c WHERE l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-06-01')), r AS (SELECT *, CAST(row_number() OVER (ORDER BY v DESC, l_partkey) AS INTEGER) AS k FROM n)
+  SELECT l_partkey, v, CASE WHEN k <= 5 THEN k END AS rank FROM r""")
 def delta_report(spark, d):
     line = table(spark, d, "lineitem")
-    now = line.filter("l_shipdate >= timestamp '2001-10-01'").groupBy("l_suppkey").agg(F.sum("l_extendedprice").alias("v"))
-    return gates.delta(now, line.filter("l_shipdate < timestamp '1995-02-01'"), "l_suppkey", "v").withColumn("v", F.round("v", 2))
+    now = line.filter("l_shipdate >= timestamp '2001-01-01'").groupBy("l_partkey").agg(F.round(F.sum("l_extendedprice"), 2).alias("v"))
+    return gates.delta(now, line.filter("l_shipdate < timestamp '1995-06-01'"), "l_partkey", "v", top=5)
 
 
 @query("polygon_centroid", """WITH p AS (SELECT p_partkey AS id, p_size * 1.0 AS s FROM part) SELECT id, round(s / 2, 6) AS lon, round(s, 6) AS lat, round(2 * s * s, 6) AS area FROM p""")
@@ -646,8 +651,7 @@ def bedroom_rules(spark, d):
 
 @query("json_documents", """SELECT event_type, CAST(props->>'k' AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1, 2""")
 def json_documents(spark, d):
-    k = F.from_json("props", "k long")["k"]
-    return table(spark, d, "events").groupBy("event_type", k.alias("k")).agg(F.count("*").alias("n"))
+    return readers.json_column(table(spark, d, "events"), "props", "k long").groupBy("event_type", "k").agg(F.count("*").alias("n"))
 
 
 @query("fuzzy_top1")
@@ -662,4 +666,4 @@ def similar_pairs(spark, d):
     return joins.similar_pairs(table(spark, d, "nation").select(F.concat("n_name", F.lit(" nation of "), "n_name").alias("name")), "name", 60.0)
 
 
-from . import register_queries, report_queries  # noqa: E402, F401  (add their queries to those above)
+from . import audit_queries, entity_queries, register_queries, report_queries  # noqa: E402, F401  (add their queries to those above)

@@ -54,9 +54,13 @@ def optional(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 def tolerant(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(good rows, bad rows as text) of a damaged CSV with one row a line (S3)."""
     first = spark.read.text(path).first()
+    return tolerant_lines(spark.read.text(path), first[0] if first else "", schema)
+
+
+def tolerant_lines(lines: DataFrame, header_line: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """As ``tolerant``, of lines (value) among which ``header_line`` is no row."""
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + f", {CORRUPT} string"
-    lines = spark.read.text(path).filter(F.col("value") != (first[0] if first else ""))
-    parsed = lines.withColumn("r", F.from_csv("value", shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
+    parsed = lines.filter(F.col("value") != header_line).withColumn("r", F.from_csv("value", shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
     broken = F.col(f"r.{CORRUPT}").isNotNull()
     return parsed.filter(~broken).select("r.*").drop(CORRUPT), parsed.filter(broken).select(F.col("value").alias("row"))
 
@@ -66,6 +70,11 @@ def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("d")).select("d.*")
 
 
+def json_column(df: DataFrame, column: str, schema: str) -> DataFrame:
+    """A column of documents as typed columns beside the others (S7); what does not parse is NULL."""
+    return df.withColumn("_d", F.from_json(column, schema)).select(*[c for c in df.columns if c != column], "_d.*")
+
+
 def name_list(spark: SparkSession, path: str, key: str) -> DataFrame:
     """Names from either ``[...]`` or ``{key: [...]}``."""
     raw = spark.read.text(path, wholetext=True)
