@@ -26,7 +26,9 @@ least id hash); they decide how much is skipped, not what is found.
 Defined cases: vectors that are null, zero or hold null or non-finite
 components link with nothing and are kept; so do rows with null ids. Vectors of
 different length never link. Rows with equal ids count as copies if their
-vectors are equal. An empty table gives no rows; other columns are not read.
+vectors are equal; an id's different vectors are vectors of their own, which may
+link with each other, and ``n_links`` is that of the one with most links. An
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -77,7 +79,7 @@ def _projected(raw: list[bytes], kind: str, axes: dict[int, np.ndarray], dimensi
 
 
 def distinct_vectors(vectors: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
-    """(per distinct valid vector: rep, copies, dim, raw; per row: id, rep, copies)."""
+    """(per distinct valid vector: rep, copies, dim, raw; per row: id, rep, row, copies)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,7 +93,7 @@ def distinct_vectors(vectors: DataFrame, kind: str) -> tuple[DataFrame, DataFram
 
     rows = vectors.mapInArrow(work, "id long, raw binary")
     distinct = cut(rows.groupBy("raw").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    members = join_counted(rows, distinct, "raw", "copies").select("id", "rep", "copies")
+    members = join_counted(rows, distinct, "raw", "copies").select("id", "rep", F.xxhash64("raw").alias("row"), "copies")
     return distinct, members
 
 
@@ -186,7 +188,7 @@ def _boxes_apart(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _compare(held: list[tuple], same: bool, kind: str, threshold: float, out: list[tuple]) -> None:
-    """One unit: rows (side, rep, copies, raw, projection), sorted by side; ``same`` if a block meets itself."""
+    """One unit: rows (side, rep, copies, raw, projection, row), sorted by side; ``same`` if a block meets itself."""
     for width in {len(h[3]) for h in held}:
         rows = [h for h in held if len(h[3]) == width]
         if not same and rows[0][0] == rows[-1][0]:
@@ -218,8 +220,8 @@ def _compare(held: list[tuple], same: bool, kind: str, threshold: float, out: li
                     links[c:d] += copies[a:b] @ linked
                 for row in hit:
                     js = np.flatnonzero(linked[row]) + c
-                    out.extend((int(reps[a + row]), 0, int(reps[j])) for j in forest.link(a + row, js))
-        out.extend((int(reps[k]), int(links[k]), None) for k in np.flatnonzero(links))
+                    out.extend((int(reps[a + row]), rows[a + row][5], 0, int(reps[j])) for j in forest.link(a + row, js))
+        out.extend((int(reps[k]), rows[k][5], int(links[k]), None) for k in np.flatnonzero(links))
 
 
 def near_duplicates(
@@ -249,17 +251,17 @@ def near_duplicates(
     )
     units = (
         ordered.join(ends, "block")
-        .select("p", "q", "side", "rep", "copies", "raw", F.array(*names).alias("cell"))
+        .select("p", "q", "side", "rep", "copies", "raw", F.array(*names).alias("cell"), F.xxhash64("raw").alias("row"))
         .repartition(partitions(spark), "p", "q")
         .sortWithinPartitions("p", "q", "side", *[F.floor(F.col("cell")[k] / eps) for k in range(dimensions)], "rep")
     )
-    schema = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("to", pa.int64())])
+    schema = pa.schema([(name, pa.int64()) for name in ("id", "row", "links", "to")])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(held: list[tuple]) -> pa.RecordBatch:
             out: list[tuple] = []
             _compare(held, now[0] == now[1], kind, threshold, out)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], [], []))], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], [], [], []))], schema=schema)
 
         now, held = None, []
         for batch in batches:

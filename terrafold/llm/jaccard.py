@@ -6,9 +6,13 @@ chosen for a target recall at the threshold. Equal word sequences are one text
 with a multiplicity. Texts are shuffled on their band hashes; the least text of
 a band is its hub. A text's home is the least hub of its bands, or the least
 home of a text that shares a band with it; homes are cut into blocks of about
-``block`` texts, so that near copies lie together. The blocks of a home meet
-each other in units of work; texts that share a band with a text of another
-home also meet the blocks of that home. A unit compares full n-gram sets
+``block`` texts, so that near copies lie together. A home of more than one
+block is cut by size first: a set of n-grams cannot reach the threshold with
+one that is smaller by more than that factor, so texts are put in classes whose
+borders grow by 1 / threshold, and a block meets blocks of its own class and
+the two beside it only. The blocks of a home meet each other in units of work;
+texts that share a band with a text of another home also meet the blocks of
+that home, again of near classes. A unit compares full n-gram sets
 and emits, per text, its number of links, and a spanning forest of its links.
 
 So chance candidates do not chain into ever larger clusters: a home reaches two
@@ -36,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, free_name, join_counted, partitions, slices
@@ -117,19 +121,21 @@ class MinHasher:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """Per document with words: id, row (hash of the text), ``text_key`` (16 bytes of its word sequence), band hashes."""
+    """Per document with words: id, row (hash of the text), ``text_key`` (16 bytes of its word sequence), band hashes, n-grams."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = MinHasher(bands, rows)
         for batch in slices(batches):
-            ids, own, keys, hashes = [], [], [], []
+            ids, own, keys, hashes, sizes = [], [], [], [], []
             for doc, text, row in zip(*[batch.column(k).to_pylist() for k in range(3)]):
                 words = text.encode("utf-8", "surrogatepass").split()
                 if words:
                     ids.append(doc)
                     own.append(row)
                     keys.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
-                    hashes.append(hasher.bands_of(grams_of(word_hashes(words), n)))
+                    grams = grams_of(word_hashes(words), n)
+                    hashes.append(hasher.bands_of(grams))
+                    sizes.append(len(grams))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()),
@@ -139,17 +145,18 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                         np.arange(len(ids) + 1, dtype=np.int32) * bands,
                         np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.int64),
                     ),
+                    pa.array(sizes, pa.int64()),
                 ],
-                names=["id", "row", "text_key", "bands"],
+                names=["id", "row", "text_key", "bands", "grams"],
             )
 
     return docs.filter("id is not null and text is not null").mapInArrow(
-        work, "id long, row long, text_key binary, bands array<long>"
+        work, "id long, row long, text_key binary, bands array<long>, grams long"
     )
 
 
 def _compare(units: Iterator[tuple], n: int, threshold: float, out: dict) -> None:
-    """Verify one pair of blocks: rows (side, id, copies, grams)."""
+    """Verify one pair of blocks: rows (side, id, copies, grams, row)."""
     sides = ([], [])
     for side, *row in units:
         sides[side].append(row)
@@ -183,26 +190,27 @@ def _compare(units: Iterator[tuple], n: int, threshold: float, out: dict) -> Non
     copies_b = np.array([r[1] for r in right], dtype=np.int64)
     for row, links in zip(left, linked @ copies_b):
         if links:
-            out["id"].append(row[0]), out["links"].append(int(links)), out["to"].append(None)
+            out["id"].append(row[0]), out["row"].append(row[3]), out["links"].append(int(links)), out["to"].append(None)
     if not same:
         for row, links in zip(right, copies_a @ linked):
             if links:
-                out["id"].append(row[0]), out["links"].append(int(links)), out["to"].append(None)
+                out["id"].append(row[0]), out["row"].append(row[3]), out["links"].append(int(links)), out["to"].append(None)
     # A spanning forest says as much about components as all links do.
     forest = Forest(len(rows))
     for i in range(a):
         for j in forest.link(i, np.flatnonzero(linked[i]) + (0 if same else a)):
-            out["id"].append(rows[i][0]), out["links"].append(0), out["to"].append(rows[j][0])
+            out["id"].append(rows[i][0]), out["row"].append(rows[i][3]), out["links"].append(0), out["to"].append(rows[j][0])
 
 
 def _verified(units: DataFrame, n: int, threshold: float) -> DataFrame:
-    """``units``: sorted by (p, q, side); gives (id, links, to)."""
-    schema = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("to", pa.int64())])
+    """``units``: sorted by (p, q, side); gives (id, row, links, to)."""
+    schema = pa.schema([(name, pa.int64()) for name in ("id", "row", "links", "to")])
+    nothing = lambda: {name: [] for name in schema.names}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, out = None, [], {"id": [], "links": [], "to": []}
+        now, held, out = None, [], nothing()
         for batch in slices(batches):
-            for home_p, p, home_q, q, side, doc, copies, text in zip(*[c.to_pylist() for c in batch.columns]):
+            for home_p, p, home_q, q, side, doc, row, copies, text in zip(*[c.to_pylist() for c in batch.columns]):
                 if (home_p, p, home_q, q) != now:
                     if len(held) > 1:
                         _compare(held, n, threshold, out)
@@ -210,10 +218,10 @@ def _verified(units: DataFrame, n: int, threshold: float) -> DataFrame:
                 grams = ngram_hashes(text, n)
                 if held and held[-1][:2] == (side, doc) and np.array_equal(held[-1][3], grams):
                     continue  # a repeated row, already among the copies
-                held.append((side, doc, copies, grams))
+                held.append((side, doc, copies, grams, row))
             if len(out["id"]) > 5000:
                 yield pa.RecordBatch.from_pydict(out, schema)
-                out = {"id": [], "links": [], "to": []}
+                out = nothing()
         if len(held) > 1:
             _compare(held, n, threshold, out)
         yield pa.RecordBatch.from_pydict(out, schema)
@@ -221,16 +229,24 @@ def _verified(units: DataFrame, n: int, threshold: float) -> DataFrame:
     return units.mapInArrow(work, FOUND)
 
 
-UNIT = ("home_p", "part_p", "home_q", "part_q", "side", "rep", "copies", "text")
+UNIT = ("home_p", "part_p", "home_q", "part_q", "side", "rep", "row", "copies", "text")
+#: A block's number: its class of sizes above, its part of that class below.
+CLASS = 1 << 32
 
 
-def candidate_units(texts: DataFrame, block: int) -> DataFrame:
+def size_class(grams: Column, threshold: float) -> Column:
+    """Two sets that reach the threshold are of one class or of neighbouring ones."""
+    return F.floor(F.log(F.greatest(grams, F.lit(1)).cast("double")) / math.log(1 / threshold)).cast("long")
+
+
+def candidate_units(texts: DataFrame, block: int, threshold: float = THRESHOLD) -> DataFrame:
     """Which texts meet in which unit: ``p, q`` (blocks, p <= q), ``side, rep, row, copies``.
 
-    ``texts``: rep, row, copies, bands. A block is a struct of home and part.
+    ``texts``: rep, row, copies, bands, grams. A block is a struct of home and
+    part, a part a class of sizes and a number within it (see ``CLASS``).
     """
     texts = cut(texts)
-    banded = texts.select("rep", "row", "copies", F.explode("bands").alias("band"))
+    banded = texts.select("rep", "row", "copies", "grams", F.explode("bands").alias("band"))
     hubs = cut(
         banded.groupBy("band")
         .agg(F.min("rep").alias("hub"), F.max("rep").alias("top"), F.count("*").alias("n"))
@@ -238,30 +254,49 @@ def candidate_units(texts: DataFrame, block: int) -> DataFrame:
         .select("band", "hub", "n")
     )
     shared = cut(join_counted(banded, hubs, "band", "n"))
-    homes = cut(shared.groupBy("rep", "row", "copies").agg(F.min("hub").alias("home")))
+    homes = cut(shared.groupBy("rep", "row").agg(F.min("hub").alias("home")))
     # Once more, so that near copies without the hub's bands come to its home too.
-    least = cut(shared.join(homes.select("rep", "row", "home"), ["rep", "row"]).groupBy("band").agg(F.min("home").alias("home"), F.count("*").alias("m")))
-    homes = cut(join_counted(shared, least, "band", "m").groupBy("rep", "row", "copies").agg(F.min("home").alias("home")))
-    sizes = cut(homes.groupBy("home").agg(F.count("*").alias("size"), F.ceil(F.count("*") / block).cast("int").alias("parts")))
-    part = F.pmod(F.xxhash64("rep", "row"), F.col("parts")).cast("int").alias("part")
-    placed = cut(join_counted(homes, sizes, "home", "size").select("rep", "row", "copies", "home", "size", "parts", part))
-
-    def meet(texts: DataFrame, home: str, parts: str) -> DataFrame:
-        """Every text with all parts of ``home``."""
-        each = texts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col(parts) - 1)))
+    least = cut(shared.join(homes, ["rep", "row"]).groupBy("band").agg(F.min("home").alias("home"), F.count("*").alias("m")))
+    homes = cut(join_counted(shared, least, "band", "m").groupBy("rep", "row", "copies", "grams").agg(F.min("home").alias("home")))
+    # Small homes are one block; in large ones only texts of near sizes meet.
+    totals = cut(homes.groupBy("home").agg(F.count("*").alias("total")))
+    sized = F.when(F.col("total") > block, size_class(F.col("grams"), threshold)).otherwise(F.lit(0).cast("long"))
+    classed = cut(join_counted(homes, totals, "home", "total").select("rep", "row", "copies", "home", "total", sized.alias("class")))
+    slot = F.struct("home", "class").alias("slot")
+    by_class = Window.partitionBy("home").orderBy("class")
+    parts = classed.groupBy("home", "class").agg(F.count("*").alias("size"), F.ceil(F.count("*") / block).cast("int").alias("parts"))
+
+    def beside(step: int) -> Column:
+        """The parts of the class before or after, if the home has it; its classes are few."""
+        number, there = F.lag("parts", -step).over(by_class), F.lag("class", -step).over(by_class)
+        return F.when(there == F.col("class") + step, number).otherwise(0)
+
+    around = F.array(*[F.struct((F.col("class") + k).alias("class"), c.alias("parts")) for k, c in ((-1, beside(-1)), (0, F.col("parts")), (1, beside(1)))])
+    slots = cut(parts.select(slot, "size", "parts", around.alias("around")))
+    own = (F.col("class") * CLASS + F.pmod(F.xxhash64("rep", "row"), F.col("parts"))).alias("part")
+    keyed = classed.select("*", slot)
+    placed = cut(join_counted(keyed, slots, "slot", "size").select("rep", "row", "copies", "home", "total", "class", "parts", "around", own))
+
+    def meet(texts: DataFrame, home: str, others: Column) -> DataFrame:
+        """Every text with all parts of ``others`` (class, parts) of ``home``."""
+        numbers = F.flatten(F.transform(others, lambda c: F.when(c["parts"] > 0, F.transform(F.sequence(F.lit(0), c["parts"] - 1), lambda k: c["class"] * CLASS + k)).otherwise(F.array().cast("array<long>"))))
+        each = texts.withColumn("_part", F.explode(numbers))
         own, other = F.struct("home", "part"), F.struct(F.col(home).alias("home"), F.col("_part").alias("part"))
         side = (own > other).cast("int").alias("side")
         return each.select(F.least(own, other).alias("p"), F.greatest(own, other).alias("q"), side, "rep", "row", "copies")
 
     # Few bands have texts of several homes: those texts meet the other homes.
     salts = F.ceil(F.col("n") / SPREAD).cast("int")
-    owned = shared.select("rep", "row", "band", salts.alias("salts")).join(placed, ["rep", "row"])
-    at = cut(owned.groupBy("band", F.col("home").alias("other"), F.col("parts").alias("others"), "salts").agg(F.lit(1).alias("_")).drop("_"))
-    several = at.groupBy("band").agg(F.count("*").alias("homes")).filter("homes > 1").select("band")
+    owned = shared.select("rep", "row", "band", "grams", salts.alias("salts")).join(placed.drop("around", "total"), ["rep", "row"])
+    at = cut(owned.groupBy("band", F.col("home").alias("other"), F.col("class").alias("other_class"), F.col("parts").alias("others"), "salts").agg(F.max("grams").alias("most"), F.min("grams").alias("fewest")))
+    several = at.groupBy("band").agg(F.min("other").alias("a"), F.max("other").alias("b")).filter("a < b").select("band")
     others = at.join(several, "band").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     strangers = owned.withColumn("salt", F.pmod(F.xxhash64("rep", "row"), F.col("salts")).cast("int")).join(others, ["band", "salt"])
-    across = strangers.filter("home <> other").select("rep", "row", "copies", "home", "part", "other", "others").distinct()
-    return meet(placed.filter("size > 1"), "home", "parts").unionByName(meet(across, "other", "others"))
+    # A class of another home that has only texts of far sizes in the band has none to link with.
+    near = (F.col("grams") >= F.col("fewest") * (threshold - 1e-9)) & (F.col("most") >= F.col("grams") * (threshold - 1e-9))
+    across = strangers.filter((F.col("home") != F.col("other")) & near).select("rep", "row", "copies", "home", "part", "other", "other_class", "others").distinct()
+    back = F.array(F.struct(F.col("other_class").alias("class"), F.col("others").alias("parts")))
+    return meet(placed.filter("total > 1"), "home", F.col("around")).unionByName(meet(across, "other", back))
 
 
 def jaccard_classes(
@@ -279,12 +314,12 @@ def jaccard_classes(
         .select("text_key", F.col("least.id").alias("rep"), F.col("least.row").alias("rep_row"), "copies")
     )
     joined = join_counted(signed, texts, "text_key", "copies")
-    members = cut(joined.select("id", "rep", "copies"))
+    members = cut(joined.select("id", "rep", F.col("rep_row").alias("row"), "copies"))
     units = candidate_units(
-        joined.filter("id = rep and row = rep_row").select("rep", "row", "copies", F.array_distinct("bands").alias("bands")), block
+        joined.filter("id = rep and row = rep_row").select("rep", "row", "copies", F.array_distinct("bands").alias("bands"), "grams"), block, threshold
     )
     full = units.join(docs.filter("text is not null").withColumnRenamed("id", "rep"), ["rep", "row"])
-    placed = full.select("p.home", "p.part", "q.home", "q.part", "side", "rep", "copies", "text").toDF(*UNIT)
+    placed = full.select("p.home", "p.part", "q.home", "q.part", "side", "rep", "row", "copies", "text").toDF(*UNIT)
     found = cut(_verified(placed.repartition(partitions(docs.sparkSession), *UNIT[:4]).sortWithinPartitions(*UNIT[:6]), n, threshold))
     ids = docs.select("id")
     per_id = classes(found, members).withColumnRenamed("component", "class_id")

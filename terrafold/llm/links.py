@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from .common import cut, join_counted
 from .components import components
 
-#: Rows that comparing tasks give: links of ``id``; or, in ``to``, one link of a spanning forest.
-FOUND = "id long, links long, to long"
+#: Rows that comparing tasks give: links of the representative ``id, row``; or, in ``to``, one link of a spanning forest.
+FOUND = "id long, row long, links long, to long"
 
 
 class Forest:
@@ -36,15 +36,20 @@ def classes(found: DataFrame, members: DataFrame) -> DataFrame:
     """Per id: ``component`` and ``n_links``, from what units found.
 
     ``found``: columns of ``FOUND``, about representatives. ``members``: id,
-    rep, copies; ``rep`` is the least of ``copies`` equal rows. What is known of
+    rep, row, copies; ``rep`` is the least of ``copies`` equal rows, and ``row``
+    a hash of what they hold, as an id may have several different ones: links
+    are counted for each, and the largest number is the id's. What is known of
     a representative goes to its copies by ``join_counted``, so that a third of
     all rows may be copies of one.
     """
-    links = found.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
+    node = F.struct("rep", "row").alias("node")
+    links = found.withColumnRenamed("id", "rep").groupBy(node).agg(F.sum("links").alias("links"))
     linked = components(found.filter("to is not null"), "id", "to").withColumnRenamed("id", "rep")
-    per_rep = cut(members.groupBy("rep").agg(F.count("*").alias("rows")).join(links, "rep", "left").join(linked, "rep", "left"))
+    keyed = members.select("id", "rep", "copies", node)
+    per_node = keyed.groupBy("node").agg(F.count("*").alias("rows")).join(links, "node", "left")
+    per_node = cut(per_node.withColumn("rep", F.col("node.rep")).join(linked, "rep", "left").drop("rep"))
     return (
-        join_counted(members, per_rep, "rep", "rows")
+        join_counted(keyed, per_node, "node", "rows")
         .groupBy("id")
         .agg(
             F.min(F.coalesce("component", "rep")).alias("component"),

@@ -51,3 +51,10 @@ def test_equal_ids_with_other_vectors_and_doubles(spark):
     rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [0.0, 1.0, 0.01]), (3, [0.0, 0.0, 1.0])]
     got = {(r["vec_id"], r["component_id"], r["kept"]) for r in ego.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert got == {(1, 1, True), (2, 1, False), (3, 3, True)}
+
+
+def test_distinct_vectors_that_share_an_id(spark):
+    """Links are counted for each vector; an id's number is that of the vector with most."""
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [1.0, 0.1, 0.0]), (4, [0.0, 0.0, 1.0]), (5, [0.0, 0.1, 1.0]), (5, [0.0, 0.1, 1.0])]
+    found = ego.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in found) == [(1, 1, 1), (1, 1, 1), (4, 2, 4), (5, 2, 4), (5, 2, 4)]

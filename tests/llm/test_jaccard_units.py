@@ -9,8 +9,9 @@ from pyspark.sql import functions as F  # noqa: E402
 from terrafold.llm import jaccard  # noqa: E402
 
 
-def units_of(spark, bands, block):
-    frame = spark.createDataFrame([(k, k, 1, b) for k, b in bands.items()], "rep long, row long, copies long, bands array<long>")
+def units_of(spark, bands, block, grams=None):
+    grams = grams or dict.fromkeys(bands, 10)
+    frame = spark.createDataFrame([(k, k, 1, b, grams[k]) for k, b in bands.items()], "rep long, row long, copies long, bands array<long>, grams long")
     met = {}
     for r in jaccard.candidate_units(frame, block).collect():
         met.setdefault((r["p"], r["q"]), []).append((r["side"], r["rep"]))
@@ -34,6 +35,36 @@ def test_pairs_with_a_common_band_meet_once(spark):
         assert len(pairs) == len(set(pairs)) and want <= set(pairs)
 
 
+def test_only_near_sizes_meet_in_a_large_home(spark):
+    """One band in all texts: pairs whose sizes allow a link meet once, and far fewer than all do."""
+    import random
+
+    rng = random.Random(8)
+    bands = {k: [7] + ([100 + k // 9] if k % 3 else []) for k in range(400)}
+    grams = {k: max(1, int(rng.lognormvariate(5, 1.2))) for k in bands}
+    pairs = units_of(spark, bands, 16, grams)
+    possible = {(a, b) for a in bands for b in range(a + 1, 400) if min(grams[a], grams[b]) >= 0.8 * max(grams[a], grams[b])}
+    assert len(pairs) == len(set(pairs)) and possible <= set(pairs) and len(pairs) < 0.45 * 400 * 399 / 2
+
+
+def test_near_sizes_of_several_homes_meet(spark):
+    """Many bands and sizes, blocks of four texts: no pair that could link is missed."""
+    import random
+
+    rng = random.Random(3)
+    bands = {k: sorted({rng.randrange(25) for _ in range(rng.randrange(1, 4))}) for k in range(150)}
+    grams = {k: rng.choice([1, 2, 3, 4, 5, 50, 62, 63, 100, 124, 125, 126, 1000]) for k in bands}
+    pairs = units_of(spark, bands, 4, grams)
+    want = {(a, b) for a in bands for b in bands if a < b and set(bands[a]) & set(bands[b]) and min(grams[a], grams[b]) >= 0.8 * max(grams[a], grams[b])}
+    assert len(pairs) == len(set(pairs)) and want <= set(pairs)
+
+
+def test_classes_hold_what_can_link(spark):
+    rows = spark.range(1, 3000).select(F.col("id").alias("g"), jaccard.size_class(F.col("id"), 0.8).alias("c")).collect()
+    at = {r["g"]: r["c"] for r in rows}
+    assert all(abs(at[g] - at[h]) <= 1 for g in at for h in range(-(-4 * g // 5), g + 1))
+
+
 def test_a_chain_of_candidates_is_no_cluster(spark):
     """Each text shares a band with the next only: all pairs would be 44,850."""
     bands = {k: [k, k + 1] for k in range(300)}
