@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import bedrooms, dates, measures, text
-from .operators import aggregates, clean, forecast, gates, impute, joins, labels, serving, sketches, windows
+from .operators import aggregates, clean, forecast, gates, impute, joins, labels, registers, serving, sketches, windows
 from .plans import macro, panel
 from .sources import readers
 
@@ -593,10 +593,10 @@ def confidence_gate(spark, d):
     return out.select("o_orderkey", "shown", F.col("area_trusted").cast("int").alias("area_ok"))
 
 
-@query("set_difference", "SELECT DISTINCT l_suppkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-06-01' EXCEPT SELECT l_suppkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-06-01'")
+@query("set_difference", "SELECT DISTINCT l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-06-01' EXCEPT SELECT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-06-01'")
 def set_difference(spark, d):
     line = table(spark, d, "lineitem")
-    return joins.new_keys(line.filter("l_shipdate >= timestamp '2001-06-01'"), line.filter("l_shipdate < timestamp '1995-06-01'"), "l_suppkey")
+    return joins.new_keys(line.filter("l_shipdate >= timestamp '2001-06-01'"), line.filter("l_shipdate < timestamp '1995-06-01'"), "l_partkey")
 
 
 @query("semi_anti_keys", """WITH w AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'P'), h AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '5-LOW') SELECT count(*) AS wanted, count_if(o_custkey IN (SELECT o_custkey FROM h)) AS present FROM w""")
@@ -663,7 +663,8 @@ def fuzzy_top1(spark, d):
 
 @query("similar_pairs")
 def similar_pairs(spark, d):
-    return joins.similar_pairs(table(spark, d, "nation").select(F.concat("n_name", F.lit(" nation of "), "n_name").alias("name")), "name", 60.0)
+    names = registers.union_names((table(spark, d, "part"), "p_name"), (table(spark, d, "nation"), "n_name"), (table(spark, d, "part"), "p_type"))
+    return joins.similar_pairs(names, "name", 60.0)
 
 
 from . import audit_queries, entity_queries, register_queries, report_queries  # noqa: E402, F401  (add their queries to those above)
