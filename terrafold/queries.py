@@ -667,4 +667,4 @@ def similar_pairs(spark, d):
     return joins.similar_pairs(names, "name", 60.0)
 
 
-from . import audit_queries, entity_queries, register_queries, report_queries  # noqa: E402, F401  (add their queries to those above)
+from . import audit_queries, entity_queries, panel_queries, register_queries, report_queries  # noqa: E402, F401  (add their queries to those above)
