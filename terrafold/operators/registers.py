@@ -39,9 +39,17 @@ def union_names(*tables: tuple[DataFrame, str]) -> DataFrame:
     return one.distinct()
 
 
-def ids_of(df: DataFrame, owner: str, member: str, out: str = "ids") -> DataFrame:
-    """Sorted distinct members of each owner (A32); for owners of bounded size, as names are."""
-    return df.filter(F.col(member).isNotNull()).groupBy(owner).agg(F.array_sort(F.collect_set(member)).alias(out))
+def ids_of(df: DataFrame, owner: str, member: str, out: str = "ids", most: int = 1_000_000) -> DataFrame:
+    """Sorted distinct members of each owner (A32) as an array; an owner with more than ``most`` is an error.
+
+    Members are counted over a window, which spills, before any array is made.
+    For owners without bound ``id_set`` of both columns is the table to use.
+    """
+    pairs = df.filter(F.col(member).isNotNull()).select(owner, member).distinct()
+    n = F.count("*").over(Window.partitionBy(owner))
+    too_many = F.raise_error(F.concat(F.lit("more than "), F.lit(str(most)), F.lit(" members of "), F.coalesce(F.col(owner).cast("string"), F.lit("NULL"))))
+    checked = pairs.withColumn("_n", n).withColumn(member, F.when(F.col("_n") > most, too_many.cast(df.schema[member].dataType)).otherwise(F.col(member)))
+    return checked.groupBy(owner).agg(F.array_sort(F.collect_list(member)).alias(out))
 
 
 def constant_per_month(df: DataFrame, month: str, columns: list[str]) -> DataFrame:

@@ -151,3 +151,12 @@ def test_gates_come_with_the_write(spark, tmp_path):
         report()
     missing = gates.stage_gates(df.columns, ["other"])
     assert [r["passed"] for r in gates.run_gates(df, missing, stop=False)] == [True, False]
+
+
+def test_owner_with_too_many_members_is_an_error(spark):
+    from terrafold.operators import registers
+
+    df = spark.range(30).select((F.col("id") % 3).alias("o"), F.col("id").alias("m")).unionByName(spark.createDataFrame([(None, 5), (None, None), (1, 1)], "o long, m long"))
+    assert {r["o"]: r["ids"] for r in registers.ids_of(df, "o", "m", most=10).collect()} == {0: [*range(0, 30, 3)], 1: [*range(1, 30, 3)], 2: [*range(2, 30, 3)], None: [5]}
+    with pytest.raises(Exception, match="more than 9 members of"):
+        registers.ids_of(df, "o", "m", most=9).collect()
