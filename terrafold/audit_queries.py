@@ -11,6 +11,7 @@ from .plans import analysis, panel
 from .queries import PANEL, RENT, SERIES, TX, base_panel, query, rent_table, series, table, transactions
 from .sources import readers, writers
 from .sources.shared import scratch
+from .streaming import monthly
 
 
 @query("distinct_counts", """SELECT unnest(['l_orderkey', 'l_partkey', 'l_quantity', 'l_returnflag', 'none']) AS "column", unnest([least(count(DISTINCT l_orderkey), 10000), least(count(DISTINCT l_partkey), 10000), count(DISTINCT l_quantity), count(DISTINCT l_returnflag), 0]) AS "distinct" FROM lineitem""")
@@ -219,3 +220,14 @@ def label_gates(spark, d):
     writers.write_table(seen, path)
     found = panel.label_violations(spark.read.parquet(path)) | {r["name"]: r["value"] for r in report(stop=False)}
     return spark.createDataFrame(list(found.items()), "name string, n long")
+
+
+@query("streamed_months", """WITH m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_orderpriority, count(*) AS n, round(avg(o_totalprice), 3) AS mean_value FROM orders GROUP BY 1, 2)
+  SELECT * FROM m WHERE month <= (SELECT max(month) - INTERVAL 45 DAY FROM m)""")
+def streamed_months(spark, d):
+    """Orders as a stream: months that the watermark has closed, each once."""
+    folder = scratch(spark, "stream")
+    stream = spark.readStream.schema(table(spark, d, "orders").schema).parquet(f"{d}/orders.parquet*")
+    months = monthly.monthly_segments(stream, ["o_orderpriority"], "o_orderdate", "o_totalprice")
+    monthly.to_table(months, f"{folder}/months", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/months").select(F.to_date("month").alias("month"), "o_orderpriority", "n", F.round("mean_value", 3).alias("mean_value"))
