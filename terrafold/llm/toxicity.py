@@ -42,7 +42,7 @@ L1, ROUNDS = 5e-5, 400
 REJECT = 0.5
 WORD = re.compile(r"\w+")
 #: Words that a ``Matcher`` remembers.
-ENTRIES = 500_000
+ENTRIES = 100_000
 
 
 def features(text: str | None) -> Counter:
