@@ -254,7 +254,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_b
             pa.schema([("shard", pa.int32()), ("path", pa.string()), *[(n, pa.int64()) for n in ("docs", "tokens")], *[(n, pa.binary()) for n in ("first_key", "last_key")]]),
         )
 
-    return cut(sorted_docs.mapInArrow(work, STATS))
+    written = sorted_docs.mapInArrow(work, STATS).collect()  # a row per shard; no more shards than partitions
+    return docs.sparkSession.createDataFrame(written, STATS)
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
