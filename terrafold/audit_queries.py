@@ -222,7 +222,7 @@ def label_gates(spark, d):
     return spark.createDataFrame(list(found.items()), "name string, n long")
 
 
-@query("streamed_months", """WITH m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_orderpriority, count(*) AS n, round(avg(o_totalprice), 3) AS mean_value FROM orders GROUP BY 1, 2)
+@query("streamed_months", """WITH m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1, 2)
   SELECT * FROM m WHERE month <= (SELECT max(month) - INTERVAL 45 DAY FROM m)""")
 def streamed_months(spark, d):
     """Orders as a stream: months that the watermark has closed, each once."""
@@ -230,4 +230,4 @@ def streamed_months(spark, d):
     stream = spark.readStream.schema(table(spark, d, "orders").schema).parquet(f"{d}/orders.parquet*")
     months = monthly.monthly_segments(stream, ["o_orderpriority"], "o_orderdate", "o_totalprice")
     monthly.to_table(months, f"{folder}/months", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/months").select(F.to_date("month").alias("month"), "o_orderpriority", "n", F.round("mean_value", 3).alias("mean_value"))
+    return spark.read.parquet(f"{folder}/months").select(F.to_date("month").alias("month"), "o_orderpriority", "n", F.round(F.col("mean_value") * F.col("n"), 2).alias("total"))
