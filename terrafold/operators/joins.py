@@ -87,9 +87,12 @@ def text_id(text: str | Column) -> Column:
     return F.md5(text)
 
 
-def alias_best(texts: DataFrame, text: str, aliases: DataFrame, bound: int = BOUND) -> DataFrame:
+def alias_best(texts: DataFrame, text: str, aliases: DataFrame, bound: int = BOUND, key: Column | None = None) -> DataFrame:
     """Best alias per text (J16): (text_id, alias, brand, score, conflict).
 
+    ``text_id`` stands for equal texts, or is ``key``, as a string, where that
+    is given: then each row has its own and need not be joined back.
+
     A normalised alias is found at word borders exactly if it occurs, between
     two spaces, in the text's words with a space before, between and after
     them. One automaton of all aliases finds them in one pass over a text,
@@ -99,7 +102,7 @@ def alias_best(texts: DataFrame, text: str, aliases: DataFrame, bound: int = BOU
     them in parts, and frequent ones are left to Spark's skew join.
     """
     framed = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    words = texts.filter(F.col(text).isNotNull()).select(text_id(text).alias("id"), framed(F.array_join(tokens(F.col(text)), " ")).alias("text"))
+    words = texts.filter(F.col(text).isNotNull()).select((text_id(text) if key is None else key).alias("id"), framed(F.array_join(tokens(F.col(text)), " ")).alias("text"))
     entries = aliases.filter("alias <> ''").select(framed(F.col("alias")).alias("entry"))
     found = against(words, entries, contained, "alias string", bound).select(F.col("id").alias("text_id"), F.expr("substring(alias, 2, length(alias) - 2)").alias("alias"))
     hits = found.join(sized(aliases, "alias", bound), "alias")

@@ -521,9 +521,10 @@ WORDS = """w AS (SELECT doc_id, string_split(norm, ' ') AS ws FROM (SELECT doc_i
   k AS (SELECT doc_id, count(DISTINCT brand) > 1 AS conflict FROM h GROUP BY 1)
   SELECT doc_id, alias, brand, CAST(score AS INTEGER) AS score, conflict FROM h JOIN k USING (doc_id) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, rank) = 1""")
 def alias_match_best(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", text.norm_text(F.col("text")).alias("norm"))
+    docs = table(spark, d, "documents").select("doc_id", F.upper("text").alias("text"))
     aliases = spark.createDataFrame([("IDIOT", "one word", 2), ("OF THE", "two words", 1), ("THE", "common", 3), ("TO THE", "two words too", 4)], "alias string, brand string, rank int")
-    return docs.select("doc_id", joins.text_id("norm").alias("text_id")).join(joins.alias_best(docs, "norm", aliases), "text_id").select("doc_id", "alias", "brand", "score", "conflict")
+    out = joins.alias_best(docs, "text", aliases, key=F.col("doc_id"))
+    return out.select(F.col("text_id").cast("long").alias("doc_id"), "alias", "brand", "score", "conflict")
 
 
 @query("alias_ambiguity", """WITH a AS (SELECT lower(trim(unnest(string_split(p_type || ', ' || p_brand, ',')))) AS alias, p_size % 5 AS area_name, p_size AS units FROM part), u AS (SELECT alias, area_name, sum(units) AS units FROM a WHERE alias <> '' GROUP BY 1, 2)
