@@ -9,3 +9,15 @@ def test_no_missing_rent_has_no_counts(spark):
     assert ask([(1, 3.0)]) == (None, None)
     assert ask([(1, None), (1, None)]) == (2, 0)
     assert ask([(2, None), (None, None)]) == (0, 2)
+
+
+def test_amounts_are_rounded_as_by_c(spark):
+    from terrafold.functions import text
+
+    want = {
+        198500.0: "AED 198K", 199500.0: "AED 200K", 1015000.0: "AED 1.01M", 1125000.0: "AED 1.12M", 500.5: "AED 500", 999.5: "AED 1000", -0.4: "AED -0",
+        1.2e25: "AED 12000000000000000000.00M", float("inf"): "AED infM", float("nan"): "AED nanM", None: None,
+    }
+    rows = spark.createDataFrame([(v,) for v in want], "v double")
+    assert [r[0] for r in rows.select(text.format_currency(rows.v)).collect()] == list(want.values())
+    assert rows.limit(1).select(text.format_currency(rows.v.cast("int"), " a year")).first()[0] == "AED 198K a year"
