@@ -21,3 +21,17 @@ def test_amounts_are_rounded_as_by_c(spark):
     rows = spark.createDataFrame([(v,) for v in want], "v double")
     assert [r[0] for r in rows.select(text.format_currency(rows.v)).collect()] == list(want.values())
     assert rows.limit(1).select(text.format_currency(rows.v.cast("int"), " a year")).first()[0] == "AED 198K a year"
+
+
+def test_distinct_is_capped_where_the_survey_caps_it():
+    from terrafold.operators import sketches
+    from terrafold.queries import SQL
+
+    assert sketches.CAP == 10_000 and f"least(count(DISTINCT l_partkey), {sketches.CAP})" in SQL["capped_distinct"]
+
+
+def test_capped_distinct_is_whole_below_the_cap(spark):
+    from terrafold.queries import QUERIES
+
+    d = "/root/testdata/sf0.01"
+    assert QUERIES["capped_distinct"](spark, d).first()[0] == spark.read.parquet(f"{d}/lineitem.parquet").select("l_partkey").distinct().count() > 1000
