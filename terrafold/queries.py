@@ -640,8 +640,8 @@ def delta_report(spark, d):
 def polygon_centroid(spark, d):
     s = F.col("p_size").cast("double")
     points = F.array(*[F.struct((s * x).alias("lon"), (s * y).alias("lat")) for x, y in ((0, 0), (1, 0), (1, 2), (0, 2))])
-    p = measures.polygon(points)
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.round(p["lon"], 6).alias("lon"), F.round(p["lat"], 6).alias("lat"), F.round(p["area"], 6).alias("area"))
+    found = table(spark, d, "part").select(F.col("p_partkey").alias("id"), measures.polygon(points).alias("p"))
+    return found.select("id", *[F.round(F.col(f"p.{c}"), 6).alias(c) for c in ("lon", "lat", "area")])
 
 
 @query("bedroom_rules", """SELECT p_size, CASE WHEN p_size = 0 THEN 'Studio' WHEN p_size >= 6 THEN '6BR+' ELSE p_size || 'BR' END AS bedroom, CAST(least(p_size, 6) AS INTEGER) AS number FROM (SELECT DISTINCT p_size FROM part)""")

@@ -35,3 +35,21 @@ def test_capped_distinct_is_whole_below_the_cap(spark):
 
     d = "/root/testdata/sf0.01"
     assert QUERIES["capped_distinct"](spark, d).first()[0] == spark.read.parquet(f"{d}/lineitem.parquet").select("l_partkey").distinct().count() > 1000
+
+
+def test_polygon_is_one_pass(spark):
+    from terrafold.queries import QUERIES
+
+    plan = QUERIES["polygon_centroid"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1
+
+
+def test_polygon_of_odd_rings(spark):
+    from terrafold.functions import measures
+
+    rings = [
+        ([(0.0, 0.0), (1.0, 0.0), (1.0, 2.0), (0.0, 2.0)], (0.5, 1.0, 2.0)), ([(0.0, 0.0), (1.0, 0.0), (1.0, 2.0), (0.0, 2.0), (0.0, 0.0)], (0.5, 1.0, 2.0)),
+        ([(0.0, 0.0), None, (1.0, 1.0)], (None, None, 0.0)), ([(0.0, 0.0), (None, 1.0), (1.0, 1.0)], (None, None, 0.0)), ([(3.0, 4.0)] * 3, (3.0, 4.0, 0.0)), ([], None), (None, None),
+    ]
+    df = spark.createDataFrame([(p,) for p, _ in rings], "p array<struct<lon: double, lat: double>>")
+    assert [r[0] and tuple(r[0]) for r in df.select(measures.polygon(df.p)).collect()] == [want for _, want in rings]
