@@ -123,7 +123,9 @@ def nearest_names(left: DataFrame, name: str, right: DataFrame, candidate: str,
 
         return match
 
-    own = left.select(F.col(name).alias("id"), F.col(name).alias("text")).distinct()
+    # Names are few bytes but much work, so they are dealt out whatever their bytes.
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = left.select(F.col(name).alias("id"), F.col(name).alias("text")).repartition(tasks, "id").distinct()
     found = against(own, right.select(F.col(candidate).alias("entry")), matcher, "candidate string, score double", bound)
     best = F.min(F.struct((-F.col("score")).alias("less"), "candidate")).alias("b")
     return found.groupBy(F.col("id").alias(name)).agg(best).select(name, F.col("b.candidate").alias(candidate), (-F.col("b.less")).alias("score"))

@@ -49,7 +49,41 @@ def test_polygon_of_odd_rings(spark):
 
     rings = [
         ([(0.0, 0.0), (1.0, 0.0), (1.0, 2.0), (0.0, 2.0)], (0.5, 1.0, 2.0)), ([(0.0, 0.0), (1.0, 0.0), (1.0, 2.0), (0.0, 2.0), (0.0, 0.0)], (0.5, 1.0, 2.0)),
-        ([(0.0, 0.0), None, (1.0, 1.0)], (None, None, 0.0)), ([(0.0, 0.0), (None, 1.0), (1.0, 1.0)], (None, None, 0.0)), ([(3.0, 4.0)] * 3, (3.0, 4.0, 0.0)), ([], None), (None, None),
+        ([(0.0, 0.0), None, (1.0, 1.0)], (None, None, 0.0)), ([(0.0, 0.0), (None, 1.0), (1.0, 2.0)], (None, 1.0, 0.0)), ([(3.0, 4.0)] * 3, (3.0, 4.0, 0.0)), ([], None), (None, None),
     ]
     df = spark.createDataFrame([(p,) for p, _ in rings], "p array<struct<lon: double, lat: double>>")
     assert [r[0] and tuple(r[0]) for r in df.select(measures.polygon(df.p)).collect()] == [want for _, want in rings]
+
+
+def test_few_of_many_like_names_are_scored():
+    from terrafold.functions import fuzzy
+
+    nearest = fuzzy.Nearest([f"Supplier {k:09d}" for k in range(3000)])
+    for k in (0, 123, 2999):
+        assert nearest.best(f"suplier {k:09d}", 70.0)[0] == f"Supplier {k:09d}"
+    nearest.best("suplier 000054321", 70.0)
+    assert nearest.tried < 60
+
+
+def test_nearest_is_the_best_of_all_for_every_score():
+    import random
+
+    from terrafold.functions import fuzzy
+
+    rng = random.Random(5)
+    words = ["Emaar", "EMAR", "of", "LLC", "Nakhel", "ß", "دبي", "000123", "000213", "X" * 70]
+    name = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(0, 4)))
+    have, asked = sorted({name() for _ in range(150)} | {f"Supplier {k:04d}" for k in range(100)}), [name() for _ in range(30)] + ["suplier 0321", "", " "]
+    for scorer, score in fuzzy.SCORES.items():
+        nearest = fuzzy.Nearest(have, scorer)
+        for opened in (1, 512):
+            nearest.OPENED = opened
+            for text in asked:
+                less, best = min((-score(text.upper(), n.upper()), n) for n in have)
+                assert nearest.best(text, 60.0) == ((best, -less) if -less >= 60.0 else None)
+
+
+def test_names_are_dealt_to_more_than_one_task(spark):
+    from terrafold.queries import QUERIES
+
+    assert QUERIES["fuzzy_top1"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
