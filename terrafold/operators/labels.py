@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .aggregates import null_safe_join
 from .joins import alias_hits, contains_aliases, fuzzy_best, similar_pairs
 
 
@@ -60,18 +61,22 @@ def resolve_brands(facts: DataFrame, aliases: DataFrame, legal: DataFrame, proje
     fields on ties.
     """
     fields = ("project_name", "building_name", "master_project")
-    # Names of all fields are looked for once, in the facts as they came.
-    names = facts.select(F.explode(F.array(*[text.norm_text(F.col(f)) for f in fields])).alias("_n")).distinct()
+    # Text is met once per distinct set of names; facts only look their set up.
+    sets = facts.select(*fields).distinct().persist()
+    names = sets.select(F.explode(F.array(*[text.norm_text(F.col(f)) for f in fields])).alias("_n")).distinct()
     hits = alias_hits(names, "_n", aliases)
-    out = facts
+    found = sets
     for f in fields:
         own = hits.select(F.col("_n").alias(f"_k_{f}"), F.struct(F.col("score"), F.col("brand"), F.col("alias"), F.lit(f).alias("field"), F.col("conflict")).alias(f"_h_{f}"))
-        out = out.join(own, text.norm_text(F.col(f)) == F.col(f"_k_{f}"), "left").drop(f"_k_{f}")
-    best = F.lit(None).cast(dict(out.dtypes)["_h_project_name"])
+        found = found.join(own, text.norm_text(F.col(f)) == F.col(f"_k_{f}"), "left").drop(f"_k_{f}")
+    best = F.lit(None).cast(dict(found.dtypes)["_h_project_name"])
     for f in reversed(fields):
         h = F.col(f"_h_{f}")
         best = F.when(h.isNotNull() & (best.isNull() | (h["score"] >= best["score"])), h).otherwise(best)
-    out = out.withColumn("_t", best).drop(*[f"_h_{f}" for f in fields])
+    found = found.withColumn("_t", best).filter("_t is not null").select(*fields, "_t").persist()
+    found.count()  # once it is there, Spark knows its size and broadcasts it if it is small
+    sets.unpersist()
+    out = null_safe_join(facts, found, list(fields))
     for table, key, name in ((legal, "developer_id", "_legal"), (project_overrides, "project_number", "_project"), (master_overrides, "master_project", "_master")):
         dim = table.select(F.col(key).alias(f"_k{name}"), F.col("brand").alias(name))
         out = out.join(dim, F.col(key) == F.col(f"_k{name}"), "left").drop(f"_k{name}")

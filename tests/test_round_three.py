@@ -87,3 +87,17 @@ def test_names_are_dealt_to_more_than_one_task(spark):
     from terrafold.queries import QUERIES
 
     assert QUERIES["fuzzy_top1"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+
+
+def test_facts_meet_the_brands_of_their_names_in_one_join(spark):
+    from terrafold.operators import labels
+
+    rows = [("1", "d", "Red Ring", None, None)] * 2 + [("1", "d", None, "red ring x", "y"), ("1", "d", None, None, None), ("1", "d", "z", "z", "z")]
+    facts = spark.createDataFrame(rows, "project_number string, developer_id string, project_name string, building_name string, master_project string")
+    aliases = spark.createDataFrame([("RED RING", "Ring", 1)], "alias string, brand string, rank int")
+    no = lambda key: spark.createDataFrame([], f"{key} string, brand string")
+    out = labels.resolve_brands(facts, aliases, no("developer_id"), no("project_number"), no("master_project"))
+    assert sorted((r["brand_source"], r["project_name"] or "") for r in out.collect()) == [("TEXT", ""), ("TEXT", "Red Ring"), ("TEXT", "Red Ring"), ("UNRESOLVED", ""), ("UNRESOLVED", "z")]
+    own = spark.read.parquet("/root/testdata/sf0.001/part.parquet").selectExpr("p_brand AS developer_id", "p_brand AS project_number", "p_name AS project_name", "p_type AS building_name", "p_type AS master_project", "p_name AS brand")
+    plan = labels.resolve_brands(own.drop("brand"), aliases, own.limit(9), own.limit(8), own.limit(7))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 4
